@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import packing, preference, records, sharding
+from panelworks.llm import exact, packing, preference, quality, records, sharding
 from panelworks.llm.common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(48)]
@@ -30,6 +30,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup_exact(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(table(spark, sf_dir, "documents"), byte_bpe())
     return records.read_records(index).select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
@@ -44,6 +52,8 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_binary_records": op9_binary_records,
     "op10_shard_table": op10_shard_table,
 }
@@ -53,6 +63,7 @@ def sql() -> dict[str, str]:
     filled = ",".join(map(str, sharding.lookup_table(SHARDS)))
     return {
         "op1_preference_format": OP1_SQL,
+        "op7_exact_dedup": OP7_SQL,
         "op10_shard_table": f"""
             with filled as (select string_split('{filled}', ',') as owner)
             , placed as (
@@ -105,4 +116,10 @@ from placed join prefix using (pair_id) join sides using (pair_id)
 group by pair_id, part, block
 """
 
+OP7_SQL = r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size, row_number() over (same order by doc_id) = 1 as kept, sha256(t) as text_sha256
+from t window same as (partition by t)
+"""
+
 SQL = sql()
