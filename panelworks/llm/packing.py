@@ -53,6 +53,7 @@ def swap_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list
     fewest = -(-int(sizes.sum()) // capacity)
     fill = np.array([sizes[b].sum() for b in bins], np.int64)
     live = [i for i in range(len(bins)) if bins[i]]
+    stuck: set[tuple] = set()  # sizes in a donor for which nothing helped, until a bin changes
     while len(live) > fewest:
         emptied = False
         for donor in sorted((i for i in live if fill[i] < capacity), key=lambda i: (fill[i], i)):
@@ -60,6 +61,9 @@ def swap_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list
                 break
             while bins[donor]:
                 own = bins[donor]
+                held = tuple(sorted(sizes[own].tolist()))
+                if held in stuck:
+                    break
                 amounts: dict[int, tuple[int, ...]] = {}
                 for i, x in enumerate(own):
                     amounts.setdefault(int(sizes[x]), (x,))
@@ -76,6 +80,7 @@ def swap_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list
                 # what may come back: nothing from a bin, or one of its items
                 others = [b for b in live if b != donor and bins[b] and fill[b] < capacity and fill[b] >= fill[donor]]
                 if not others:
+                    stuck.add(held)
                     break
                 at = np.array([b for b in others for _ in range(len(bins[b]) + 1)], np.int64)
                 back = np.array([x for b in others for x in (-1, *bins[b])], np.int64)
@@ -85,7 +90,9 @@ def swap_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list
                 gain = np.where(moved > 0, moved * (fill[at] - fill[donor] + moved), 0)
                 k = int(np.argmax(gain))
                 if gain[k] <= 0:
+                    stuck.add(held)
                     break
+                stuck.clear()
                 out = amounts[int(give[best[k]])]
                 target = int(at[k])
                 bins[donor] = [x for x in own if x not in out]

@@ -44,7 +44,7 @@ class Encoder:
     with a space instead. No chunk holds a space itself.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -78,62 +78,69 @@ class Encoder:
             return head, " \n", " " + tail
         return None
 
-    def _joined(self, tokenizer, pieces: list[str], widths: list[int]) -> list[list[int]]:
-        """The ids of each piece, encoded many at a time; tokens are told apart by the bytes they stand for."""
-        out = []
-        step = 64
-        groups = [pieces[at : at + step] for at in range(0, len(pieces), step)]
-        for k, got in enumerate(tokenizer.encode_batch_fast([" ".join(x) if tokenizer is self.words else "".join(x) for x in groups], add_special_tokens=False)):
+    def _joined(self, tokenizer, pieces: list[str], widths: list[int], between: str) -> tuple[list[int], np.ndarray]:
+        """Flat ids and their number for each piece, encoded many at a time; tokens are told apart by the bytes they stand for."""
+        step, flat, counts = 128, [], []
+        groups = [between.join(pieces[at : at + step]) for at in range(0, len(pieces), step)]
+        for k, got in enumerate(tokenizer.encode_batch_fast(groups, add_special_tokens=False)):
             ids = got.ids
-            ends = np.cumsum(widths[k * step : k * step + len(groups[k])])
-            last = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()
-            out += [ids[a:b] for a, b in zip([0, *last], last)]
-        return out
+            last = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(widths[k * step : (k + 1) * step])) + 1
+            counts.append(np.diff(last, prepend=0))
+            flat += ids
+        return flat, np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _store(self, rows: np.ndarray, lengths: np.ndarray, ids) -> None:
+        """The ids of some rows, one row after another."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[rows] = self.used + np.cumsum(lengths) - lengths
+        self.length[rows] = lengths
+        self.used += len(ids)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, and where each row's end."""
+        lengths = self.length[rows]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[rows] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def _learn(self) -> None:
         """Encodes the fresh chunks: words of letters, other chunks that their spaces keep apart, and the rest one by one."""
-        first, row, fresh = len(self.start), self.rows.__getitem__, self.rows.fresh
-        ids_of: list = []
-        words, plain, alone, made = [], [], [], []
+        row, fresh = self.rows.__getitem__, self.rows.fresh
+        first = len(self.rows) - len(fresh)
+        words, plain, alone, made = [], [], [], {2: ([], []), 3: ([], [])}
         for k, key in enumerate(fresh):  # grows while the parts of new chunks are new themselves
-            ids_of.append(None)
             if key.isalpha():
                 words.append(k)
             elif parts := self._parts(key):
-                ids_of[k] = tuple(row(x) for x in parts)
-                made.append(k)
+                whole, rows = made[len(parts)]
+                whole.append(k)
+                rows += map(row, parts)
             elif key and key[0] != " " and not key[0].isspace() and not key[-1].isspace():
                 plain.append(k)
             else:
                 alone.append(k)
         self.rows.fresh = []
+        self.start = np.concatenate([self.start, np.full(len(fresh), -1, np.int64)])
+        self.length = np.concatenate([self.length, np.zeros(len(fresh), np.int64)])
         shown = ["Ġ" + (x if x.isascii() else x.encode().decode("latin-1").translate(self.letters)) for x in map(fresh.__getitem__, words)]
-        for k, x in zip(words, self._joined(self.words, shown, list(map(len, shown)))):
-            ids_of[k] = x
+        ids, n = self._joined(self.words, shown, list(map(len, shown)), " ")
+        self._store(first + np.array(words, np.int64), n, ids)
         spaced = [" " + fresh[k] for k in plain]
-        for k, x in zip(plain, self._joined(self.tokenizer, spaced, [len(x.encode()) for x in spaced])):
-            ids_of[k] = x
-        for k, x in zip(alone, self.tokenizer.encode_batch_fast([key[1:] if (key := fresh[k])[:1] == " " else " " + key for k in alone], add_special_tokens=False)):
-            ids_of[k] = x.ids
-
-        def known(r: int) -> list[int]:
-            if r < first:
-                return self.flat[self.start[r] : self.start[r] + self.length[r]].tolist()
-            x = ids_of[r - first]
-            if isinstance(x, tuple):
-                x = ids_of[r - first] = [i for y in x for i in known(y)]
-            return x
-
-        for k in made:
-            known(first + k)
-        lengths = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids_of), self.dtype, total)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.used += total
+        ids, n = self._joined(self.tokenizer, spaced, [len(x.encode()) for x in spaced], "")
+        self._store(first + np.array(plain, np.int64), n, ids)
+        single = [x[1:] if x[:1] == " " else " " + x for x in map(fresh.__getitem__, alone)]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+        self._store(first + np.array(alone, np.int64), np.array(list(map(len, got)), np.int64), list(chain.from_iterable(got)))
+        waiting = [(first + np.array(whole, np.int64), np.array(parts, np.int64).reshape(-1, n)) for n, (whole, parts) in made.items()]
+        while any(len(whole) for whole, _ in waiting):  # a part may be made of parts itself
+            later = []
+            for whole, parts in waiting:
+                ready = (self.start[parts] >= 0).all(axis=1)
+                ids, _ = self._gather(parts[ready].ravel())
+                self._store(whole[ready], self.length[parts[ready]].sum(axis=1), ids)
+                later.append((whole[~ready], parts[~ready]))
+            waiting = later
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.rows) > self.room:
@@ -156,10 +163,7 @@ class Encoder:
             counts[k] = len(rows) - before
         if self.rows.fresh:
             self._learn()
-        at = np.array(rows, np.int64)
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = self._gather(np.array(rows, np.int64))
         id_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
         n = np.diff(id_ends, prepend=0)
         if whole:
