@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import exact, line_templates, packing, preference, quality, records, sharding
+from panelworks.llm import exact, jaccard, line_templates, packing, preference, quality, records, sharding
 from panelworks.llm.common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(48)]
@@ -30,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
@@ -57,6 +61,7 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
