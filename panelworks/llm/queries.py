@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import exact, jaccard, line_templates, packing, preference, quality, records, sharding
+from panelworks.llm import exact, jaccard, line_templates, packing, preference, quality, records, secrets, sharding
 from panelworks.llm.common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(48)]
@@ -39,6 +39,12 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and the digest of the masked text of every document."""
+    out = secrets.scan_with_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_candidates", "n_secrets", F.array_join("secrets", " ").alias("secrets"), F.sha2("text", 256).alias("masked_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_line_templates": op5_line_templates,
+    "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_binary_records": op9_binary_records,
