@@ -1,20 +1,62 @@
-"""A corpus cleaning pipeline out of the operators of panelworks.llm."""
+"""A corpus cleaning pipeline out of the operators of panelworks.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. doc_id is
+the key of a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelworks.llm import packing
+from panelworks.llm import jaccard, line_templates, packing, quality, secrets
 from panelworks.llm.common import written
 from panelworks.llm.queries import byte_bpe
 
 
+def _with_new_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, n_chars as the text now has them."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return docs.select(*columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.score(docs).filter("kept").select(*docs.columns)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines; a document goes if it loses lines and has no word left."""
+    cut = line_templates.drop_recurring_lines(docs)
+    left = cut.filter("n_dropped = 0" + r" or text rlike '[^\\x20\\x09-\\x0D]'")
+    return _with_new_text(left, docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of equal and near-equal documents the one with the smallest doc_id; documents without one stay."""
+    gone = jaccard.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_no_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "_no_id"]).select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets masked."""
+    return _with_new_text(secrets.scan_with_rules(docs), docs.columns)
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left."""
     return packing.pack_documents(docs, byte_bpe())
 
 
-STAGES = [("best-fit packing", pack_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", lines_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", pack_stage),
+]
 
 #: Several stages are not for SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

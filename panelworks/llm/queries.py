@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import exact, jaccard, line_templates, packing, preference, quality, records, secrets, sharding
+from panelworks.llm import exact, jaccard, line_templates, packing, pieces, preference, quality, records, secrets, sharding
 from panelworks.llm.common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(48)]
@@ -19,6 +19,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with its neighbour's last reply: prompt once, masked completions."""
     out = preference.format_preferences(*preference.last_reply_pairs(table(spark, sf_dir, "conversations")))
@@ -34,6 +40,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
@@ -68,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_line_templates": op5_line_templates,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
