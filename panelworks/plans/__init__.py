@@ -1,4 +1,4 @@
 """The registered queries over the test tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from panelworks.plans import panel  # noqa: F401
+from panelworks.plans.base import QUERIES, SQL  # noqa: F401
