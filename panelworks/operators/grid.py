@@ -44,6 +44,6 @@ def reverse_axis(df: DataFrame, keys: list[str], pos: str, length: str) -> DataF
     return df.select(
         "*",
         (F.max(pos).over(w) - F.col(pos)).alias("pos_rev"),
-        F.coalesce(F.sum(length).over(up), F.lit(0.0)).alias("km"),
-        F.coalesce(F.sum(length).over(down), F.lit(0.0)).alias("km_rev"),
+        F.coalesce(F.sum(length).over(up), F.lit(0.0)).alias("before"),
+        F.coalesce(F.sum(length).over(down), F.lit(0.0)).alias("before_rev"),
     )
