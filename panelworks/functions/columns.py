@@ -55,7 +55,7 @@ def clip(value: Column, low: float, high: float) -> Column:
 def bin_of(ratio: Column, edges: list[float], labels: list[str]) -> Column:
     """P10: label of the right-closed interval (edges[k], edges[k+1]]; NULL outside."""
     out = F.lit(None).cast("string")
-    for low, high, label in list(zip(edges, edges[1:], labels, strict=True))[::-1]:
+    for low, high, label in list(zip(edges[:-1], edges[1:], labels, strict=True))[::-1]:
         out = F.when((ratio > low) & (ratio <= high), label).otherwise(out)
     return out
 
