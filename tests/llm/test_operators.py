@@ -128,7 +128,7 @@ def brute_near(rows):
     for i in sorted(words):
         text_id.setdefault(words[i], i)
     sets = {i: {w[k : k + 5] for k in range(len(w) - 4)} for w, i in text_id.items()}
-    near = {i: {j for j, b in sets.items() if j != i and a and b and 5 * len(a & b) >= 4 * len(a | b)} for i, a in sets.items()}
+    near = {i: {j for j, b in sets.items() if j != i and a and b and 4 * len(a) <= 5 * len(b) and 4 * len(b) <= 5 * len(a) and 5 * len(a & b) >= 4 * len(a | b)} for i, a in sets.items()}
     cls = {}
     for i in sorted(near):
         if i not in cls:
