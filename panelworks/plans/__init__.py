@@ -1,4 +1,4 @@
 """The registered queries over the test tables, and their SQL."""
 
-from panelworks.plans import flows, jobs, keyed, panel, scores, space  # noqa: F401
+from panelworks.plans import evaluation, flows, jobs, keyed, panel, scores, space  # noqa: F401
 from panelworks.plans.base import QUERIES, SQL  # noqa: F401
