@@ -245,7 +245,7 @@ def robust_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with b as (select l_suppkey, floor((l_extendedprice % 180) / 5)::bigint as bin, sum(l_quantity) as w from lineitem group by 1, 2)
 , s as (select *, round(sum(w) over (partition by l_suppkey order by bin range between 2 preceding and 2 following) / 5, 6) as s from b)
-select l_suppkey, bin, (bin + 0.5) * 5 as mode, s as mass from (select *, row_number() over (partition by l_suppkey order by s desc, bin) as rn from s) where rn = 1""")
+select l_suppkey, bin, ((bin + 0.5) * 5)::double as mode, s as mass from (select *, row_number() over (partition by l_suppkey order by s desc, bin) as rn from s) where rn = 1""")
 def angle_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A41."""
     p = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") % 180).alias("a"), "l_quantity")
