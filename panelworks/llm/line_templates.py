@@ -28,6 +28,7 @@ MIN_TOKENS = 3
 #: A template recurs from so many documents on.
 MIN_DOCS = 5
 WINDOW_BYTES = 16 << 20
+SALTS = 32
 
 _DIGIT = re.compile(rb"[0-9]")
 _WITH_DIGIT = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
@@ -184,7 +185,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_doc_keys, "doc_id long, key binary")
     hits = written(found.filter(F.col("doc_id").isNotNull()).join(tree, "key"), "template-lines")
     recurring = hits.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("owner"))
-    gone = hits.join(recurring.filter(F.col("n_docs") >= min_docs), "template").filter(F.col("doc_id") != F.col("owner"))
+    # a template of a third of all documents is dealt to SALTS tasks; its owner goes to each of them
+    salted = recurring.filter(F.col("n_docs") >= min_docs).select("template", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = hits.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    gone = dealt.join(salted, ["template", "_salt"]).filter(F.col("doc_id") != F.col("owner"))
     return gone.groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
 
 
