@@ -141,3 +141,17 @@ def hybrid_truth(df: DataFrame, keys: list[str], slot: str, pos: str, observed:
     near = moved.select(*keys, (F.col(slot) + F.col("d.a")).alias(slot), (F.col(pos) + F.col("d.b")).alias(pos)).distinct().withColumn("_near", F.lit(True))
     out = df.join(near, [*keys, slot, pos], "left")
     return out.withColumn("label", F.coalesce(observed, F.col(guess) & F.coalesce("_near", F.lit(False)))).drop("_near")
+
+
+def decompose_totals(totals: DataFrame, full: str, weights: DataFrame) -> DataFrame:
+    """What each task adds to a total score: (full total - total without the task) / the task's weight.
+
+    totals (variant, total) has a row for each ablated task and one for the full sheet; weights (variant, w) is small.
+    """
+    whole = F.max(F.when(F.col("variant") == full, F.col("total"))).over(Window.partitionBy())  # a row for each variant
+    return totals.withColumn("_f", whole).join(F.broadcast(weights), "variant").select("variant", ((F.col("_f") - F.col("total")) / F.col("w")).alias("task_score"))
+
+
+def without_groups(df: DataFrame, groups: dict[str, list[str]], dropped: list[str]) -> DataFrame:
+    """Df without the columns of the named feature groups."""
+    return df.drop(*[c for g in dropped for c in groups[g]])

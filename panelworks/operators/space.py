@@ -93,3 +93,9 @@ def direction_vote(axis: DataFrame, edges: DataFrame, pos: str, link: str) -> Da
     back = pairs.join(edges.select(F.col("from_link").alias("b"), F.col("to_link").alias("a")).distinct(), ["a", "b"], "left_semi")
     counts = ahead.select(F.lit(1).alias("f"), F.lit(0).alias("r")).unionByName(back.select(F.lit(0).alias("f"), F.lit(1).alias("r")))
     return counts.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("forward"), F.coalesce(F.sum("r"), F.lit(0)).alias("backward"))
+
+
+def step_increments(df: DataFrame, keys: list[str], step: str, value: str) -> DataFrame:
+    """Change of a value to the step before and to the first step."""
+    w = Window.partitionBy(*keys).orderBy(step)
+    return df.withColumns({"d_step": F.col(value) - F.lag(value).over(w), "d_origin": F.col(value) - F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})

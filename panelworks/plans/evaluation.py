@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.functions import columns as C
-from panelworks.operators import contract, evals, masks, score, windows
+from panelworks.operators import contract, evals, learn, masks, score, space, windows
 from panelworks.plans.base import LINK_CELLS, link_cells, query, read, rounded
 from panelworks.plans.scores import ARMS_SQL, arms
 
@@ -225,3 +225,56 @@ def line_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("m"), F.regr_intercept("l_extendedprice", "l_quantity").alias("c"))
     p = s.join(s.select((F.col("l_suppkey") - 1).alias("l_suppkey"), F.col("m").alias("m2"), F.col("c").alias("c2")), "l_suppkey").filter("abs(m - m2) > 1")
     return p.select("l_suppkey", F.round(C.line_meet(F.col("m"), F.col("c"), F.col("m2"), F.col("c2"))[0], 3).alias("x"), F.round(C.point_line_distance(F.lit(10.0), F.lit(2000.0), F.col("m"), F.col("c")), 6).alias("distance"))
+
+
+@query(f"""
+with {LINK_CELLS}
+select panel, slot, link, round(p - lag(p) over w, 8) as d_step, round(p - first_value(p) over w, 8) as d_origin from links window w as (partition by panel, link, slot // 6 order by slot)""")
+def step_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Increments within windows of six steps; the other features are dropped as a group."""
+    c = link_cells(spark, sf_dir).withColumn("win", F.floor(F.col("slot") / 6))
+    out = evals.without_groups(space.step_increments(c, ["panel", "link", "win"], "slot", "p"), {"raw": ["v", "p"], "keys": ["win"]}, ["raw", "keys"])
+    return rounded(out, "d_step", "d_origin")
+
+
+@query("""
+with t as (select l_returnflag as variant, sum(l_quantity) as q from lineitem group by 1), a as (select sum(q) as total from t)
+select variant, round((total - (total - q)) / (case variant when 'A' then 0.5 when 'N' then 0.3 else 0.2 end), 6) as task_score from t, a""")
+def decomposed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals without each flag against the full total."""
+    q = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("variant")).agg(F.sum("l_quantity").alias("q"))
+    whole = q.agg(F.sum("q").alias("all"))  # one row
+    totals = q.crossJoin(whole).select("variant", (F.col("all") - F.col("q")).alias("total")).unionByName(whole.select(F.lit("full").alias("variant"), F.col("all").alias("total")))
+    weights = spark.createDataFrame([("A", 0.5), ("N", 0.3), ("R", 0.2)], "variant string, w double")
+    return rounded(evals.decompose_totals(totals, "full", weights), "task_score", digits=6)
+
+
+@query()
+def learned_mask_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks scored out of fold by their shape, folds by image; panoptic quality at each threshold."""
+    from panelworks.plans.keyed import _masks
+
+    truth, pred, scores = _masks(spark, sf_dir)
+    shape = pred.groupBy("image", "inst").agg(F.sum(F.col("x1") - F.col("x0")).cast("double").alias("area"), F.count(F.lit(1)).cast("double").alias("rows"), (F.max("x1") - F.min("x0")).cast("double").alias("width"))
+    good = masks.match_targets(pred, truth).select("image", "inst", (F.col("hit_share") > 0).cast("int").alias("y"))
+    rows = shape.join(good, ["image", "inst"]).withColumn("fold", F.col("image") % 3)
+    kept = learn.out_of_fold(rows, ["area", "rows", "width"], "y", "fold", 3, trees=3).select("image", "inst", F.col("p").alias("score"))
+    out = masks.threshold_grid(pred, truth, kept, [0.0, 0.25, 0.5, 0.75])
+    return out.withColumns({"s": F.round("s", 6), "pq": F.round("pq", 8)})
+
+
+@query(f"""
+with runs as (select l_suppkey as image, l_linenumber as row, l_orderkey % 6 as inst, l_partkey % 3 as record, min(date_diff('day', timestamp '1995-01-01', l_shipdate))::bigint as x0, max(l_quantity)::bigint as n from lineitem group by 1, 2, 3, 4)
+, truth as (select image, row, inst, record, x0, x0 + n * 20 as x1 from runs), pred as (select image, row, inst, x0 + inst * 30 as x0, x0 + n * 20 as x1 from runs where record = 0 and inst * 30 < n * 20 and image % 7 <> 0)
+, ap as (select image, inst, sum(x1 - x0) as area from pred group by 1, 2), tru as (select image, record, inst, sum(x1 - x0) as area from truth group by 1, 2, 3)
+, ov as (select p.image, p.inst as a, t.record, t.inst as b, sum(least(p.x1, t.x1) - greatest(p.x0, t.x0)) as inter from pred p join truth t on p.image = t.image and p.row = t.row and least(p.x1, t.x1) > greatest(p.x0, t.x0) group by all)
+, iou as (select ov.image, a, ov.record, inter::double / (ap.area + tru.area - inter) as iou from ov join ap on ap.image = ov.image and ap.inst = a join tru on tru.image = ov.image and tru.record = ov.record and tru.inst = b)
+, best as (select image, a, record, max(iou) as m from iou group by 1, 2, 3 having max(iou) > 0.5), n as (select image, count(distinct record) as n from truth group by 1)
+select ap.image, ap.inst, round(coalesce(count(m) / any_value(n)::double, 0), 8) as hit_share, round(coalesce(avg(m), 0), 8) as mean_iou from ap join n using (image) left join best on best.image = ap.image and best.a = ap.inst group by 1, 2""")
+def match_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions against three records of each image."""
+    day = F.timestamp_diff("DAY", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate"))
+    runs = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image"), F.col("l_linenumber").alias("row"), (F.col("l_orderkey") % 6).alias("inst"), (F.col("l_partkey") % 3).alias("record")).agg(F.min(day).alias("x0"), F.max("l_quantity").cast("long").alias("n"))
+    truth = runs.select("image", "row", "inst", "record", "x0", (F.col("x0") + F.col("n") * 20).alias("x1"))
+    pred = runs.filter("record = 0 and inst * 30 < n * 20 and image % 7 <> 0").select("image", "row", "inst", (F.col("x0") + F.col("inst") * 30).alias("x0"), (F.col("x0") + F.col("n") * 20).alias("x1"))
+    return rounded(masks.match_targets(pred, truth), "hit_share", "mean_iou")

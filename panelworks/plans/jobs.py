@@ -177,3 +177,14 @@ def residual_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals on an interpolation baseline, two kinds of rows."""
     c = _learning_rows(spark, sf_dir).filter("v is not null").withColumns({"base": 100 * (F.col("o_m1") + F.col("o_1")) / 2, "dark": F.col("slot") % 4 == 0})
     return learn.residual_fit(c, ["o_m1", "o_1", "tod", "link"], "v", "base", "w", "dark", trees=3).select("panel", "slot", "link", "v", "base", "fitted")
+
+
+@query("""
+with b as (select count(*) filter (where n > 1) as d, count(*) filter (where o_orderkey is null) as e, count(*) filter (where n is null) as m from (select l_orderkey as k, count(*) as n from lineitem where l_linenumber = 1 group by 1) full join orders on k = o_orderkey)
+select u.name, u.n, u.n = 0 as ok from b, lateral (values ('duplicate', d), ('missing', m), ('extra', e)) u(name, n)""")
+def checks_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check rows written as JSON and read again."""
+    path = files.scratch(spark, "checks")
+    sheet = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"))
+    files.write_checks(contract.check_keys(sheet, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), ["k"]), path)
+    return spark.read.schema("name string, n long, ok boolean").json(path)
