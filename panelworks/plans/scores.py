@@ -208,7 +208,7 @@ def sign_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 with r as (select l_orderkey * 10 + l_linenumber as id, rater, v from lineitem, lateral (values ('r1', l_quantity), ('r2', l_quantity * (1 + l_discount * 4)), ('r3', l_quantity * (1 + l_tax * 8))) t(rater, v) where l_suppkey < 20)
 , o as (select id, rater, min(v) as v from r group by 1, 2)
 , k as (select * from (select *, median(v) over (partition by id) as m from o) where abs(v - m) <= 0.2 * abs(m))
-select id, rater, round(v, 6) as v, count(*) over p as n_raters, round(avg(v) over p, 8) as consensus, round(stddev_pop(v) over p, 6) as spread, round(case when count(*) over p > 1 then v - (sum(v) over p - v) / (count(*) over p - 1) end, 8) as loo_error
+select id, rater, round(v, 6) as v, count(*) over p as n_raters, round(avg(v) over p, 8) as consensus, round(stddev_pop(v) over p, 6) as spread, round(case when count(*) over p > 1 then v - (sum(v) over p - v) / (count(*) over p - 1) end, 8) + 0.0 as loo_error
 from k window p as (partition by id)""")
 def rater_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24, P12."""
@@ -216,7 +216,7 @@ def rater_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("r1"), (F.col("l_quantity") * (1 + F.col("l_discount") * 4)).alias("r2"), (F.col("l_quantity") * (1 + F.col("l_tax") * 8)).alias("r3"))
     long = wide.unpivot("id", ["r1", "r2", "r3"], "rater", "v").groupBy("id", "rater").agg(F.min("v").alias("v"))
     out = score.rater_consensus(long, "id", "rater", "v", off=0.2)
-    return out.withColumns({"v": F.round("v", 6), "consensus": F.round("consensus", 8), "spread": F.round("spread", 6), "loo_error": F.round("loo_error", 8)})
+    return out.withColumns({"v": F.round("v", 6), "consensus": F.round("consensus", 8), "spread": F.round("spread", 6), "loo_error": F.round("loo_error", 8) + 0.0})  # no negative zeros
 
 
 @query("""
