@@ -11,12 +11,40 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A run of 16 or more key letters, with the name that it is assigned to, if any.
-CANDIDATE = r"""(?<![A-Za-z0-9+/_=.\-])(?:[A-Za-z_.\-]{2,30}+["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)?+[A-Za-z0-9+/_=\-]{16,}+"""
+_SIGN = r"""["']?[ \t]{0,3}[:=][ \t]{0,3}["']?"""
+_NAME = rf"[A-Za-z_.\-]{{2,30}}+{_SIGN}(?:(?<=:)//)?+"
+_RUN = r"(?:[A-Za-z0-9+/_\-][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9+/_\-]={0,2}+|[A-Za-z0-9+/_.\-]{14}==|[A-Za-z0-9+/_.\-]{15}=)"
+#: A run of 16 or more key letters with dots between and = at the end, with the name that it is assigned to, if any.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?:{_NAME})?{_RUN}"
 #: The same, as groups: name and sign before, the candidate itself.
-PARTS = r"""(?s)^((?:[A-Za-z_.\-]{2,30}+["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)?+)([A-Za-z0-9+/_=\-]{16,}+)$"""
+PARTS = rf"(?s)^((?:{_NAME})?)({_RUN})$"
+#: Parts of a candidate that are candidates too are what stands between these, from so many letters on.
+BETWEEN, LEAST = "[./]+", 16
 #: Names of credentials beside a finding, and words that tell that it is only an example.
-CREDENTIAL = r"(?i)passw|pwd|secret|token|api.?key|access.?key|auth|credential|private"
+CREDENTIAL = r"(?i)passw|pwd|secret|token|api.?key|access.?key|auth(?!ors?\b)|credential|private"
+_CREDENTIAL_NAME = rf"(?=[A-Za-z0-9_.\-]{{2,60}}+{_SIGN})[A-Za-z0-9_.\-]{{0,40}}?(?:{CREDENTIAL})[A-Za-z0-9_.\-]{{0,40}}+{_SIGN}(?:(?i:bearer|basic|token)[ \t]+)?+"
+_WIDE = r"""(?:[^\s"'<>&]|&(?![A-Za-z0-9_.\-]{1,40}+=)){4,}+"""
+#: A credential's name and four or more letters of any kind up to a space, quote or the next parameter of a URL.
+ASSIGNED = rf"(?<![A-Za-z0-9_.\-]){_CREDENTIAL_NAME}{_WIDE}"
+#: The same, as groups.
+ASSIGNED_PARTS = rf"(?s)^({_CREDENTIAL_NAME})({_WIDE})$"
+_FORMATS = (
+    "(?:AKIA|ASIA)[A-Z0-9]{16}",
+    "gh[pousr]_[A-Za-z0-9]{36}",
+    r"eyJ[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]{6,}+\.[A-Za-z0-9_\-]{6,}+",
+    r"ya29\.[A-Za-z0-9_\-]{16,}+",
+    r"hv[sbr]\.[A-Za-z0-9_\-]{16,}+",
+    r"SG\.[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+",
+    r"hooks\.slack\.com/services/[A-Za-z0-9]+/[A-Za-z0-9]+/[A-Za-z0-9]++",
+)
+#: Formats that only keys have.
+KNOWN = rf"(?<![A-Za-z0-9])(?:{'|'.join(_FORMATS)})(?![A-Za-z0-9])"
+#: Hashes, UUIDs, and words and numbers joined by marks, as in host names, paths and slugs.
+HARMLESS = (
+    "^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"
+    "|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    r"|^/{0,2}(?:[A-Za-z]{1,15}+[0-9]{0,4}+|[0-9]{1,8}+)(?:[\-_./]+(?:[A-Za-z]{1,15}+[0-9]{0,4}+|[0-9]{1,8}+))*+/?$"
+)
 #: Frequent letter groups of English, German, French and Spanish words: what they cover of a candidate reads like prose.
 DICTIONARY = (
     "the and ing tion ent her ere ver ter ous ess ard ist ant able ould ment with "
@@ -32,9 +60,26 @@ FEATURES = ["length", "transitions", "digits", "distinct", "dictionary", "path",
 
 
 def candidates(text: Column) -> Column:
-    """Array of (name, value): every candidate of the text with the name and sign before it. Null counts as empty."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CANDIDATE), F.lit(0))
-    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, PARTS, 1).alias("name"), F.regexp_extract(m, PARTS, 2).alias("value")))
+    """Array of (name, value): every candidate of the text with the name and sign before it. Null counts as empty.
+
+    Candidates are runs of key letters, the parts of runs between dots and slashes, what is assigned to a credential's
+    name, and the known key formats.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def pairs(pattern: str, parts: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.regexp_extract(m, parts, 1).alias("name"), F.regexp_extract(m, parts, 2).alias("value")))
+
+    def bare(values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit("").alias("name"), v.alias("value")))
+
+    runs = pairs(CANDIDATE, PARTS)
+    within = F.flatten(F.transform(runs, lambda r: F.when(r["value"].rlike("[./]"), F.filter(F.split(r["value"], BETWEEN), lambda v: F.char_length(v) >= LEAST)).otherwise(F.array().cast("array<string>"))))
+    # marks that end a sentence or a bracket are not of the value
+    assigned = F.transform(pairs(ASSIGNED, ASSIGNED_PARTS), lambda a: F.struct(a["name"].alias("name"), F.regexp_replace(a["value"], r"[.,;:)\]}]++$", "").alias("value")))
+    known = F.regexp_extract_all(text, F.lit(KNOWN), F.lit(0))
+    return F.concat(runs, bare(within), F.filter(assigned, lambda a: a["value"] != ""), bare(known))
 
 
 def features(found: Column) -> dict[str, Column]:
@@ -61,12 +106,17 @@ def findings(docs: DataFrame) -> DataFrame:
     return rows.select("found.*", *[c.alias(n) for n, c in features(F.col("found")).items()])
 
 
+def certain(value: Column, credential: Column) -> Column:
+    """Secrets beyond doubt: known key formats, and values with letters and digits assigned to a credential's name."""
+    return value.rlike(rf"^{KNOWN}$") | ((credential == 1) & value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
+
+
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Labels of the findings that are beyond doubt: `secret` 1 for values of a known key format and for values with digits
-    assigned to a credential's name, 0 for values of letters only and for card or phone numbers; the others go."""
+    """Labels of the findings that are beyond doubt: `secret` 1 for those that are certain, 0 for values of letters only,
+    card or phone numbers, hashes, UUIDs and slugs without a credential's name; the others go."""
     letters, digits = F.col("value").rlike("^[A-Z]?[a-z]+$|^[A-Z]+$"), F.col("digits") == 1
-    known = F.col("value").rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$")
-    secret = F.when(known | ((F.col("credential") == 1) & (F.col("digits") > 0) & ~digits), 1).when((F.col("credential") == 0) & (letters | digits), 0)
+    harmless = (F.col("credential") == 0) & (letters | digits | F.col("value").rlike(HARMLESS))
+    secret = F.when(certain(F.col("value"), F.col("credential")), 1).when(harmless, 0)
     return found.withColumn("secret", secret).filter(F.col("secret").isNotNull())
 
 
@@ -99,25 +149,33 @@ def forest_score(model: RandomForestClassificationModel, of: dict[str, Column])
     return sum(votes[1:], votes[0]) / len(votes)
 
 
+def _masked(text: Column, value: Column) -> Column:
+    """The text without the value; values shorter than a run of key letters only where no letter or digit goes on."""
+    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    return F.when(F.char_length(value) >= LEAST, F.replace(text, value, F.lit(MASK))).otherwise(F.regexp_replace(text, quoted, F.lit(MASK)))
+
+
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None, least: float = 0.5) -> DataFrame:
     """All columns of docs, text with its secrets masked, n_candidates, n_secrets and the secrets themselves.
 
-    A candidate of which at least `least` of the trees say secret is one; its value is masked wherever it stands in the
-    text. Without a model the known key formats and assigned credentials count alone. Null texts count as empty and
-    become empty, rows stay apart, columns of docs with one of the three names are replaced.
+    A candidate that is certain, or of which at least `least` of the trees say secret, is one; its value is masked
+    wherever it stands in the text. Without a model the certain ones and values with digits assigned to a credential's
+    name count alone. Null texts count as empty and become empty, rows stay apart, columns of docs with one of the three
+    names are replaced.
     """
     docs = docs.drop("n_candidates", "n_secrets", "secrets")
     with_values = docs.withColumn("_f", F.transform(F.array_distinct(candidates(F.col("text"))), lambda x: F.struct(x["value"].alias("value"), *[c.alias(n) for n, c in features(x).items()])))
 
     def is_secret(x: Column) -> Column:
+        sure = certain(x["value"], x["credential"])
         if model is None:
-            return (x["credential"] == 1) & (x["digits"] > 0)
-        return forest_score(model, {n: x[n] for n in FEATURES}) >= least
+            return sure | ((x["credential"] == 1) & (x["digits"] > 0))
+        return sure | (forest_score(model, {n: x[n] for n in FEATURES}) >= least)
 
     found = with_values.withColumn("secrets", F.array_sort(F.array_distinct(F.transform(F.filter("_f", is_secret), lambda x: x["value"]))))
     # longer ones first, so that a secret within another leaves no rest
     by_size = F.array_sort("secrets", lambda a, b: F.char_length(b) - F.char_length(a))
-    masked = F.aggregate(by_size, F.coalesce("text", F.lit("")), lambda text, s: F.replace(text, s, F.lit(MASK)))
+    masked = F.aggregate(by_size, F.coalesce("text", F.lit("")), _masked)
     return found.withColumn("text", masked).withColumn("n_candidates", F.size("_f").cast("long")).withColumn("n_secrets", F.size("secrets").cast("long")).drop("_f")
 
 
