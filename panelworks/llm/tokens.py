@@ -1,7 +1,8 @@
 """Token ids of whole texts with a byte-level BPE of the tokenizers library.
 
 Texts are cut before single spaces, where the tokenizer's own pre-tokenisation always has a boundary, and each
-distinct chunk is encoded once and remembered. The ids are those of encoding the whole text.
+distinct chunk is encoded once and remembered. The ids are those of encoding the whole text. Texts that hold a token
+added to the tokenizer, such as <|endoftext|>, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words = Tokenizer.from_file(path)  # for letters only, of which each chunk is one pre-token
         self.words.encode_special_tokens = True
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -152,7 +154,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if _UNSAFE.search(text):
+            if _UNSAFE.search(text) or (self.added and self.added.search(text)):
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
                 continue
             head, *tail = text.split(" ")

@@ -499,3 +499,20 @@ def test_tokens_of_odd_texts():
     ids, n = enc.encode(texts * 2)
     cuts = np.cumsum([0, *n])
     assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [whole_ids(t) for t in texts * 2]
+
+
+def test_added_tokens_have_their_own_ids(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(byte_bpe())
+    texts = ["<|endoftext|>", "a<|endoftext|>b c", "one <|endoftext|> two", "one  <|endoftext|>\n", "<|endoftext", "plain words."]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256]
+    ids, n = encoder(byte_bpe()).encode(texts)
+    cuts = np.cumsum([0, *n])
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == want
+    docs = docs_of(list(enumerate(texts)))
+    out = sorted(records.read_records(records.write_records(docs, byte_bpe())).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_read, r.ids_crc32) for r in out] == [(len(w) + 1, crc([*w, 0])) for w in want]
+    packed = {r.doc_id: r for r in packing.pack_documents(docs, byte_bpe()).collect()}
+    assert [(packed[i].length, packed[i].ids_crc32) for i in range(len(texts))] == [(len(w) + 1, crc([*w, 2])) for i, w in enumerate(want)]
