@@ -1,6 +1,7 @@
 """Line deduplication by a tree of line templates.
 
-A line's tokens with a digit become fields. The tree has a fixed depth: the number of tokens, then the leading tokens; a
+A line's tokens with a digit become fields, if at least half of its tokens have none; other lines, such as rows of a
+table, are compared by their own text alone. The tree has a fixed depth: the number of tokens, then the leading tokens; a
 leaf holds templates. A line joins the first template of its leaf that it differs from in few enough places, which then
 become fields too; else it founds one. A template that recurs in enough documents is boilerplate: its lines stay in the
 document with the smallest doc_id and are dropped from all others.
@@ -40,11 +41,21 @@ def fields_of(n: int) -> int:
 
 
 def masked_lines(text: str) -> list[bytes]:
-    """Each line of the text as its tokens and fields, with single spaces."""
+    """Each line of the text as its tokens and fields, with single spaces; unmasked where over half of them would be fields."""
     data = text.encode()
-    if _DIGIT.search(data):
-        data = _WITH_DIGIT.sub(FIELD, data)
-    return [b" ".join(x.split()) for x in data.split(b"\n")]
+    lines = [b" ".join(x.split()) for x in data.split(b"\n")]
+    if not _DIGIT.search(data):
+        return lines
+    out = []
+    for line in lines:
+        masked, n = _WITH_DIGIT.subn(FIELD, line)
+        out.append(line if 2 * n > line.count(b" ") + 1 else masked)
+    return out
+
+
+def is_own_text(line: bytes) -> bool:
+    """Whether masked_lines() left the line's digits as they are."""
+    return _DIGIT.search(line) is not None
 
 
 def line_key(masked: bytes) -> bytes | None:
@@ -106,6 +117,9 @@ class Leaf:
 
     def add(self, line: bytes, n_docs: int) -> None:
         tokens = line.split(b" ")
+        if is_own_text(line):  # a template of its own, which no other line joins
+            self.templates.append([tokens, 0, n_docs, [line]])
+            return
         parts = self._parts(tokens)
         for k in dict.fromkeys(k for p in parts for k in self.by_part.get(p, ())):
             template = self.templates[k]

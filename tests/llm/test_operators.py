@@ -273,6 +273,13 @@ def test_line_templates_odd(spark, odd_docs, empty_docs, clashing, docs_of):
     assert texts[0] == "keep this one\nthe same old footer" and texts[3] == "" and texts[9] == "keep that one\nother"
 
 
+def test_rows_of_numbers_are_no_templates(spark, docs_of):
+    rows = [(i, f"2019-01-0{i} 1{i}:00 3{i}.5\nTotal 1{i} 2{i} 3{i} 4{i}\nsame 1 2 3\npage number {i} of 9") for i in range(1, 8)]
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(rows)).select("doc_id", "text").collect()}
+    assert out[1] == rows[0][1]
+    assert all(out[i] == "\n".join(t.split("\n")[:2]) for i, t in rows[1:])
+
+
 # 6
 
 
