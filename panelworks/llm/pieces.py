@@ -2,9 +2,13 @@
 
 The distinct words of a batch are put one after another and indexed by a suffix array. Every piece of the model is
 found in it by binary search; its range of suffixes is its occurrences, each an edge from where it begins to where it
-ends. The edges, by position, are what symbols can be merged to. Relaxation joins, in all words at once, the two
-neighbouring symbols under the best edge of the word, until no edge spans two symbols: the segmentation of a BPE model.
-Characters that no piece covers become byte pieces. Words are remembered, so that each is encoded about once a task.
+ends. The edges, by position, are what symbols can be merged to. Relaxation joins the two neighbouring symbols under the
+best edge of a word, until no edge spans two symbols: the segmentation of a BPE model. Short words are relaxed all at once,
+each long one, such as a text without spaces, by a heap of its edges. Characters that no piece covers become byte pieces.
+Words are remembered, so that each is encoded about once a task.
+
+The table of edges takes 4 bytes for each letter and length of a piece, about 70 bytes a letter: texts of 2 MB at a time,
+or one longer text alone.
 """
 
 from __future__ import annotations
@@ -23,16 +27,65 @@ from panelworks.llm.common import strings, text_spans
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Longer words are merged one by one with a heap; together they would hold up the others.
+#: Longer words are relaxed one by one; together with the others each of their merges would be a round for all.
 LONG_WORD = 48
 
 
+#: The code point between words in the text that is indexed; it is in no word, as words end at spaces.
+GAP = ord(" ")
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message: varints and fixed ones as numbers, others as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, data[at : at + n]
+            at += n
+
+
+def check_model(path: str) -> None:
+    """ValueError unless the model file is what Pieces can encode: a BPE, texts not normalised, no user-defined pieces, with
+    bytes for other letters. Field numbers are those of the library's model files."""
+    with open(path, "rb") as file:
+        fields = list(_fields(file.read()))
+    trainer, normaliser = (dict(_fields(next((v for k, v in fields if k == n), b""))) for n in (2, 3))
+    kinds = {dict(_fields(v)).get(3, 1) for k, v in fields if k == 1}
+    wrong = [
+        trainer.get(3, 1) != 2 and "is no BPE model",
+        not trainer.get(35, 0) and "has no byte pieces",
+        bool(normaliser.get(2)) and "normalises texts",
+        not normaliser.get(3, 1) and "puts no space before a text",
+        bool(normaliser.get(4, 1)) and "drops spaces",
+        4 in kinds and "has user-defined pieces",
+    ]
+    if any(wrong):
+        raise ValueError(f"{path} " + ", ".join(x for x in wrong if x))
+
+
 class Pieces:
     """Encoder and decoder of one BPE model of the sentencepiece library. `room` bounds the words remembered."""
 
     def __init__(self, path: str, room: int = 500_000):
         import sentencepiece
 
+        check_model(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
@@ -42,15 +95,15 @@ class Pieces:
         self.byte_id = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         scores = np.array([model.get_score(i) for i in usual])
         order = np.unique(-scores, return_inverse=True)[1]
-        self.id_of = {names[i]: i for i in usual}
-        self.rank_of = {names[i]: int(r) for i, r in zip(usual, order, strict=True)}
         self.rank = np.full(n + 1, 1 << 30, np.int64)  # the last stands for no piece
         self.rank[usual] = order
         self.none = n
-        self.longest = max(map(len, self.id_of))
-        self.codes = [np.array([ord(c) for c in names[i]], np.int64) for i in usual]
+        self.size = np.array([len(names[i]) for i in usual], np.int64)
+        self.longest = int(self.size.max())
+        self.codes = np.zeros((len(usual), self.longest), np.int64)  # the letters of each piece, 0 after its end
+        self.codes[np.arange(self.longest) < self.size[:, None]] = [ord(c) for i in usual for c in names[i]]
         self.usual = np.array(usual, np.int64)
-        self.letters = np.unique(np.concatenate(self.codes))
+        self.letters = np.unique(self.codes[self.codes > 0])
         shown = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else names[i].encode() for i in range(n)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_n = np.array([len(x) for x in shown], np.int64)
@@ -83,20 +136,19 @@ class Pieces:
         return order, [key[order] for key in keys], bits, per_key
 
     def _edges(self, text: np.ndarray) -> np.ndarray:
-        """Table [place, letters]: the piece that begins there and has so many letters, or none. text: code points, 0 between words."""
+        """Table [place, letters]: the piece that begins there and has so many letters, or none. text: code points, GAP between words."""
         present = np.intersect1d(np.unique(text), self.letters)
         number = np.zeros(int(max(text.max(initial=0), self.letters[-1])) + 1, np.int64)
         number[present] = np.arange(2, len(present) + 2)
-        own = np.where(text == 0, 0, np.maximum(number[text], 1))  # 1: a letter of no piece
+        own = np.where(text == GAP, 0, np.maximum(number[text], 1))  # 1: a letter of no piece
         order, keys, bits, per_key = self._suffixes(own)
         firsts, places, sizes = [], [], []
-        wanted = [(p, number[c]) for p, c in zip(self.usual.tolist(), self.codes, strict=True) if number[c].all()]
-        size = np.array([len(c) for _, c in wanted], np.int64)
-        low = np.zeros((len(keys), len(wanted)), np.uint64)
-        for k in range(len(keys)):
-            for j in range(per_key):
-                at = k * per_key + j
-                low[k] = (low[k] << np.uint64(bits)) | np.array([c[at] if at < len(c) else 0 for _, c in wanted], np.uint64)
+        numbered = number[self.codes]
+        some = np.flatnonzero((numbered > 0).sum(axis=1) == self.size)  # pieces of which all letters are there
+        wanted, size, numbered = self.usual[some], self.size[some], numbered[some].astype(np.uint64)
+        low = np.zeros((len(keys), len(some)), np.uint64)
+        for at in range(len(keys) * per_key):
+            low[at // per_key] = (low[at // per_key] << np.uint64(bits)) | (numbered[:, at] if at < self.longest else np.uint64(0))
         for k in range(len(keys)):  # pieces that end within key k
             here = np.flatnonzero((size > k * per_key) & (size <= (k + 1) * per_key))
             free = np.uint64(bits) * ((k + 1) * per_key - size[here]).astype(np.uint64)
@@ -116,7 +168,7 @@ class Pieces:
             ends = np.cumsum(often)
             at = np.repeat(lo - (ends - often), often) + np.arange(int(often.sum()))
             places.append(order[at])
-            firsts.append(np.repeat(np.array([p for p, _ in wanted], np.int64)[here], often))
+            firsts.append(np.repeat(wanted[here], often))
             sizes.append(np.repeat(size[here], often))
         table = np.full((len(text) + 1, self.longest + 1), self.none, np.int32)
         table[np.concatenate(places), np.concatenate(sizes)] = np.concatenate(firsts)
@@ -124,14 +176,17 @@ class Pieces:
 
     # relaxation
 
-    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Final symbols of all words: word, place, letters, code point of the first letter, piece."""
-        text = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Final symbols of all words, by word: word, code point of the first letter, piece."""
+        text = np.frombuffer((" ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)  # words hold no space
         table = self._edges(text)
-        begin = np.flatnonzero(text)
-        word = np.cumsum(text == 0)[begin]
+        starts = np.concatenate([[0], np.flatnonzero(text == GAP) + 1])
+        long = np.flatnonzero(np.diff(starts) - 1 > LONG_WORD)
+        done = [(np.full(len(a), k), a, b) for k in long.tolist() for a, b in [self._by_heap(table, int(starts[k]), int(starts[k + 1]) - 1)]]
+        word = np.cumsum(text == GAP)
+        begin = np.flatnonzero((text != GAP) & ~np.isin(word, long))
+        word = word[begin]
         end = begin + 1
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(begin):
             size = end[1:] - begin[:-1]
             joins = (word[1:] == word[:-1]) & (size <= self.longest)
@@ -151,66 +206,55 @@ class Pieces:
         word, begin, end = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.argsort(begin, kind="stable")
         word, begin, size = word[order], begin[order], (end - begin)[order]
-        return word, begin, size, text[begin], table[begin, size]
+        return word, text[begin], table[begin, size]
 
-    def _by_heap(self, word: str) -> list[int]:
-        """The same segmentation of one long word."""
-        n = len(word)
+    def _by_heap(self, table: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the final symbols of the word at lo to hi."""
+        n = hi - lo
+        ranks = self.rank[table[lo:hi]]
         size, before, dead = [1] * n, list(range(-1, n - 1)), [False] * n
         heap: list[tuple[int, int, int]] = []
 
         def offer(a: int) -> None:
             b = a + size[a]
-            if b < n and (rank := self.rank_of.get(word[a : b + size[b]])) is not None:
-                heapq.heappush(heap, (rank, a, size[a] + size[b]))
+            if b < n and (both := size[a] + size[b]) <= self.longest and (rank := int(ranks[a, both])) < 1 << 30:
+                heapq.heappush(heap, (rank, a, both))
 
-        for a in range(n - 1):
+        for a in np.flatnonzero(ranks[:, 2] < 1 << 30).tolist():
             offer(a)
         while heap:
             _, a, both = heapq.heappop(heap)
             if dead[a] or a + size[a] >= n or size[a] + size[a + size[a]] != both:
                 continue
-            b = a + size[a]
-            dead[b] = True
+            dead[a + size[a]] = True
             size[a] = both
             if a + both < n:
                 before[a + both] = a
             offer(a)
             if before[a] >= 0:
                 offer(before[a])
-        out, a = [], 0
-        while a < n:
-            piece = word[a : a + size[a]]
-            out += [self.id_of[piece]] if piece in self.id_of else [self.byte_id[x] for x in piece.encode()]
-            a += size[a]
-        return out
+        begin = np.flatnonzero(~np.array(dead))
+        return lo + begin, lo + begin + np.array(size)[begin]
 
     def _learn(self, fresh: list[str]) -> None:
         """Ids of words not seen before, in the order of their rows."""
-        short = [k for k, x in enumerate(fresh) if len(x) <= LONG_WORD and "\0" not in x]
-        ids_of: dict[int, list[int]] = {k: self._by_heap(x) for k, x in enumerate(fresh) if len(x) > LONG_WORD or "\0" in x}
-        flat, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if short:
-            word, _, _, letter, piece = self._relax([fresh[k] for k in short])
-            owner, flat = np.array(short, np.int64)[word], piece.astype(np.int64)
-            if (other := np.flatnonzero(flat == self.none)).size:  # letters of no piece, as bytes
-                bytes_of = [[self.byte_id[x] for x in chr(c).encode()] for c in letter[other].tolist()]
-                width = np.ones(len(flat), np.int64)
-                width[other] = [len(x) for x in bytes_of]
-                spread = np.repeat(np.arange(len(flat)), width)
-                owner, flat, before = owner[spread], flat[spread], flat
-                flat[before[spread] == self.none] = np.array([i for x in bytes_of for i in x], np.int64)
-        owner = np.concatenate([owner, *[np.full(len(x), k) for k, x in ids_of.items()]]).astype(np.int64)
-        flat = np.concatenate([flat, *[np.array(x, np.int64) for x in ids_of.values()]])
+        owner, letter, flat = self._relax(fresh)
+        flat = flat.astype(np.int64)
+        if (other := np.flatnonzero(flat == self.none)).size:  # letters of no piece, as bytes
+            bytes_of = [[self.byte_id[x] for x in chr(c).encode()] for c in letter[other].tolist()]
+            width = np.ones(len(flat), np.int64)
+            width[other] = [len(x) for x in bytes_of]
+            spread = np.repeat(np.arange(len(flat)), width)
+            owner, flat, before = owner[spread], flat[spread], flat
+            flat[before[spread] == self.none] = np.array([i for x in bytes_of for i in x], np.int64)
         length = np.bincount(owner, minlength=len(fresh))
         start = np.cumsum(length) - length
-        out = flat[np.argsort(owner, kind="stable")]
-        while self.used + len(out) > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(out)] = out
+        self.flat[self.used : self.used + len(flat)] = flat
         self.start = np.concatenate([self.start, self.used + start])
         self.length = np.concatenate([self.length, length])
-        self.used += len(out)
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and how many each text has. A space goes before each text that is not empty, as in the library."""
