@@ -2,8 +2,10 @@
 
 Each task first puts its own rows into a trie, so that a text with very many copies leaves a task as one row a window.
 These rows go to partitions of (length, content hash), where full byte strings are inserted into a trie whose terminal
-nodes hold the smallest doc_id. A trie over its budget spills whole subtrees to the task's own temporary file and
-finishes them one after another. Copies get their owner by a join on the row that stood for them.
+nodes hold the smallest doc_id. A trie over its budget detaches whole subtrees: what they hold and what comes below them
+later goes to the task's own temporary file, and each is finished after the rest. Such a file is lost with its executor,
+and the task that runs again writes its own. A text that very many windows hold is merged in many tasks first. Copies get
+their owner by a join on the row that stood for them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import strings, text_spans, written
+from panelworks.llm.common import SALTS, hot_keys, skew_join, strings, text_spans, written
 
 #: Stands for a null doc_id, which comes after all others.
 LAST = (1 << 63) - 1
@@ -38,19 +40,21 @@ def normalised(text: str) -> bytes:
 
 
 class Node:
-    """The edge key[lo:hi] that leads to it, children by first byte; `least` is set where a key ends."""
+    """The edge key[lo:hi] that leads to it, children by first byte; `rows` are those whose key ends here. `file`: spilled from here on."""
 
-    __slots__ = ("key", "lo", "hi", "kids", "least", "owner", "count", "rows")
+    __slots__ = ("key", "lo", "hi", "kids", "rows", "file")
 
     def __init__(self, key: bytes, lo: int, hi: int):
         self.key, self.lo, self.hi = key, lo, hi
         self.kids: dict[int, Node] = {}
-        self.least, self.owner, self.count, self.rows = None, 0, 0, None
+        self.rows = self.file = None
 
 
 def _common(a: bytes, at: int, b: bytes, to: int, most: int) -> int:
     """Length of the common prefix of a[at:] and b[to:], `most` at most, by halving."""
-    lo, hi = 0, most
+    if a[at : at + most] == b[to : to + most]:
+        return most
+    lo, hi = 0, most - 1
     while lo < hi:
         mid = (lo + hi + 1) // 2
         if a[at + lo : at + mid] == b[to + lo : to + mid]:
@@ -61,7 +65,7 @@ def _common(a: bytes, at: int, b: bytes, to: int, most: int) -> int:
 
 
 class Trie:
-    """Patricia trie: insert() returns the terminal node of a key."""
+    """Patricia trie: insert() returns the node where a key ends, or the spilled node that it lies below."""
 
     def __init__(self):
         self.root = Node(b"", 0, 0)
@@ -81,77 +85,84 @@ class Trie:
                 middle.kids[kid.key[kid.lo]] = kid
                 kid = middle
             node, at = kid, at + same
+            if node.file is not None:
+                return node
         return node
 
 
-def _claim(node: Node, least: int, owner: int, count: int) -> None:
-    """Adds `count` rows to a terminal node; the smallest (doc_id, row) owns it."""
-    if node.least is None or (least, owner) < (node.least, node.owner):
-        node.least, node.owner = least, owner
-    node.count += count
+#: Bytes that a key's nodes and a row take beside the key.
+NODE_BYTES, ROW_BYTES = 400, 120
 
 
 class SpillingTrie:
-    """Rows (row, least, count, key) in a trie; over `budget` bytes of keys the largest subtree by byte `depth` goes to a file."""
+    """Rows (row, least, count, key) in a trie; over `budget` bytes the largest subtree below the first branch goes to a file."""
 
     FRAME = struct.Struct("<qqqq")
 
-    def __init__(self, budget: int = TRIE_BYTES, depth: int = 0):
-        self.budget, self.depth = budget, depth
-        self.trie, self.held, self.total = Trie(), {}, 0  # held: byte -> [bytes, rows]
-        self.spilled: dict[int, object] = {}
+    def __init__(self, budget: int = TRIE_BYTES):
+        self.budget, self.trie, self.total = budget, Trie(), 0
+        self.spilled: list[Node] = []
 
     def add(self, row: int, least: int, count: int, key: bytes) -> None:
-        part = key[self.depth] if self.depth < len(key) else -1
-        if part in self.spilled:
-            self._write(part, row, least, count, key)
-            return
         node = self.trie.insert(key)
-        _claim(node, least, row, count)
-        new = node.rows is None
-        if new:
-            node.rows = []
+        if node.file is not None:
+            self._write(node, row, least, count, key)
+            return
+        if node.rows is None:
+            node.rows, node.key = [], key
+            self.total += len(key) + NODE_BYTES
         node.rows.append((row, least, count))
-        held = self.held.setdefault(part, [0, []])
-        if new:
-            held[1].append((node, key))
-            held[0] += len(key)
-            self.total += len(key)
-        if self.total > self.budget and self.depth < 8:
-            self._spill(max(self.held, key=lambda b: self.held[b][0]))
-
-    def _write(self, part: int, row: int, least: int, count: int, key: bytes) -> None:
-        self.spilled[part].write(self.FRAME.pack(row, least, count, len(key)) + key)
-
-    def _spill(self, part: int) -> None:
-        size, nodes = self.held.pop(part)
-        self.total -= size
-        self.spilled[part] = tempfile.TemporaryFile()
-        for node, key in nodes:
+        self.total += ROW_BYTES
+        if self.total > self.budget:
+            self._spill()
+
+    def _write(self, node: Node, row: int, least: int, count: int, key: bytes) -> None:
+        node.file.write(self.FRAME.pack(row, least, count, len(key)) + key)
+
+    def _ends(self, top: Node) -> Iterator[Node]:
+        todo = [top]
+        while todo:
+            node = todo.pop()
+            if node.rows:
+                yield node
+            todo += node.kids.values()
+
+    def _held(self, top: Node) -> int:
+        return sum(len(x.key) + NODE_BYTES + ROW_BYTES * len(x.rows) for x in self._ends(top))
+
+    def _spill(self) -> None:
+        """Detaches the largest subtree below the first branch; a single key and its rows stay, whatever the budget."""
+        top = self.trie.root
+        while len(kids := [x for x in top.kids.values() if x.file is None]) == 1 and not top.rows:
+            top = kids[0]
+        if not kids:
+            return
+        sizes = [self._held(x) for x in kids]
+        size, kid = max(zip(sizes, kids, strict=True), key=lambda x: x[0])
+        stub = Node(kid.key, kid.lo, kid.lo + 1)  # the first byte of the edge, so that whatever goes this way meets the file
+        stub.file = tempfile.TemporaryFile()
+        top.kids[kid.key[kid.lo]] = stub
+        self.spilled.append(stub)
+        for node in self._ends(kid):
             for row, least, count in node.rows:
-                self._write(part, row, least, count, key)
-        fresh = Trie()  # what stays is few bytes to insert again, and the old nodes go
-        for _, kept in self.held.values():
-            for k, (old, key) in enumerate(kept):
-                node = fresh.insert(key)
-                node.least, node.owner, node.count, node.rows = old.least, old.owner, old.count, old.rows
-                kept[k] = (node, key)
-        self.trie = fresh
+                self._write(stub, row, least, count, node.key)
+        self.total -= size
 
     def classes(self) -> Iterator[tuple[int, int, int, int]]:
-        """(row, least, owner, count) for each row that was added."""
-        for _, nodes in self.held.values():
-            for node, _ in nodes:
-                for row, _, _ in node.rows:
-                    yield row, node.least, node.owner, node.count
-        self.held, self.trie = {}, Trie()
-        for file in self.spilled.values():
-            file.seek(0)
-            below = SpillingTrie(self.budget, self.depth + 1)
-            while head := file.read(self.FRAME.size):
+        """(row, least, owner, count) for each row that was added; the smallest (least, row) owns a class."""
+        for node in self._ends(self.trie.root):
+            least, owner = min((x[1], x[0]) for x in node.rows)
+            count = sum(x[2] for x in node.rows)
+            for row, _, _ in node.rows:
+                yield row, least, owner, count
+        self.trie = Trie()
+        for stub in self.spilled:
+            stub.file.seek(0)
+            below = SpillingTrie(self.budget)
+            while head := stub.file.read(self.FRAME.size):
                 row, least, count, n = self.FRAME.unpack(head)
-                below.add(row, least, count, file.read(n))
-            file.close()
+                below.add(row, least, count, stub.file.read(n))
+            stub.file.close()
             yield from below.classes()
 
 
@@ -167,8 +178,8 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal trie, nodes, size, made
         rows = [base + made + k for k in range(len(nodes))]
         made += len(nodes)
-        texts = [key[32:] for _, key in nodes]
-        shas = [key[:32] for _, key in nodes]
+        texts = [key for _, key in nodes]
+        shas = [hashlib.sha256(x).digest() for x in texts]
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array(rows, pa.int64()),
@@ -187,8 +198,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_spans(batch["text"]):
             for doc_id, text in zip(batch["doc_id"].slice(a, b - a).to_pylist(), strings(batch["text"].slice(a, b - a)), strict=True):
-                data = normalised(text)
-                key = hashlib.sha256(data).digest() + data
+                key = normalised(text)
                 node = trie.insert(key)
                 if node.rows is None:
                     node.rows = []
@@ -205,8 +215,8 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie = SpillingTrie()
     for batch in batches:
-        for row, h, least, count, data in zip(*(batch[c].to_pylist() for c in ("row", "hash", "least", "count", "text")), strict=True):
-            trie.add(row, least, count, h.to_bytes(8, "little", signed=True) + data)
+        for row, least, count, text in zip(*(batch[c].to_pylist() for c in ("row", "least", "count", "text")), strict=True):
+            trie.add(row, least, count, text)
     out: list[tuple] = []
     for x in trie.classes():
         out.append(x)
@@ -221,6 +231,11 @@ def _class_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["row", "keep_id", "keep_row", "group_size"])
 
 
+def _classes(texts: DataFrame, *deal: str) -> DataFrame:
+    """(row, keep_id, keep_row, group_size) of rows (row, length, hash, least, count, text)."""
+    return texts.repartition("length", "hash", *deal).select("row", "least", "count", "text").mapInArrow(_owners, "row long, keep_id long, keep_row long, group_size long")
+
+
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
@@ -230,7 +245,19 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     """
     local = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_local, LOCAL), "texts")
     texts = local.select("row", "length", "hash", "least", F.size("members").cast("long").alias("count"), "text")
-    classes = texts.repartition("length", "hash").mapInArrow(_owners, "row long, keep_id long, keep_row long, group_size long")
+    # texts of very many windows: each of SALTS tasks brings its share down to one row first
+    hot = hot_keys(texts, "hash")
+    if hot:
+        is_hot = F.col("hash").isin(hot)
+        shares = written(_classes(texts.filter(is_hot).withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))), "_salt"), "shares")
+        firsts = shares.filter("row = keep_row").select("row", F.col("group_size").alias("share"))
+        merged = texts.filter(is_hot).join(firsts, "row").select("row", "length", "hash", "least", F.col("share").alias("count"), "text")
+        owners = written(_classes(texts.filter(~is_hot).unionByName(merged)), "owners")
+        of_share = owners.select(F.col("row").alias("keep_row"), "keep_id", F.col("keep_row").alias("_keep"), "group_size")
+        later = skew_join(shares.select("row", "keep_row"), of_share, "keep_row").select("row", "keep_id", F.col("_keep").alias("keep_row"), "group_size")
+        classes = owners.join(shares.select("row"), "row", "left_anti").unionByName(later)
+    else:
+        classes = _classes(texts)
     members = local.select("row", "text_sha256", "least", F.posexplode("members").alias("_k", "doc_id"), F.array_position("members", F.col("least")).alias("_first"))
     kept = (F.col("row") == F.col("keep_row")) & F.when(F.col("_first") > 0, F.col("_k") + 1 == F.col("_first")).otherwise(F.col("_k") == 0)
     joined = members.join(classes, "row").withColumn("kept", kept)
