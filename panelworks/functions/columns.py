@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,14 +136,44 @@ def null_sentinel(value: Column, sentinel: float) -> Column:
     return F.when(~(F.abs(value - sentinel) <= 1e-8 + 1e-5 * abs(sentinel)), value)
 
 
-#: Accented letters of the supported languages and their base letters.
-ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _ranges(letters: list[str], gap: int) -> str:
+    """A pattern's class of the letters, and of those between any two that are at most `gap` apart."""
+    out: list[list[int]] = []
+    for code in map(ord, letters):
+        if out and code - out[-1][1] <= gap:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+@functools.cache
+def _decomposed() -> tuple[str, str, dict[str, str], str, str]:
+    """By Unicode's compatibility decomposition without combining marks: letters that become one letter and what each becomes,
+    those that become several or none, a pattern that finds these among others, and one of marks. Hangul syllables, which
+    have no accents, are left out."""
+    ones, several, marks = {}, {}, []
+    for code in range(0x80, 0x1F000):
+        letter = chr(code)
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
+            continue
+        if unicodedata.combining(letter):
+            marks.append(letter)
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        if plain != letter:
+            (ones if len(plain) == 1 else several)[letter] = plain
+    return "".join(ones), "".join(ones.values()), several, _ranges(list(several), 16), r"(?:(?=\p{M})" + _ranges(marks, 1) + ")+"
 
 
 def normalise_text(text: Column) -> Column:
-    """lower case without accents, single spaces."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), r"\s+", " ")
+    """compatibility letters without accents, lower case, single spaces. Texts of ASCII letters skip the first step."""
+    ones, becomes, several, maybe, marks = _decomposed()
+    clean = F.coalesce(text, F.lit(""))
+    table = F.map_from_arrays(F.split(F.lit(" ".join(several)), " "), F.split(F.lit("\x01".join(several.values())), "\x01"))
+    spread = F.array_join(F.transform(F.split(clean, ""), lambda c: F.when(c.rlike(maybe), F.coalesce(F.element_at(table, c), c)).otherwise(c)), "")
+    plain = F.regexp_replace(F.translate(F.when(clean.rlike(maybe), spread).otherwise(clean), ones, becomes), marks, "")
+    return F.regexp_replace(F.lower(F.when(clean.rlike(r"[^\x00-\x7F]"), plain).otherwise(clean)), r"(?U)\s+", " ")
 
 
 def stem(name: Column) -> Column:

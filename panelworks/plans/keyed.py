@@ -10,24 +10,36 @@ from panelworks.operators import blend, contract, grid, labels, masks, windows
 from panelworks.plans.base import query, read, rounded
 from panelworks.plans.scores import ARMS_SQL, arms
 
-#: A small lexicon for the test texts: finding, term, whether the term alone is positive.
-LEXICON = [("insult", "idiot|scum|clown", True), ("mood", "pathetic|disgusting|worthless", False), ("licence", "licen[cs]e", True)]
-NEGATION = r"\bno\b|\bnot\b|\bwas\b|\bne\b|\bnicht\b"
-PATHOLOGY = r"\bthe\b|\bla\b|\bder\b"
-LEX_SQL = "lex(finding, term, self_positive) as (values " + ", ".join(f"('{f}', '{t}', {str(s).lower()})" for f, t, s in LEXICON) + ")"
+#: A lexicon for the test texts.
+LEXICON = labels.Lexicon(
+    findings=(
+        labels.Finding("insult", ("idiot", "scum", "clown"), self_positive=True),
+        labels.Finding("mood", ("pathetic", "disgusting", "worthless")),
+        labels.Finding("licence", (r"licen[cs]e",), self_positive=True),
+        labels.Finding("contact", (r"mail\d", r"\bcall\b"), r"\bthe\b|\bdie\b|\ble\b"),
+        labels.Finding("article", (r"\band the\b", r"\bde la\b", r"\bin der\b")),
+    ),
+    negation=r"\bno\b|\bnot\b|\bwas\b|\bne\b|\bnicht\b",
+    pathology=r"\bthe\b|\bla\b|\bder\b",
+)
+LEX_SQL = "lex(finding, term, pathology, self_positive) as (values " + ", ".join(f"('{f.name}', '{'|'.join(f.terms)}', '{f.pathology or LEXICON.pathology}', {str(f.self_positive).lower()})" for f in LEXICON.findings) + ")"
+_NEGATED = "(regexp_matches(substr(c, greatest({s} - 80, 1), least({s} - 1, 80)), '" + LEXICON.negation + "') or regexp_matches(substr(c, {e}, 45), '" + LEXICON.negation + "'))"
+#: The rule over each mention. Letters that decompose are plain, and no pattern holds a letter beside that a word's end depends on.
 STATES_SQL = rf"""{LEX_SQL}
-, cl as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.;:\n\r]+|\s-\s|\*|\|'), lambda c: trim(regexp_replace(translate(lower(c), '{C.ACCENTED}', '{C.PLAIN}'), '\s+', ' ', 'g'))), lambda c: c <> '')) as c from documents)
-, m as (select doc_id, finding, self_positive, c, regexp_extract(c, term) as hit from cl, lex where regexp_matches(c, term))
-, a as (select *, strpos(c, hit) as mention from m)
-, w as (select *, substr(c, greatest(mention - 80, 1), least(mention - 1, 80)) as bef, substr(c, mention + length(hit), 45) as aft, substr(c, greatest(mention - 80, 1), mention + length(hit) - greatest(mention - 80, 1) + 80) as near from a)
-, s as (select doc_id, finding, case when regexp_matches(bef, '{NEGATION}') or regexp_matches(aft, '{NEGATION}') then -1 when self_positive or regexp_matches(near, '{PATHOLOGY}') then 1 else 0 end as s from w)
-, st as (select doc_id, finding, case when bool_or(s = 1) then 1 when bool_or(s = -1) then -1 else 0 end as state from s group by 1, 2)
-, states as (select doc_id, finding as target, coalesce(state, 0) as state from documents cross join (select distinct finding from lex) left join st using (doc_id, finding))"""
+, cl as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(lower(strip_accents(coalesce(text, ''))), 'ß', 's'), '\s+', ' ', 'g'), '[.;:\n\r]+|\s-\s|\*|\|'), lambda c: trim(c)), lambda c: c <> '')) as c from documents)
+, m as (select doc_id, finding, self_positive, pathology, c, regexp_extract_all(c, term) as hits, regexp_split_to_array(c, term) as parts from cl, lex where regexp_matches(c, term))
+, n as (select *, unnest(range(1, len(hits) + 1)) as k from m)
+, p as (select doc_id, finding, self_positive, pathology, c, 1 + list_sum(list_transform(parts[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:k - 1], lambda x: length(x))), 0) as s, length(hits[k]) as l from n)
+, w as (select *, s + l as e, greatest(s - 80, 1) as lo from p)
+, v as (select *, substr(c, lo::bigint, (e - lo + 80)::bigint) as near, regexp_extract(substr(c, lo::bigint, (e - lo + 80)::bigint), pathology) as found from w)
+, f as (select *, lo + length(regexp_extract(near, '^(.*?)(?:' || pathology || ')', 1)) as fs from v)
+, g as (select doc_id, finding, case when {_NEGATED.format(s='s::bigint', e='e::bigint')} then -1 when self_positive then 1 when found <> '' then case when {_NEGATED.format(s='fs::bigint', e='(fs + length(found))::bigint')} then -1 else 1 end when regexp_matches(near, '{LEXICON.negation}') then -1 else 0 end as s from f)
+, st as (select doc_id, finding, case when bool_or(s = 1) then 1 when bool_or(s = -1) then -1 else 0 end as state from g group by 1, 2)
+, states as (select doc_id, finding as target, coalesce(state, 0) as state from documents cross join (select finding from lex) left join st using (doc_id, finding))"""
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = spark.createDataFrame(LEXICON, "finding string, term string, self_positive boolean")
-    return labels.label_texts(read(spark, sf_dir, "documents"), "doc_id", "text", lexicon, NEGATION, PATHOLOGY).withColumnRenamed("finding", "target")
+    return labels.label_texts(read(spark, sf_dir, "documents"), "doc_id", "text", LEXICON).withColumnRenamed("finding", "target")
 
 
 @query(f"with {STATES_SQL} select doc_id, target, state from states")
