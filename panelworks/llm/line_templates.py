@@ -3,10 +3,13 @@
 A line's tokens with a digit become fields, if at least half of its tokens have none; other lines, such as rows of a
 table, are compared by their own text alone. The tree has a fixed depth: the number of tokens, then the leading tokens; a
 leaf holds templates. A line joins the first template of its leaf that it differs from in few enough places, which then
-become fields too; else it founds one. A template that recurs in enough documents is boilerplate: its lines stay in the
-document with the smallest doc_id and are dropped from all others.
+become fields too; else it founds one. Lines of which none may become a field are templates by themselves and need no
+leaf. A template that recurs in enough documents is boilerplate: its lines stay in the document with the smallest doc_id
+and are dropped from all others. A passage, a line of 50 tokens or more, recurs from two documents on, a line of one or two
+tokens from twenty.
 
-Lines are counted within each task before they are dealt to leaves, so a line of very many documents is a row a task.
+Lines are counted within each task before they are dealt to leaves, so a line of very many documents is a row a task. A
+leaf is grown in one task, which holds the templates of that leaf.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import strings, text_spans, written
+from panelworks.llm.common import HOT_ROWS, SHARE, skew_join, strings, text_spans, with_fields, written
 
 FIELD = b"<*>"
 #: Tokens of the tree's path below the number of tokens.
 LEADING = 2
-#: Shorter lines are no templates.
+#: Shorter lines are compared by their own text, digits too.
 MIN_TOKENS = 3
-#: A template recurs from so many documents on.
-MIN_DOCS = 5
+#: Lines from so many tokens on are passages.
+LONG_TOKENS = 50
+#: A template recurs from so many documents on; one of a short line; one of a passage.
+MIN_DOCS, SHORT_DOCS, LONG_DOCS = 5, 20, 2
 WINDOW_BYTES = 16 << 20
-SALTS = 32
 
 _DIGIT = re.compile(rb"[0-9]")
 _WITH_DIGIT = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
@@ -41,7 +45,7 @@ def fields_of(n: int) -> int:
 
 
 def masked_lines(text: str) -> list[bytes]:
-    """Each line of the text as its tokens and fields, with single spaces; unmasked where over half of them would be fields."""
+    """Each line as its tokens and fields, with single spaces; a short one, or one with more fields than tokens, as it is."""
     data = text.encode()
     lines = [b" ".join(x.split()) for x in data.split(b"\n")]
     if not _DIGIT.search(data):
@@ -49,21 +53,22 @@ def masked_lines(text: str) -> list[bytes]:
     out = []
     for line in lines:
         masked, n = _WITH_DIGIT.subn(FIELD, line)
-        out.append(line if 2 * n > line.count(b" ") + 1 else masked)
+        tokens = line.count(b" ") + 1
+        out.append(line if 2 * n > tokens or tokens < MIN_TOKENS else masked)
     return out
 
 
-def is_own_text(line: bytes) -> bool:
-    """Whether masked_lines() left the line's digits as they are."""
-    return _DIGIT.search(line) is not None
+def joins_others(line: bytes, n_tokens: int) -> bool:
+    """Whether a masked line may become a template with other lines."""
+    return fields_of(n_tokens) > 0 and _DIGIT.search(line) is None
 
 
 def line_key(masked: bytes) -> bytes | None:
-    """What tells masked lines apart; None for those too short to be templates."""
-    return xxhash.xxh3_128_digest(masked) if masked.count(b" ") + 1 >= MIN_TOKENS else None
+    """What tells masked lines apart; None for those without a token."""
+    return xxhash.xxh3_128_digest(masked) if masked else None
 
 
-LINES = "n_tokens int, leading binary, line binary, n_docs long"
+LINES = "n_tokens int, path binary, line binary, n_docs long"
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,15 +79,16 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal counts, size
         lines = list(counts)
-        tokens = [x.split(b" ", LEADING) for x in lines]
+        sizes = [x.count(b" ") + 1 for x in lines]
+        paths = [b" ".join(x.split(b" ", LEADING)[:LEADING]) if joins_others(x, n) else xxhash.xxh3_64_digest(x) for x, n in zip(lines, sizes, strict=True)]
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array([x.count(b" ") + 1 for x in lines], pa.int32()),
-                pa.array([b" ".join(x[:LEADING]) for x in tokens], pa.binary()),
+                pa.array(sizes, pa.int32()),
+                pa.array(paths, pa.binary()),
                 pa.array(lines, pa.binary()),
                 pa.array(list(counts.values()), pa.int64()),
             ],
-            ["n_tokens", "leading", "line", "n_docs"],
+            ["n_tokens", "path", "line", "n_docs"],
         )
         counts, size = {}, 0
         return out
@@ -91,7 +97,7 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in text_spans(batch["text"]):
             for text in strings(batch["text"].slice(a, b - a)):
                 for line in set(masked_lines(text)):
-                    if line.count(b" ") + 1 >= MIN_TOKENS:
+                    if line:
                         if line not in counts:
                             size += len(line)
                         counts[line] = counts.get(line, 0) + 1
@@ -106,7 +112,7 @@ class Leaf:
 
     def __init__(self, n_tokens: int):
         self.fields = fields_of(n_tokens)
-        self.templates: list[list] = []  # [tokens, fields so far, documents, lines]
+        self.templates: list[list] = []  # [tokens, fields so far, documents, (key, documents) of its lines]
         self.by_part: dict[tuple, list[int]] = {}
 
     def _parts(self, tokens: list[bytes]) -> list[tuple]:
@@ -116,10 +122,7 @@ class Leaf:
         return [(k, *rest[cuts[k] : cuts[k + 1]]) for k in range(n)]
 
     def add(self, line: bytes, n_docs: int) -> None:
-        tokens = line.split(b" ")
-        if is_own_text(line):  # a template of its own, which no other line joins
-            self.templates.append([tokens, 0, n_docs, [line]])
-            return
+        tokens, own = line.split(b" "), (line_key(line), n_docs)
         parts = self._parts(tokens)
         for k in dict.fromkeys(k for p in parts for k in self.by_part.get(p, ())):
             template = self.templates[k]
@@ -129,42 +132,62 @@ class Leaf:
                     template[0][i] = None
                 template[1] += len(differ)
                 template[2] += n_docs
-                template[3].append(line)
+                template[3].append(own)
                 return
         for p in parts:
             self.by_part.setdefault(p, []).append(len(self.templates))
-        self.templates.append([list(tokens), 0, n_docs, [line]])
+        self.templates.append([list(tokens), 0, n_docs, [own]])
 
-    def recurring(self, min_docs: int) -> Iterator[tuple[bytes, bytes, bytes]]:
-        """(key of a line, key of its template, the template) of templates in `min_docs` documents or more."""
+    def recurring(self, least: int) -> Iterator[tuple[bytes, bytes, bytes, int, int]]:
+        """(key of a line, key of its template, the template, `least`, documents of the line) of templates in `least` documents or more."""
         for tokens, _, n_docs, lines in self.templates:
-            if n_docs >= min_docs:
+            if n_docs >= least:
                 shown = b" ".join(FIELD if x is None else x for x in tokens)
-                for line in lines:
-                    yield line_key(line), line_key(lines[0]), shown
+                for key, n in lines:
+                    yield key, lines[0][0], shown, least, n
 
 
-def _grow_tree(min_docs: int):
+TREE = "key binary, template binary, shown binary, least int, n_docs long"
+
+
+def _grow_tree(least_of: tuple[int, int, int]):
+    usual, short, passage = least_of
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, leaf, last, n, out = None, None, None, 0, []
+        at, leaf, last, n, out = None, None, None, 0, []
+
+        def close() -> None:
+            """The last line is complete."""
+            nonlocal at, leaf
+            n_tokens, _, line = last
+            least = short if n_tokens < MIN_TOKENS else passage if n_tokens >= LONG_TOKENS else usual
+            if not joins_others(line, n_tokens):
+                if n >= least:
+                    out.append(((key := line_key(line)), key, line, least, n))
+                return
+            if last[:2] != at:
+                leave()
+                at, leaf = last[:2], Leaf(n_tokens)
+            leaf.add(line, n)
+
+        def leave() -> None:
+            if leaf:
+                out.extend(leaf.recurring(passage if at[0] >= LONG_TOKENS else usual))
+
         for batch in batches:
-            for n_tokens, leading, line, n_docs in zip(*(batch[c].to_pylist() for c in ("n_tokens", "leading", "line", "n_docs")), strict=True):
+            for *line, n_docs in zip(*(batch[c].to_pylist() for c in ("n_tokens", "path", "line", "n_docs")), strict=True):
                 if line == last:
                     n += n_docs
                     continue
                 if last is not None:
-                    leaf.add(last, n)
-                if (n_tokens, leading) != path:
-                    if leaf:
-                        out += leaf.recurring(min_docs)
-                    path, leaf = (n_tokens, leading), Leaf(n_tokens)
+                    close()
                 last, n = line, n_docs
             if len(out) > 10_000:
                 yield _tree_batch(out)
                 out = []
         if last is not None:
-            leaf.add(last, n)
-            out += leaf.recurring(min_docs)
+            close()
+            leave()
         if out:
             yield _tree_batch(out)
 
@@ -172,7 +195,8 @@ def _grow_tree(min_docs: int):
 
 
 def _tree_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["key", "template", "shown"])
+    types = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "template", "shown", "least", "n_docs"])
 
 
 def _doc_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,43 +210,43 @@ def _doc_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
 
-def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, template, shown): every masked line of a template whose lines have `min_docs` documents or more, as counted line by line."""
+def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """(key, template, shown, least, n_docs): every masked line of a template whose lines have `least` documents or more, as counted line by line."""
     lines = docs.select("text").mapInArrow(_count_lines, LINES)
-    dealt = lines.repartition("n_tokens", "leading").sortWithinPartitions("n_tokens", "leading", "line")
-    return dealt.mapInArrow(_grow_tree(min_docs), "key binary, template binary, shown binary")
+    dealt = lines.repartition("n_tokens", "path").sortWithinPartitions("n_tokens", "path", "line")
+    return dealt.mapInArrow(_grow_tree((min_docs, short_docs, long_docs)), TREE)
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys): what each document loses. A template recurs if `min_docs` different documents hold a line of it."""
-    tree = written(line_templates(docs, min_docs).select("key", "template"), "templates")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_doc_keys, "doc_id long, key binary")
-    hits = written(found.filter(F.col("doc_id").isNotNull()).join(tree, "key"), "template-lines")
-    recurring = hits.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("owner"))
-    # a template of a third of all documents is dealt to SALTS tasks; its owner goes to each of them
-    salted = recurring.filter(F.col("n_docs") >= min_docs).select("template", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = hits.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    gone = dealt.join(salted, ["template", "_salt"]).filter(F.col("doc_id") != F.col("owner"))
-    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """(doc_id, keys): what each document loses. A template recurs if enough different documents hold a line of it."""
+    tree = written(line_templates(docs, min_docs, short_docs, long_docs).drop("shown"), "templates")
+    # lines and templates of very many documents are dealt to SALTS tasks
+    frequent = lambda df, key: [r[0] for r in df.filter(F.col("n_docs") > HOT_ROWS).orderBy(F.desc("n_docs")).limit(SHARE).select(key).collect()]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_doc_keys, "doc_id long, key binary").filter(F.col("doc_id").isNotNull())
+    hits = written(skew_join(found, tree.drop("n_docs"), "key", hot=frequent(tree, "key")), "template-lines")
+    recurring = written(hits.groupBy("template", "least", "doc_id").agg(F.lit(1).alias("x")).groupBy("template", "least").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("owner")), "recurring")
+    owners = recurring.filter("n_docs >= least")
+    gone = skew_join(hits.drop("least"), owners.select("template", "owner"), "template", hot=frequent(owners, "template")).filter("doc_id <> owner")
+    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """All columns of docs, text without the lines of recurring templates, n_lines before and n_dropped.
 
     Lines end at \\n; a text keeps its other lines as they are. Null and empty texts have no lines to drop, null becomes
     empty. Rows of one doc_id count as one document and lose the same lines, a null doc_id neither counts nor loses any.
-    Columns of docs named n_lines, n_dropped or _keys are replaced. An empty table stays empty.
+    Columns of docs named n_lines or n_dropped are replaced, others stay. An empty table stays empty.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_keys")
-    names = docs.columns
+    docs = docs.drop("n_lines", "n_dropped")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at, of_id = docs.columns.index("text"), names[docs.columns.index("doc_id")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
-            for a, b in text_spans(batch["text"]):
+            for a, b in text_spans(batch[names[at]]):
                 part = batch.slice(a, b - a)
                 texts, n_lines, n_dropped = [], [], []
-                for text, keys in zip(strings(part["text"]), part["_keys"].to_pylist(), strict=True):
+                for text, keys in zip(strings(part[names[at]]), part["keys"].to_pylist(), strict=True):
                     lines = text.split("\n")
                     n_lines.append(len(lines))
                     if keys:
@@ -237,7 +261,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keys = dropped_lines(docs, min_docs).withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(keys, docs["doc_id"] == keys["_doc_id"], "left").drop("_doc_id")
-    return joined.mapInArrow(cut, f"{schema}, n_lines long, n_dropped long")
+    keys = dropped_lines(docs, min_docs, short_docs, long_docs)
+    plain = docs.toDF(*names)
+    joined = plain.join(keys, F.col(of_id) == keys["doc_id"], "left").select(*names, "keys")
+    return joined.mapInArrow(cut, with_fields(plain.schema, "n_lines long, n_dropped long")).toDF(*docs.columns, "n_lines", "n_dropped")
