@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelworks.operators import decode, grid, runs, space
+from panelworks.operators import decode, grid, runs, shapes, space
 from panelworks.plans.base import LINK_AXIS, LINK_CELLS, link_axis, link_cells, query, rounded
 
 KEYS = ["panel", "slot"]
@@ -283,3 +283,90 @@ def direction_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = l.filter("l_partkey % 2 = 0").select(a.alias("from_link"), b.alias("to_link")).unionByName(l.filter("l_partkey % 5 = 0").select(b.alias("from_link"), a.alias("to_link")))
     axis = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("link"))
     return space.direction_vote(axis, edges, "link", "link")
+
+
+@query(f"""
+with {LINK_CELLS}
+, f as (select panel, slot, link, v, coalesce(avg(p) over (partition by panel, link), 0) as prior, min(v) over h as ratio_least
+, coalesce(min(case when p >= 0.97 then link end) over (partition by panel, slot order by link rows between current row and unbounded following) - link, 99) as down_now
+, coalesce(link - max(case when p >= 0.97 then link end) over (partition by panel, slot order by link rows between unbounded preceding and current row), 99) as up_now
+from links window h as (partition by panel, link order by slot rows between 2 preceding and current row))
+, g as (select *, lag(down_now, 2) over (partition by panel, link order by slot) as down_before from f)
+select panel, slot, link, down_now, up_now, down_before from g
+where down_now <= 2 or up_now <= 1 or coalesce(down_before <= 1, false) or coalesce(ratio_least <= 1.5, false) or coalesce(v <= 1.6, false) or prior >= 0.95""")
+def near_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are near a true cell, low now or of late, or often true."""
+    cells = link_cells(spark, sf_dir).withColumn("flag", F.col("p") >= 0.97)
+    near = runs.nearest_flag(cells, KEYS, "link", "flag", 99.0).withColumnsRenamed({"dist_down": "down_now", "dist_up": "up_now"})
+    by_link = Window.partitionBy("panel", "link").orderBy("slot")
+    told = near.withColumns({
+        "ratio_last": F.col("v"), "ratio_least": F.min("v").over(by_link.rowsBetween(-2, 0)), "prior": F.avg("p").over(Window.partitionBy("panel", "link")), "down_before": F.lag("down_now", 2).over(by_link),
+    })
+    limits = {"down_now": 2.0, "up_now": 1.0, "down_before": 1.0, "ratio_least": 1.5, "ratio_last": 1.6}
+    out = told.filter(shapes.is_candidate(limits, {"prior": 0.95}))
+    return out.select("panel", "slot", "link", *[F.col(c).cast("long").alias(c) for c in ("down_now", "up_now", "down_before")])
+
+
+#: Extents of heads on the other folds, top sets and their clusters.
+HEAD_EXTENT = f"""{BLOCKS}
+, h as (select panel, slot % 4 as fold, b as head, b - a + 1 as size from blocks)
+, er as (select panel, f.fold, head, k, round(avg(least(k, size)::double / greatest(k, size)), 9) as r from h join (select range::bigint as fold from range(4)) f on f.fold <> h.fold cross join (select range::bigint as k from range(1, 11)) group by all having count(*) >= 5)
+, extents as (select panel, fold, head, first(k order by r desc, k) as extent from er group by 1, 2, 3)
+, src as (select panel, slot, link, p from links) {TOP}
+, tops as (select panel, slot, link, p, link - row_number() over (partition by panel, slot order by link) as isle from ex join mm using (panel, slot) where rn <= m)
+, tc as (select panel, slot, isle, min(link) as a, max(link) as b, round(sum(p), 9) as mass from tops group by 1, 2, 3)
+, best as (select panel, slot, first(a order by mass desc, a) as a, first(b order by mass desc, a) as head from tc group by 1, 2)
+, told as (select best.*, extent, greatest(best.head - extent + 1, 0) as lo from best left join extents e on e.panel = best.panel and e.fold = best.slot % 4 and e.head = best.head)"""
+
+
+def _heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cells = link_cells(spark, sf_dir).withColumn("fold", F.col("slot") % 4)
+    blocks = runs.runs(cells.withColumn("flag", F.col("p") >= 0.9), [*KEYS, "fold"], "link", "flag")
+    heads = blocks.select("panel", "fold", F.col("run_end").alias("head"), F.col("run_length").alias("size"))
+    return cells.drop("v"), shapes.held_out_extents(heads, ["panel", "head"], "fold", 4, 10, 5)
+
+
+@query(f"""
+with {HEAD_EXTENT}
+select panel, slot, link from tops join told using (panel, slot) where extent is null or link not between a and head
+union select panel, slot, unnest(range(lo, head + 1)) as link from told where extent is not null""")
+def head_extent_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K08, A32 fold-safe: the best block at the head of the heaviest cluster, and the other clusters."""
+    cells, extents = _heads(spark, sf_dir)
+    return shapes.head_extent(cells, KEYS, "link", "p", extents, ["panel", "fold"])
+
+
+@query(f"""
+with {HEAD_EXTENT}
+, n as (select panel, slot, link, link between a and head as own, coalesce(link between lo - 1 and head + 1, false) as near from tops join told using (panel, slot))
+, s as (select *, bool_or(near) over (partition by panel, slot) as any_near from n)
+select panel, slot, link from s where not any_near or near or not own""")
+def head_extent_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top set within a place of the best block, and the other clusters."""
+    cells, extents = _heads(spark, sf_dir)
+    return shapes.head_extent(cells, KEYS, "link", "p", extents, ["panel", "fold"], hybrid=True)
+
+
+@query(f"""
+with {LINK_CELLS}
+, truth as (select panel, slot, slot % 4 as fold, list(link order by link) as s from links where p >= 0.97 group by all)
+, mem as (select panel, array_to_string(s, ' ') as set, fold, count(*) as often from truth group by all)
+, lib as (select distinct panel, array_to_string(s, ' ') as set, s from truth)
+, win as (select panel, slot, slot % 4 as fold, sum(p) as total, list(struct_pack(link := link, p := p, o := ln(least(greatest(p, 1e-4), 1 - 1e-4)) - ln(1 - least(greatest(p, 1e-4), 1 - 1e-4)))) as c from links group by all)
+, pr as (select w.panel, w.slot, w.total, m.set, sum(often) as prior from win w join mem m on m.panel = w.panel and m.fold <> w.fold group by all)
+, lk as (select pr.*, lib.s, list_sum(list_transform(list_filter(w.c, lambda x: list_contains(lib.s, x.link)), lambda x: x.o)) as loglik, list_sum(list_transform(list_filter(w.c, lambda x: list_contains(lib.s, x.link)), lambda x: x.p)) as inside
+  from pr join lib using (panel, set) join win w using (panel, slot))
+, po as (select *, prior * exp(0.3 * (loglik - max(loglik) over (partition by panel, slot))) as w from lk)
+, post as (select *, w / sum(w) over (partition by panel, slot) as post from po)
+, src as (select panel, slot, link, p from links) {TOP}
+, tops as (select panel, slot, list(link) as s, sum(p) as inside from ex join mm using (panel, slot) where rn <= m group by 1, 2)
+, cand as (select panel, slot, set, s, inside, total, 0 as last from post union all select panel, slot, 'top', tops.s, tops.inside, win.total, 1 from tops join win using (panel, slot))
+, sc as (select c.panel, c.slot, c.set, c.last, any_value(c.inside / (len(c.s) + c.total - c.inside)) as ind, coalesce(sum(q.post * len(list_intersect(c.s, q.s)) / (len(c.s) + len(q.s) - len(list_intersect(c.s, q.s)))), 0) as e
+  from cand c left join post q using (panel, slot) group by all)
+, r as (select *, round(0.7 * e + 0.3 * ind, 8) as score from sc)
+select panel, slot, first(set order by score desc, last, set) as set, max(score) as score from r group by 1, 2""")
+def library_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior over the sets that were true in other folds."""
+    cells = link_cells(spark, sf_dir).drop("v").withColumn("fold", F.col("slot") % 4)
+    sets, members = shapes.library(cells.filter("p >= 0.97"), ["panel"], "slot", "link", "fold")
+    return shapes.library_decode(cells, ["panel", "slot", "fold"], ["panel"], "link", "p", "fold", sets, members).drop("fold")
