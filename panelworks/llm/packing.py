@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import strings, text_spans, written
+from panelworks.llm.common import strings, text_spans, with_fields, written
 from panelworks.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -157,21 +157,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     `group_items` pieces by a hash of uid and piece: equal texts, equal lengths and a hot source spread evenly.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    short = pieces.filter(F.col("length") < capacity)
+    names = [f"c{k}" for k in range(len(pieces.columns))]
+    uid, piece, length = (names[pieces.columns.index(c)] for c in ("uid", "piece", "length"))
+    plain = pieces.toDF(*names)
+    short = plain.filter(F.col(length) < capacity)
     groups = max(1, -(-short.count() // group_items))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["uid", "piece"], kind="stable", ignore_index=True)
-        bin_of, frame["offset"] = pack_items(frame["length"].to_numpy(np.int64), capacity)
-        frame["sequence_id"] = -1 - (frame["_group"] * (2 * group_items + 64) * 1024 + bin_of)
-        return frame.drop(columns="_group")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = short.withColumn("_group", F.pmod(F.xxhash64("uid", "piece"), F.lit(groups)))
-    packed = dealt.groupBy("_group").applyInPandas(one, f"{schema}, offset long, sequence_id long")
+        frame = frame.sort_values([uid, piece], kind="stable", ignore_index=True)
+        bin_of, frame["offset"] = pack_items(frame[length].to_numpy(np.int64), capacity)
+        frame["sequence_id"] = -1 - (frame["group"] * (2 * group_items + 64) * 1024 + bin_of)
+        return frame.drop(columns="group")
+
+    dealt = short.withColumn("group", F.pmod(F.xxhash64(uid, piece), F.lit(groups)))
+    packed = dealt.groupBy("group").applyInPandas(one, with_fields(plain.schema, "offset long, sequence_id long"))
     # a full piece is its own sequence; uid is used, as packed sequences have negative numbers
-    full = pieces.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_id", F.monotonically_increasing_id())
-    return packed.unionByName(full.select(*packed.columns))
+    full = plain.filter(F.col(length) == capacity).withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_id", F.monotonically_increasing_id())
+    return packed.unionByName(full.select(*packed.columns)).toDF(*pieces.columns, "offset", "sequence_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:

@@ -25,9 +25,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def words() -> list[str]:
+    return secrets.frequent_words(byte_bpe())
+
+
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with its neighbour's last reply: prompt once, masked completions."""
-    out = preference.format_preferences(*preference.last_reply_pairs(table(spark, sf_dir, "conversations")))
+    out = preference.format_turns(preference.last_reply_turns(table(spark, sf_dir, "conversations")))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.withColumn("spans", spans)
 
@@ -37,7 +41,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "class_key")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and the digest of the masked text of every document."""
-    out = secrets.scan_with_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets.scan_with_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), words())
     return out.select("doc_id", "n_candidates", "n_secrets", F.array_join("secrets", " ").alias("secrets"), F.sha2("text", 256).alias("masked_sha256"))
 
 
@@ -65,7 +69,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(table(spark, sf_dir, "documents"), byte_bpe())
-    return records.read_records(index).select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
+    return records.read_records(index)
 
 
 def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +110,7 @@ def sql() -> dict[str, str]:
 
 OP1_SQL = """
 with turns as (
-  select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+  select distinct conv_id, coalesce(turn, -9223372036854775808)::bigint as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
 , last as (select conv_id, max(turn) as last from conversations where role = 'assistant' and turn is not null group by 1)
 , reply as (
   select xor(t.conv_id, 1) as pair_id, role, text from turns t join last l using (conv_id) where turn = last and role = 'assistant')
@@ -132,9 +136,9 @@ with turns as (
 , rendered as (
   select *, '<|' || role || '|>' || chr(10) as head, text || '<|end|>' || chr(10) as body, floor(turn / 256)::bigint as block from parts)
 , placed as (
-  select *, sum(length(head) + length(body)) over (partition by pair_id, part, block order by turn, role, text)
+  select *, sum(length(head) + length(body)) over (partition by pair_id, part order by turn, role, text)
     - length(body) as s from rendered)
-select pair_id, part, block
+select pair_id, part, block, min(s - length(head))::bigint as start
 , string_agg(head || body, '' order by turn, role, text) as text
 , coalesce(string_agg(s::bigint || '-' || (s + length(body))::bigint, ',' order by turn, role, text) filter (where role = 'assistant' and part <> 'prompt'), '') as spans
 , count(*) as n_messages

@@ -2,7 +2,8 @@
 
 A record is: payload length (8 bytes, little-endian), masked CRC-32 of those 8 bytes, payload, masked CRC-32 of the
 payload. The mask rotates the CRC right by 15 bits and adds a constant, so that a checksum over data that holds
-checksums stays useful. A payload is one byte, the width of an id (2 or 4), then the ids, little-endian.
+checksums stays useful. A payload is the width of an id (2 or 4) and whether there is a doc_id (a byte each), the doc_id and
+the number of ids in the part before this record (8 bytes each), then the ids; all little-endian.
 
 The index is a Parquet table with a row for each record: any row can be read alone, in any order.
 """
@@ -25,6 +26,7 @@ from panelworks.llm.tokens import encoder
 #: Fixed value of the mask of length-delimited records.
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
+FIXED = struct.Struct("<BBqq")
 TAIL = struct.Struct("<I")
 
 INDEX = "part int, seq long, doc_id long, file string, offset long, size long, n_tokens long, part_start long"
@@ -51,13 +53,15 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
-def payload_of(ids: np.ndarray) -> bytes:
+def payload_of(doc_id: int | None, before: int, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+    return FIXED.pack(width, doc_id is not None, doc_id or 0, before) + ids.astype(f"<u{width}").tobytes()
 
 
-def ids_of(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
+def record_of(payload: bytes) -> tuple[int | None, int, np.ndarray]:
+    """(doc_id, ids of the part before it, ids) of a payload."""
+    width, known, doc_id, before = FIXED.unpack_from(payload)
+    return doc_id if known else None, before, np.frombuffer(payload, f"<u{width}", offset=FIXED.size)
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, file_bytes: int = 64 << 20) -> DataFrame:
@@ -83,13 +87,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str |
                     doc_ids = batch["doc_id"].slice(a, b - a)
                     ids, counts = enc.encode(strings(batch["text"].slice(a, b - a)))
                     rows, done = [], 0
-                    for n in counts.tolist():
+                    for doc_id, n in zip(doc_ids.to_pylist(), counts.tolist(), strict=True):
                         if out is None or at >= file_bytes:
                             if out is not None:
                                 out.close()
                             name, at, k = f"data/part-{task.partitionId():06d}-{k:05d}-{task.taskAttemptId()}.rec", 0, k + 1
                             out = store.open_output_stream(f"{folder}/{name}")
-                        data = frame(payload_of(np.append(ids[done : done + n], np.array(end_id, ids.dtype))))
+                        data = frame(payload_of(doc_id, start, np.append(ids[done : done + n], np.array(end_id, ids.dtype))))
                         out.write(data)
                         rows.append((task.partitionId(), seq, name, at, len(data), n + 1, start))
                         at, seq, start, done = at + len(data), seq + 1, start + n + 1, done + n
@@ -109,15 +113,15 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str |
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_before"))  # a row for each part
-    return index.join(before, "part").withColumn("start", F.col("part_before") + F.col("part_start")).withColumn("path", F.lit(path)).drop("part_before", "part_start")
+    return index.join(before, "part").withColumn("path", F.lit(path))
 
 
 def read_records(index: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-    """The records that the index rows point to, checked: all columns of the index and ids_crc32 of the ids as unsigned 32-bit integers.
+    """The records that the index rows point to, checked: doc_id, start, n_tokens and ids_crc32 (of the ids as unsigned 32-bit integers).
 
-    Any subset of the index in any order will do; blocks of `block_bytes` of a file are dealt to the tasks.
+    All but the number of ids in the parts before comes from the files; a record that is not the one of its index row
+    raises an error. Any subset of the index in any order will do; blocks of `block_bytes` of a file are dealt to the tasks.
     """
-    names = index.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -125,8 +129,8 @@ def read_records(index: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
         opened, source, store, root = None, None, None, None
         try:
             for batch in batches:
-                crc, lengths = [], []
-                for path, file, offset, size in zip(*(batch[c].to_pylist() for c in ("path", "file", "offset", "size")), strict=True):
+                rows = []
+                for path, file, offset, size, doc_id, part_start, part_before in zip(*(batch[c].to_pylist() for c in USED), strict=True):
                     if opened != (path, file):
                         if source is not None:
                             source.close()
@@ -134,15 +138,18 @@ def read_records(index: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
                             store, folder = fs.FileSystem.from_uri(path)
                             root = (path, folder)
                         source, opened = store.open_input_file(f"{root[1]}/{file}"), (path, file)
-                    ids = ids_of(unframe(source.read_at(size, offset)))
-                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    lengths.append(len(ids))
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], [*names, "n_read", "ids_crc32"])
+                    own_id, before, ids = record_of(unframe(source.read_at(size, offset)))
+                    if (own_id, before) != (doc_id, part_start):
+                        raise ValueError(f"{file} at {offset} holds another record than its index row tells")
+                    rows.append((own_id, part_before + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
         finally:
             if source is not None:
                 source.close()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema) + ", n_read long, ids_crc32 long"
     block = F.floor(F.col("offset") / block_bytes)
     dealt = index.repartition("file", block).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(read, schema)
+    return dealt.select(*USED).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+USED = ["path", "file", "offset", "size", "doc_id", "part_start", "part_before"]

@@ -35,5 +35,5 @@ def empty_docs(docs_of):
 @pytest.fixture(scope="session")
 def clashing(odd_docs):
     """The odd documents with extra columns whose names the operators use themselves."""
-    names = ["kept", "n_words", "n_dropped", "n_secrets", "_keys", "slot", "shard", "node", "row", "sequence_id", "offset", "piece"]
-    return odd_docs.withColumns({n: F.lit("x") for n in names})
+    names = ["kept", "n_words", "n_dropped", "n_secrets", "_keys", "slot", "shard", "node", "row", "sequence_id", "offset", "piece", "_doc_id", "keys", "_f", "_slot", "_group", "uid", "_row", "_no_id", "_salt", "text_key", "c0", "c1", "secrets", "n_candidates", "a`b", "with space"]
+    return odd_docs.select("*", *[F.lit("x").alias(n) for n in names])
