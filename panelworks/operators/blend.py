@@ -6,27 +6,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """For each different value of a key: `_same` rows have it, `_below` rows are under it, `_n` rows are there; NULL comes first.
+
+    Rows are counted by value first; the values of a key are dealt to ranges between about PARTS quantiles, so no task sorts a
+    whole key; what the ranges before hold is a sum over at most PARTS rows.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_same"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)]).alias("_cuts"), F.sum("_same").alias("_n"))
+    told = counts.join(cuts, keys).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0)))
+    k = Window.partitionBy(*keys)
+    before = told.groupBy(*keys, "_part").agg(F.sum("_same").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(k.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum("_same").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return told.withColumn("_within", within).join(before, [*keys, "_part"]).select(*keys, "_v", "_same", "_n", (F.col("_before") + F.col("_within")).alias("_below"))
+
+
+PARTS = 64
+
+
+def with_places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with the columns of _places() for its rows' values."""
+    places = _places(df, keys, value).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col(value).eqNullSafe(F.col("_v"))]
+    return df.join(places, on).drop("_v", *[f"_k_{c}" for c in keys])
+
+
 def score_ranks(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """Average-rank share, 0-1 average rank (one row: 0.5), and ordinal 0-1 rank with ties by `tie`."""
-    k = Window.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(k)
-    average = F.rank().over(k.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, score)) - 1) / 2
-    place = F.row_number().over(k.orderBy(score, tie))
-    return df.withColumns(
+    average = F.col("_below") + (F.col("_same") + 1) / 2
+    place = F.col("_below") + F.row_number().over(Window.partitionBy(*keys, score).orderBy(tie))
+    n = F.col("_n")
+    return with_places(df, keys, score).withColumns(
         {
             "rank_pct": average / n,
             "rank_01": F.when(n > 1, (average - 1) / (n - 1)).otherwise(0.5),
             "rank_ordinal": F.when(n > 1, (place - 1) / (n - 1)).otherwise(0.5),
         }
-    )
+    ).drop("_below", "_same", "_n")
+
+
+def rank_share(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """W23 alone: df with the average-rank share of value."""
+    return with_places(df, keys, value).withColumn(out, (F.col("_below") + (F.col("_same") + 1) / 2) / F.col("_n")).drop("_below", "_same", "_n")
 
 
 def weighted_mean(df: DataFrame, weights: DataFrame, keys: list[str], on: list[str], p: str, n_arms: int | None = None) -> DataFrame:
-    """sum(w p) / sum(w) over the arms that a key has; with n_arms only keys that have them all. weights is a small table."""
-    out = df.join(F.broadcast(weights), on).filter(F.col(p).isNotNull()).groupBy(*keys).agg((F.sum(F.col("w") * F.col(p)) / F.sum("w")).alias("blend"), F.count(F.lit(1)).alias("n"))
+    """sum(w p) / sum(w) over the arms that a key has; with n_arms only keys that have them all."""
+    out = df.join(weights, on).filter(F.col(p).isNotNull()).groupBy(*keys).agg((F.sum(F.col("w") * F.col(p)) / F.sum("w")).alias("blend"), F.count(F.lit(1)).alias("n"))
     return out.filter(F.col("n") == n_arms) if n_arms else out
 
 
+def staged_hybrid(views: DataFrame, view_weights: DataFrame, private: DataFrame, base: DataFrame, outer: DataFrame, key: str, target: str, arm: str, p: str, share: float) -> DataFrame:
+    """Views (key, target, arm, p) are averaged by view_weights (arm, w), renormalised over the views that a key has, and
+    ranked; mixed with the rank of private (key, target, p) by `share`; then with the rank of base by outer (target, w); and
+    ranked again: (key, target, final). Probabilities are cut to [0, 1] first."""
+    cut = F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
+    keys = [key, target]
+    public = rank_share(weighted_mean(views.withColumn(p, cut), view_weights, keys, [arm], p), [target], "blend", "_public").select(*keys, "_public")
+    own = rank_share(private, [target], p, "_private").select(*keys, "_private")
+    first = rank_share(base, [target], p, "_base").select(*keys, "_base")
+    mixed = public.join(own, keys).join(first, keys).join(outer.select(target, F.col("w").alias("_w")), target)
+    hybrid = (1 - share) * F.col("_public") + share * F.col("_private")
+    told = mixed.withColumn("_mix", F.round((1 - F.col("_w")) * F.col("_base") + F.col("_w") * hybrid, 10))
+    return rank_share(told, [target], "_mix", "final").select(*keys, "final")
+
+
 def aligned(df: DataFrame, arm: str, key: str, n_arms: int) -> DataFrame:
     """Rows of keys that every arm has."""
     full = df.groupBy(key).agg(F.count_distinct(arm).alias("_n")).filter(F.col("_n") == n_arms).select(key)

@@ -50,6 +50,21 @@ def align(template: DataFrame, predictions: DataFrame, keys: list[str], value: s
     return out.withColumn("missing", F.col(value).isNull()).withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def tall_sheet(template: DataFrame, frames: dict[str, tuple[DataFrame, list[str], str]], task: str, default: float = 0.0) -> DataFrame:
+    """A row for each template row, with a column for each task's value: its own frame's in rows of that task, the default elsewhere.
+
+    frames: task -> (predictions, keys, value); the template holds the keys of all tasks. `missing` marks rows of a known task
+    without a prediction.
+    """
+    out = template.withColumn("missing", F.lit(False))
+    for name, (predictions, keys, value) in frames.items():
+        own = predictions.select(*keys, F.col(value).alias("_v"), F.lit(name).alias(task))
+        found = F.when(F.col(task) == name, F.col("_v"))
+        joined = out.join(own, [*keys, task], "left")
+        out = joined.withColumn("missing", F.col("missing") | ((F.col(task) == name) & F.col("_v").isNull())).withColumn(value, F.coalesce(found, F.lit(default))).drop("_v")
+    return out
+
+
 def fallback(units: DataFrame, children: DataFrame, key: str, value: str, prior: float) -> DataFrame:
     """Mean of a unit's child rows with their number, the prior and -1 for units without any."""
     own = children.groupBy(key).agg(F.avg(value).alias(value), F.count(value).alias("n"))
@@ -103,8 +118,8 @@ def resolve_attribute(df: DataFrame, key: str, tag: str, value: str, order: str,
 
 
 def pin(df: DataFrame, anchors: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Values of pinned keys replaced. anchors is a small table."""
-    return df.join(F.broadcast(anchors.select(*keys, F.col(value).alias("_a"))), keys, "left").withColumn(value, F.coalesce("_a", value)).drop("_a")
+    """Values of pinned keys replaced; anchors has one row a key."""
+    return df.join(anchors.select(*keys, F.col(value).alias("_a")), keys, "left").withColumn(value, F.coalesce("_a", value)).drop("_a")
 
 
 def unique_sets(df: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -60,12 +60,9 @@ def diagnose(cells: DataFrame, keys: list[str], pos: str, predicted: str, true:
 
 def blend_available(df: DataFrame, keys: list[str], base: str, arm: str, eligible: str, share: float) -> DataFrame:
     """Rank of base, mixed with the arm's rank among eligible rows; absent rows keep the base alone."""
-    def rank(col: str, w) -> Column:
-        ties = F.count(F.lit(1)).over(w.partitionBy(*keys, eligible, col)) if col == arm else F.count(F.lit(1)).over(w.partitionBy(*keys, col))
-        part = Window.partitionBy(*keys, eligible) if col == arm else Window.partitionBy(*keys)
-        return (F.rank().over(part.orderBy(col)) + (ties - 1) / 2) / F.count(F.lit(1)).over(part)
+    from panelworks.operators.blend import rank_share
 
-    out = df.withColumn("_b", rank(base, Window)).withColumn("_a", rank(arm, Window))
+    out = rank_share(rank_share(df, keys, base, "_b"), [*keys, eligible], arm, "_a")
     return out.withColumn("blend", F.when(F.col(eligible), (1 - share) * F.col("_b") + share * F.col("_a")).otherwise(F.col("_b"))).drop("_a", "_b")
 
 
@@ -118,8 +115,9 @@ def quotas(df: DataFrame, key: str, unit: str, capacity: str, share: str, target
 def order_with_fallback(df: DataFrame, group: str, position: str, number: str, name: Column) -> DataFrame:
     """Rows ordered by position if a group's are complete and different, else by number likewise, else by name; and the median step of position."""
     g = Window.partitionBy(group)
-    usable = lambda c: (F.count(c).over(g) == F.count(F.lit(1)).over(g)) & (F.size(F.collect_set(c).over(g)) == F.count(F.lit(1)).over(g))
-    told = df.withColumn("how", F.when(usable(position), "position").when(usable(number), "number").otherwise("name")).withColumn("_k", name)
+    usable = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.count_distinct(c) == F.count(F.lit(1)))
+    how = df.groupBy(group).agg(F.when(usable(position), "position").when(usable(number), "number").otherwise("name").alias("how"))
+    told = df.join(how, group).withColumn("_k", name)
     key = F.when(F.col("how") == "position", F.col(position)).when(F.col("how") == "number", F.col(number).cast("double"))
     w = g.orderBy(key, "_k")
     out = told.withColumn("place", F.row_number().over(w).cast("long")).withColumn("_d", F.when(F.col("how") == "position", F.col(position) - F.lag(position).over(w)))
@@ -149,7 +147,7 @@ def decompose_totals(totals: DataFrame, full: str, weights: DataFrame) -> DataFr
     totals (variant, total) has a row for each ablated task and one for the full sheet; weights (variant, w) is small.
     """
     whole = F.max(F.when(F.col("variant") == full, F.col("total"))).over(Window.partitionBy())  # a row for each variant
-    return totals.withColumn("_f", whole).join(F.broadcast(weights), "variant").select("variant", ((F.col("_f") - F.col("total")) / F.col("w")).alias("task_score"))
+    return totals.withColumn("_f", whole).join(weights, "variant").select("variant", ((F.col("_f") - F.col("total")) / F.col("w")).alias("task_score"))
 
 
 def without_groups(df: DataFrame, groups: dict[str, list[str]], dropped: list[str]) -> DataFrame:

@@ -18,9 +18,13 @@ def densify(df: DataFrame, keys: list[str], order: str, first: int, last: int) -
 
 def group_fold(df: DataFrame, group: str, folds: int) -> DataFrame:
     """P05 (documented change: a hash order in place of a random shuffle): groups in md5 order dealt to folds in turn."""
-    groups = df.select(group).distinct()
-    ranked = groups.withColumn("fold", (F.row_number().over(Window.orderBy(F.md5(F.col(group).cast("string")), group)) - 1) % folds)
-    return df.join(ranked.withColumn("fold", F.col("fold").cast("long")), group)
+    groups = df.select(group).distinct().withColumn("_h", F.md5(F.col(group).cast("string"))).withColumn("_part", F.substring("_h", 1, 3))
+    # places by ranges of the hash, 4,096 at most, and what the ranges before hold
+    parts = groups.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_h", group)) - 1
+    ranked = groups.join(before, "_part").select(group, (place % folds).cast("long").alias("fold"))
+    return df.join(ranked, group)
 
 
 def blackout(df: DataFrame, origins: DataFrame, key: str, slot: str, value: str, truth: str, ahead: int, back: int) -> DataFrame:

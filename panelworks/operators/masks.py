@@ -92,32 +92,37 @@ def threshold_grid(pred: DataFrame, true: DataFrame, scores: DataFrame, cuts: li
     return out.withColumn("pq", F.col("s") / (F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"))).select("cut", "s", "tp", "fp", "fn", "pq")
 
 
-def owner_cells(cells: DataFrame, keys: list[str], confidence: str) -> DataFrame:
-    """Each cell to its most confident instance, the smaller number on a tie; instances with their cells left."""
+def owner_cells(cells: DataFrame, keys: list[str], confidence: str, least: int = 1) -> DataFrame:
+    """Each cell to its most confident instance, the smaller number on a tie; instances with the cells left to them, `least` or more."""
     w = Window.partitionBy(*keys).orderBy(F.col(confidence).desc(), "inst")
     own = cells.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    return own.groupBy("image", "inst").agg(F.count(F.lit(1)).alias("cells"))
+    return own.groupBy("image", "inst").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") >= least)
 
 
-def connected_cells(cells: DataFrame, keys: list[str], x: str, y: str, least: int = 1) -> DataFrame:
+def connected_cells(cells: DataFrame, keys: list[str], x: str, y: str, least: int = 1, reach: int = 1, score: str | None = None, least_score: float = 0.0) -> DataFrame:
     """8-connected components of the cells of each key, as the component's first cell (ox, oy); of `least` cells or more.
 
-    Labels pass to the eight neighbours and jump to their label's label; each round is checkpointed in the shared folder.
+    With a reach over 1, fragments that are so many rows and columns apart at most are one component (documented change: a
+    square in place of an ellipse). score: a column whose mean over the component must be least_score or more.
+
+    Labels pass to the neighbours and jump to their label's label; each round is checkpointed in the shared folder.
     """
     from panelworks.sources.files import checkpointed
 
-    own = checkpointed(cells.select(*keys, x, y).distinct().withColumn("o", F.struct(F.col(x).alias("ox"), F.col(y).alias("oy"))))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    own = checkpointed(cells.groupBy(*keys, x, y).agg(F.max(score or F.lit(0.0)).alias("_score")).withColumn("o", F.struct(F.col(x).alias("ox"), F.col(y).alias("oy"))))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
     while True:
         sent = own.select(*keys, x, y, "o", around.alias("d")).select(*keys, (F.col(x) + F.col("d.a")).alias(x), (F.col(y) + F.col("d.b")).alias(y), "o")
         got = sent.groupBy(*keys, x, y).agg(F.min("o").alias("n"))
         near = own.join(got, [*keys, x, y])
         far = near.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("n").alias("f"))
         at = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("l.n.ox") == F.col("r._x"), F.col("l.n.oy") == F.col("r._y")]
-        after = checkpointed(near.alias("l").join(far.alias("r"), at).select(*[F.col(f"l.{k}") for k in [*keys, x, y]], F.col("l.o").alias("old"), F.least("l.n", "r.f").alias("o")))
+        after = checkpointed(near.alias("l").join(far.alias("r"), at).select(*[F.col(f"l.{k}") for k in [*keys, x, y, "_score"]], F.col("l.o").alias("old"), F.least("l.n", "r.f").alias("o")))
         changed = after.filter("old <> o").limit(1).count()
         own = after.drop("old")
         if not changed:
             break
     w = Window.partitionBy(*keys, "o")
-    return own.withColumn("cells", F.count(F.lit(1)).over(w)).filter(F.col("cells") >= least).select(*keys, x, y, "o.ox", "o.oy", "cells")
+    kept = own.withColumn("cells", F.count(F.lit(1)).over(w)).withColumn("_mean", F.avg("_score").over(w)).filter(F.col("cells") >= least)
+    kept = kept.filter(F.col("_mean") >= least_score) if score else kept
+    return kept.select(*keys, x, y, "o.ox", "o.oy", "cells")

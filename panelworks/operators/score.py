@@ -59,7 +59,7 @@ def mixed_rate_score(df: DataFrame, keys: list[str], error: str, dark: str, shar
     """(1 - share) * MSE of regular rows + share * MSE of dark rows, the share from a small table."""
     e = F.col(error) * F.col(error)
     own = df.groupBy(*keys).agg(F.avg(F.when(~F.col(dark), e)).alias("mse_regular"), F.avg(F.when(F.col(dark), e)).alias("mse_dark"))
-    return own.join(F.broadcast(shares), keys).withColumn("mixed", (1 - F.col("share")) * F.col("mse_regular") + F.col("share") * F.col("mse_dark"))
+    return own.join(shares, keys).withColumn("mixed", (1 - F.col("share")) * F.col("mse_regular") + F.col("share") * F.col("mse_dark"))
 
 
 def error_budget(df: DataFrame, keys: list[str], cls: list[str], error: str) -> DataFrame:

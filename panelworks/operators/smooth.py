@@ -2,72 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
 
+def total_variation(y: np.ndarray, lam: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None, anchor: np.ndarray | None = None, tolerance: float = 1e-9, rounds: int = 5000) -> np.ndarray:
+    """Each row's minimiser of |x - y|^2 / 2 + lam * sum |x_{i+1} - x_i| + anchor * (|x_1 - left| + |x_n - right|), NaN being no anchor.
 
-def total_variation(y: np.ndarray, lam: np.ndarray, tolerance: float = 1e-9, rounds: int = 5000) -> np.ndarray:
-    """Each row's minimiser of |x - y|^2 / 2 + lam * sum |x_{i+1} - x_i|, by accelerated projection of the dual, restarted when it turns back."""
-    if y.shape[1] < 2:
-        return y.copy()
-    bound = lam[:, None]
-    z = look = np.zeros((len(y), y.shape[1] - 1))
+    Accelerated projection of the dual, restarted when it turns back.
+    """
+    m, n = y.shape
+    none = np.full(m, np.nan)
+    ends = [none if e is None or anchor is None else e for e in (left, right)]
+    bound = np.concatenate([np.where(np.isfinite(ends[0]), 0 if anchor is None else anchor, 0.0)[:, None], np.repeat(lam[:, None], n - 1, axis=1), np.where(np.isfinite(ends[1]), 0 if anchor is None else anchor, 0.0)[:, None]], axis=1)
+    before, after_ = (np.nan_to_num(e)[:, None] for e in ends)
+    z = look = np.zeros((m, n + 1))
     t = 1.0
 
     def primal(d: np.ndarray) -> np.ndarray:
-        return y + np.diff(d, axis=1, prepend=0.0, append=0.0)
+        return y + np.diff(d, axis=1)
 
+    scale = max(1.0, float(np.max(np.abs(y), initial=0.0)))
     for _ in range(rounds):
-        after = np.clip(look + np.diff(primal(look), axis=1) / 4, -bound, bound)
+        grown_ends = np.concatenate([before, primal(look), after_], axis=1)
+        after = np.clip(look + np.diff(grown_ends, axis=1) / 4, -bound, bound)
         if np.vdot(look - after, after - z) > 0:
             t = 1.0
         grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look = after + (t - 1) / grown * (after - z)
-        done = np.max(np.abs(after - z), initial=0.0) <= tolerance * max(1.0, float(np.max(np.abs(y), initial=0.0)))
+        done = np.max(np.abs(after - z), initial=0.0) <= tolerance * scale
         z, t = after, grown
         if done:
             break
     return primal(z)
 
 
-def whittaker(y: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """Each row's minimiser of |x - y|^2 + lam * sum (x_{i+1} - x_i)^2: one tridiagonal system, all rows at once."""
+def whittaker(y: np.ndarray, lam: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None, anchor: np.ndarray | None = None) -> np.ndarray:
+    """Each row's minimiser of |x - y|^2 + lam * sum (x_{i+1} - x_i)^2 + anchor * ((x_1 - left)^2 + (x_n - right)^2), NaN being no anchor.
+
+    One tridiagonal system a row, all rows at once.
+    """
     m, n = y.shape
-    if n < 2:
-        return y.copy()
-    diagonal = 1 + lam[:, None] * np.where((np.arange(n) == 0) | (np.arange(n) == n - 1), 1.0, 2.0)
+    neighbours = np.where(np.arange(n) == 0, 0.0, 1.0) + np.where(np.arange(n) == n - 1, 0.0, 1.0)
+    diagonal, rhs = 1 + lam[:, None] * neighbours, y.astype(float).copy()
+    for at, end in ((0, left), (-1, right)):
+        if end is not None and anchor is not None:
+            known = np.isfinite(end)
+            diagonal[known, at] += anchor[known]
+            rhs[known, at] += anchor[known] * end[known]
     c, d = np.zeros((m, n)), np.zeros((m, n))
-    c[:, 0], d[:, 0] = -lam / diagonal[:, 0], y[:, 0] / diagonal[:, 0]
+    c[:, 0], d[:, 0] = -lam / diagonal[:, 0], rhs[:, 0] / diagonal[:, 0]
     for k in range(1, n):
-        left = diagonal[:, k] + lam * c[:, k - 1]
-        c[:, k], d[:, k] = -lam / left, (y[:, k] + lam * d[:, k - 1]) / left
+        rest = diagonal[:, k] + lam * c[:, k - 1]
+        c[:, k], d[:, k] = -lam / rest, (rhs[:, k] + lam * d[:, k - 1]) / rest
     for k in range(n - 2, -1, -1):
         d[:, k] -= c[:, k] * d[:, k + 1]
     return d
 
 
-def smooth_runs(df: DataFrame, keys: list[str], order: str, value: str, how: str, strength: float, buckets: int = 64) -> DataFrame:
-    """Value inside each run smoothed; strength is relative to the run's mean (tv) or absolute (whittaker).
+def smooth_runs(df: DataFrame, keys: list[str], order: str, value: str, how: str, strength: float, anchor: float = 0.0, left: str | None = None, right: str | None = None) -> DataFrame:
+    """Value inside each run smoothed; strengths are relative to the run's mean (tv) or absolute (whittaker).
 
-    df has run_start and run_end of its runs. Runs become arrays, a hash deals many of them to each group of
-    applyInPandas, and runs of one length are solved together.
+    df has run_start and run_end of its runs, and in left and right the observed values beside a run, NULL where there are
+    none. Runs become arrays; each task solves the runs of a batch, those of one length together. A run is one array.
     """
-    runs = df.groupBy(*keys, "run_start", "run_end").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("y"))
-    dealt = runs.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "run_start"), F.lit(buckets)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema) + ", x array<double>"
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [None] * len(frame)
-        for _, rows in frame.reset_index(drop=True).groupby(frame["y"].map(len).to_numpy()).groups.items():
-            y = np.array([frame["y"].iloc[k] for k in rows], float)
-            lam = strength * np.abs(y.mean(axis=1)) if how == "tv" else np.full(len(y), strength)
-            for k, x in zip(rows, total_variation(y, lam) if how == "tv" else whittaker(y, lam), strict=True):
-                out[k] = x.tolist()
-        return frame.drop(columns="_bucket").assign(x=out)
-
-    solved = dealt.groupBy("_bucket").applyInPandas(solve, schema)
+    ends = [F.first(c).cast("double").alias(n) if c else F.lit(None).cast("double").alias(n) for c, n in ((left, "left_end"), (right, "right_end"))]
+    runs = df.groupBy(*keys, "run_start", "run_end").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("y"), *ends)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.reset_index(drop=True)
+            out: list = [None] * len(frame)
+            for _, rows in frame.groupby(frame["y"].map(len).to_numpy()).groups.items():
+                y = np.array([frame["y"].iloc[k] for k in rows], float)
+                level = np.abs(y.mean(axis=1)) if how == "tv" else np.ones(len(y))
+                solver = total_variation if how == "tv" else whittaker
+                beside = [frame[c].iloc[rows].to_numpy(float) for c in ("left_end", "right_end")]
+                for k, x in zip(rows, solver(y, strength * level, *beside, anchor * level if anchor else None), strict=True):
+                    out[k] = x.tolist()
+            yield frame.assign(x=pd.Series(out, dtype=object))
+
+    schema = StructType([*runs.schema.fields, StructField("x", ArrayType(DoubleType()))])
+    solved = runs.mapInPandas(solve, schema)
     return solved.select(*keys, "run_start", "run_end", F.posexplode(F.arrays_zip("y", "x")).alias("_k", "_z")).select(
         *keys, "run_start", "run_end", (F.col("run_start") + F.col("_k")).alias(order), F.col("_z.y").alias(value), F.col("_z.x").alias("smoothed")
     )

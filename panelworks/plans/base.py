@@ -14,7 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 ORIGIN = "2024-01-01 00:00:00"
-HOURS, SIX_HOURS, LINKS = 720, 120, 10
+#: Users and suppliers stand for links by their number modulo this.
+LINKS = 10
 
 
 def query(sql: str | None = None):
@@ -37,15 +38,21 @@ def rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def _last_slot(spark: SparkSession, sf_dir: str, seconds: int) -> int:
+    """The slot of the last event: one number."""
+    last = read(spark, sf_dir, "events").agg(F.max(C.slot_index(F.col("ts"), ORIGIN, seconds))).first()[0]
+    return -1 if last is None else last
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense hourly panel: panel = event type, slot = hour, value = mean value or NULL."""
+    """Dense hourly panel up to the last event: panel = event type, slot = hour, value = mean value or NULL."""
     cells = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("panel"), C.slot_index(F.col("ts"), ORIGIN, 3600).alias("slot")).agg(F.avg("value").alias("value"))
-    return grid.densify(cells, ["panel"], "slot", 0, HOURS - 1)
+    return grid.densify(cells, ["panel"], "slot", 0, _last_slot(spark, sf_dir, 3600))
 
 
 #: CTEs of hourly(): panel, slot, value.
 HOURLY = f"""hcells as (select event_type as panel, floor((epoch(ts) - 1704067200) / 3600)::bigint as slot, avg(value) as value from events group by all)
-, hourly as (select panel, slot, value from (select distinct panel from hcells) cross join (select range::bigint as slot from range({HOURS})) left join hcells using (panel, slot))"""
+, hourly as (select panel, slot, value from (select distinct panel from hcells) cross join (select unnest(range((select max(slot) + 1 from hcells)))::bigint as slot) left join hcells using (panel, slot))"""
 
 
 def link_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,20 +60,20 @@ def link_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = read(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("panel"), C.slot_index(F.col("ts"), ORIGIN, 21600).alias("slot"), (F.col("user_id") % LINKS).alias("link")
     ).agg(F.avg("value").alias("v"))
-    dense = grid.spine(cells, ["panel", "link"], "slot", 0, SIX_HOURS - 1).join(cells, ["panel", "link", "slot"], "left")
+    dense = grid.spine(cells, ["panel", "link"], "slot", 0, _last_slot(spark, sf_dir, 21600)).join(cells, ["panel", "link", "slot"], "left")
     return dense.select("panel", "slot", "link", "v", F.coalesce(F.round(F.col("v") / (1 + F.col("v")), 6), F.lit(0.0)).alias("p"))
 
 
 #: CTEs of link_cells(): panel, slot, link, v, p.
 LINK_CELLS = f"""lcells as (select event_type as panel, floor((epoch(ts) - 1704067200) / 21600)::bigint as slot, user_id % {LINKS} as link, avg(value) as v from events group by all)
 , links as (select panel, slot, link, v, coalesce(round(v / (1 + v), 6), 0.0) as p
-  from (select distinct panel, link from lcells) cross join (select range::bigint as slot from range({SIX_HOURS})) left join lcells using (panel, link, slot))"""
+  from (select distinct panel, link from lcells) cross join (select unnest(range((select max(slot) + 1 from lcells)))::bigint as slot) left join lcells using (panel, link, slot))"""
 
 
 def link_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link dimension from the first suppliers: link, length in km, capacity."""
-    s = read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < LINKS)
-    return s.select(F.col("s_suppkey").alias("link"), F.round(0.3 + F.pmod(F.abs(F.round("s_acctbal")), F.lit(7)) / 10, 1).alias("km"), (1000 + F.pmod(F.abs(F.round("s_acctbal")), F.lit(900))).cast("double").alias("capacity"))
+    """Link dimension from all suppliers: link, length in km, capacity."""
+    sums = read(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % LINKS).alias("link")).agg(F.sum(F.abs(F.round("s_acctbal"))).cast("long").alias("_s"))
+    return sums.select("link", F.round(0.3 + (F.col("_s") % 7) / 10, 1).alias("km"), (1000 + F.col("_s") % 900).cast("double").alias("capacity"))
 
 
-LINK_AXIS = f"""axis as (select s_suppkey as link, round(0.3 + (abs(round(s_acctbal)) % 7) / 10, 1) as km, (1000 + abs(round(s_acctbal)) % 900)::double as capacity from supplier where s_suppkey < {LINKS})"""
+LINK_AXIS = f"""axis as (select link, round(0.3 + (s % 7) / 10, 1) as km, (1000 + s % 900)::double as capacity from (select s_suppkey % {LINKS} as link, sum(abs(round(s_acctbal)))::bigint as s from supplier group by 1))"""

@@ -102,7 +102,7 @@ def applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with a as (select l_suppkey, l_returnflag, sum(l_quantity) as q from lineitem group by 1, 2), b as (select l_suppkey, l_returnflag, sum(l_quantity * (1 - l_discount)) + sum(l_quantity * l_discount) as q from lineitem group by 1, 2)
-select count(*) as n, 0.0::double as largest, max(abs(a.q - b.q)) <= 1e-6 as ok from a join b using (l_suppkey, l_returnflag)""")
+select count(*) as n, round(max(abs(a.q - b.q)), 4) as largest, max(abs(a.q - b.q)) <= 1e-6 as ok from a join b using (l_suppkey, l_returnflag)""")
 def parity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A total against the sum of its parts."""
     l, keys = read(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"]
@@ -111,12 +111,12 @@ def parity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with n as (select l_suppkey, count(*) as n from lineitem where l_returnflag = 'A' and l_linenumber = 1 group by 1)
+with n as (select l_suppkey, count(*) as n from lineitem group by 1)
 , p as (select l_suppkey, n, unnest(case when n <= 8 then range(n) else list_transform(range(8), lambda i: round_even(i * (n - 1) / 7.0, 0)::bigint) end) as pick from n)
 select l_suppkey, n, pick, pick < greatest(n // 5, 1) as tiled, n >= 5 and pick <= n - 5 as starts_window from p""")
 def even_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks spread over each supplier's rows, and whether they are a number of a tile or the start of an overlapping window of five."""
-    n = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'A' and l_linenumber = 1").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    n = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     out = n.select("l_suppkey", "n", F.explode(evals.even_picks(F.col("n"), 8)).alias("pick"), evals.window_starts(F.col("n"), 5, False).alias("t"), evals.window_starts(F.col("n"), 5, True).alias("o"))
     return out.select("l_suppkey", "n", "pick", F.array_contains("t", F.col("pick") * 5).alias("tiled"), ((F.col("n") >= 5) & F.array_contains("o", F.col("pick"))).alias("starts_window"))
 
@@ -124,7 +124,7 @@ def even_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def quota_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 picks of each supplier dealt to its line numbers, capped by the rows there."""
-    c = read(spark, sf_dir, "lineitem").filter("l_partkey % 5 = 0").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("share"))
+    c = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("share"))
     return evals.quotas(c, "l_suppkey", "l_linenumber", "rows", "share", 40)
 
 
@@ -162,11 +162,11 @@ def hybrid_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.hybrid_truth(d, ["panel"], "slot", "link", "obs", "guess").select("panel", "slot", "link", "label")
 
 
-CELLS_SQL = """cells as (select l_suppkey as image, l_linenumber as x, (l_quantity::bigint // 5) as y, l_partkey % 4 as inst, l_orderkey % 3 as record, max(l_discount) * 10 as p from lineitem where l_suppkey < 40 group by all)"""
+CELLS_SQL = """cells as (select l_suppkey as image, l_linenumber as x, (l_quantity::bigint // 5) as y, l_partkey % 4 as inst, l_orderkey % 3 as record, max(l_discount) * 10 as p from lineitem group by all)"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = read(spark, sf_dir, "lineitem").filter("l_suppkey < 40")
+    l = read(spark, sf_dir, "lineitem")
     return l.groupBy(F.col("l_suppkey").alias("image"), F.col("l_linenumber").alias("x"), F.floor(F.col("l_quantity") / 5).alias("y"), (F.col("l_partkey") % 4).alias("inst"), (F.col("l_orderkey") % 3).alias("record")).agg((F.max("l_discount") * 10).alias("p"))
 
 
@@ -192,6 +192,15 @@ def cell_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(masks.vote_shares(c, ["x", "y"], "record", n).join(own, ["image", "x", "y"]), "vote")
 
 
+@query(f"""with {CELLS_SQL}
+, o as (select image, x, y, first(inst order by p desc, inst) as inst from cells group by 1, 2, 3)
+select image, inst, count(*) as cells from o group by 1, 2 having count(*) >= 8""")
+def owner_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells to their most confident instance, instances with few cells left go."""
+    c = _cells(spark, sf_dir).groupBy("image", "x", "y", "inst").agg(F.max("p").alias("p"))
+    return masks.owner_cells(c, ["image", "x", "y"], "p", 8)
+
+
 @query("""
 select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 0.0 else case when o_custkey % 97 = 0 then 1.5 else o_totalprice end end as value, 'sheet' as source from orders
 union all select o_orderkey + 10000000, 1.0, 'extra' from orders where o_custkey % 97 = 0""")
@@ -199,7 +208,7 @@ def sheet_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task's values zeroed, keys pinned, sources put together."""
     o = read(spark, sf_dir, "orders")
     pins = o.filter("o_custkey % 97 = 0").select("o_orderkey", F.lit(1.5).alias("value"))
-    sheet = o.select("o_orderkey", F.col("o_totalprice").alias("value"), "o_orderpriority").join(pins.withColumnRenamed("value", "_a"), "o_orderkey", "left").withColumn("value", F.coalesce("_a", "value"))
+    sheet = contract.pin(o.select("o_orderkey", F.col("o_totalprice").alias("value"), "o_orderpriority"), pins, ["o_orderkey"], "value")
     zeroed = sheet.withColumn("value", F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 0.0).otherwise(F.col("value"))).select("o_orderkey", "value", F.lit("sheet").alias("source"))
     return zeroed.unionByName(pins.select((F.col("o_orderkey") + 10000000).alias("o_orderkey"), F.lit(1.0).alias("value"), F.lit("extra").alias("source")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.operators import balance, runs
@@ -45,31 +45,93 @@ def trip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(balance.trip_scores(e, flows, edges), "s_path", "s_link", "s_total", "s_dest", "score", digits=7)
 
 
-def _projection(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _projected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, incidence and totals: the totals are those of rows moved by up to 8 %."""
     flows, edges = _flows(spark, sf_dir)
-    b = flows.groupBy("path").agg(F.sum("f").alias("b"))
+    b = flows.groupBy("path").agg(F.round(F.sum("f"), 6).alias("b"))
     moved = b.withColumn("f", F.col("b") * (1 + (F.col("path") % 5) * 0.02))
-    totals = balance.incidence_product(edges, moved.select("path", "f")).withColumnRenamed("total", "c")
-    f = balance.project(b, edges, totals, kind)
-    fitted = balance.incidence_product(edges, f)
-    return fitted.join(totals, "link").select("link", F.round("c", 4).alias("c"), (F.abs(F.col("total") - F.col("c")) <= 1e-6 * F.col("c")).alias("ok"))
+    return b, edges, balance.incidence_product(edges, moved.select("path", "f")).withColumnRenamed("total", "c")
 
 
-PROJECTED = f"""with {FLOWS_SQL}, b as (select path, sum(f) as b from flows group by 1)
-, c as (select link, sum(b * (1 + (path % 5) * 0.02)) as c from edges join b using (path) group by 1)
-select link, round(c, 4) as c, true as ok from c"""
+PROJECTED = f"""{FLOWS_SQL}, b as (select path, round(sum(f), 6) as b from flows group by 1)
+, c as (select link, sum(b * (1 + (path % 5) * 0.02)) as c from edges join b using (path) group by 1)"""
 
 
-@query(PROJECTED)
+def _solved(weight: str, ridge: float) -> str:
+    """The same table by conjugate gradients on (A W A' + ridge) mu = c - A b, which is exact if no row is cut at 0."""
+    plus = "list_transform(list_zip({a}, {b}), lambda z: z[1] + ({f}) * z[2])"
+    return f"""with recursive {PROJECTED}
+, l as (select link, row_number() over (order by link) as i from c)
+, m as (select x.link as i, y.link as j, sum({weight}) as m from edges x join edges y using (path) join b using (path) group by all)
+, mat as (select list(coalesce(m.m, 0) + case when a.link = z.link then {ridge} else 0 end order by z.link) as row, a.link from l a cross join l z left join m on m.i = a.link and m.j = z.link group by a.link)
+, r0 as (select list(c.c - t.t order by link) as r from c join (select link, sum(b) as t from edges join b using (path) group by 1) t using (link))
+, mm as (select list(row order by link) as mat from mat)
+, cg as (select 0 as k, list_transform(r, lambda v: 0.0::double) as x, r, r as p, list_dot_product(r, r) as rs from r0
+  union all
+  select k + 1, {plus.format(a="x", b="p", f="al")}, r2, {plus.format(a="r2", b="p", f="list_dot_product(r2, r2) / rs")}, list_dot_product(r2, r2)
+  from (select *, {plus.format(a="r", b="q", f="-al")} as r2 from (select *, rs / list_dot_product(p, q) as al from (select cg.*, list_transform(mat, lambda row: list_dot_product(row, p)) as q from cg, mm where k < 120 and rs > 1e-22))))
+, mu as (select unnest(x) as mu, generate_subscripts(x, 1) as i from (select x from cg order by k desc limit 1))
+, t as (select path, sum(mu) as t from edges join l using (link) join mu using (i) group by 1)
+select path, b, round(greatest(0, b + {weight} * t), 5) as fitted from b join t using (path)"""
+
+
+@query(f"""with {PROJECTED} select link, round(c, 4) as c, round(c, 4) as fitted from c""")
 def kl_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted table meets every total."""
-    return _projection(spark, sf_dir, "kl")
+    """The totals of the fitted table, which are to be the given ones; tests hold the rows against the optimum's form."""
+    b, edges, totals = _projected(spark, sf_dir)
+    fitted = balance.incidence_product(edges, balance.project(b, edges, totals, "kl"))
+    return rounded(fitted.join(totals, "link").select("link", "c", F.col("total").alias("fitted")), "c", "fitted", digits=4)
+
+
+def _fitted(spark: SparkSession, sf_dir: str, kind: str, ridge: float = 0.0) -> DataFrame:
+    b, edges, totals = _projected(spark, sf_dir)
+    return rounded(b.join(balance.project(b, edges, totals, kind, ridge, tolerance=1e-11).withColumnRenamed("f", "fitted"), "path"), "fitted", digits=5)
 
 
-@query(PROJECTED)
+@query(_solved("1.0", 0.0))
 def l2_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M22."""
-    return _projection(spark, sf_dir, "l2")
+    """Least squares."""
+    return _fitted(spark, sf_dir, "l2")
+
+
+@query(_solved("b", 0.0))
+def chi2_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares in proportion to the row."""
+    return _fitted(spark, sf_dir, "chi2")
+
+
+@query(_solved("1.0", 5.0))
+def ridge_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals may be missed at a price."""
+    return _fitted(spark, sf_dir, "l2", 5.0)
+
+
+@query(f"""with {PROJECTED}, d as (select link, round(c / 1000, 8) as mu from c) select path, round(sum(mu), 8) as t from edges join d using (link) group by 1""")
+def path_duals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J22, transposed: the links' values summed along each path."""
+    _, edges, totals = _projected(spark, sf_dir)
+    return rounded(balance.incidence_transpose(edges, totals.select("link", F.round(F.col("c") / 1000, 8).alias("mu"))), "t")
+
+
+@query(f"""with {FLOWS_SQL}
+, est as (select 'scaled' as estimator, 'factor' as family, panel, path, dest, f * 1.1 as e, f as t from flows
+  union all select 'thirds', 'factor', panel, path, dest, case when path % 3 = 0 then f * 1.2 else f end, f from flows
+  union all select 'mean', 'flat', panel, path, dest, avg(f) over (partition by panel), f from flows)
+, l as (select estimator, panel, link, sum(e) as e, sum(t) as t from est join edges using (path) group by 1, 2, 3), d as (select estimator, panel, dest, sum(e) as e, sum(t) as t from est group by 1, 2, 3)
+, s as (select estimator, any_value(family) as family, panel, greatest(0, 1 - sum(abs(e - t)) / sum(t)) as s_path, exp(-abs(sum(e) / sum(t) - 1)) as s_total from est group by 1, 3)
+, sl as (select estimator, panel, greatest(0, 1 - sum(abs(e - t)) / sum(t)) as s_link from l group by 1, 2), sd as (select estimator, panel, greatest(0, 1 - sum(abs(e - t)) / sum(t)) as s_dest from d group by 1, 2)
+, z as (select *, 0.35 * s_path + 0.35 * s_link + 0.15 * s_total + 0.15 * s_dest as score from s join sl using (estimator, panel) join sd using (estimator, panel))
+select estimator, panel, round(score, 7) as score, round(avg(score) over (partition by estimator), 7) as estimator_mean, round(avg(score) over (partition by family), 7) as family_mean from z""")
+def estimator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several estimators on fixed truths, and the means of each and of its family."""
+    flows, edges = _flows(spark, sf_dir)
+    mean = F.avg("f").over(Window.partitionBy("panel"))
+    made = F.array(*[F.struct(F.lit(n).alias("estimator"), e.alias("f")) for n, e in (("scaled", F.col("f") * 1.1), ("thirds", F.when(F.col("path") % 3 == 0, F.col("f") * 1.2).otherwise(F.col("f"))), ("mean", F.col("_m")))])
+    est = flows.withColumn("_m", mean).select("panel", "path", "dest", F.col("f").alias("t"), F.explode(made).alias("x")).select(F.concat_ws("|", "x.estimator", "panel").alias("panel"), "path", "dest", "x.f", "t")
+    scored = balance.trip_scores(est.drop("t"), est.drop("f").withColumnRenamed("t", "f"), edges)
+    out = scored.select(F.split("panel", r"\|")[0].alias("estimator"), F.split("panel", r"\|")[1].alias("panel"), "score").withColumn("family", F.when(F.col("estimator") == "mean", "flat").otherwise("factor"))
+    means = out.withColumns({f"{n}_mean": F.avg("score").over(Window.partitionBy(n)) for n in ("estimator", "family")})
+    return rounded(means.drop("family"), "score", "estimator_mean", "family_mean", digits=7)
 
 
 @query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.operators import contract, learn, masks, runs, score, smooth
@@ -124,24 +124,36 @@ def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.mark_runs(hourly(spark, sf_dir).withColumn("f", F.col("value").isNotNull()), ["panel"], "slot", "f").filter("run_length >= 2")
+    """Runs of observed hours, with the observed values before and after each."""
+    h = hourly(spark, sf_dir)
+    w = Window.partitionBy("panel").orderBy("slot")
+    seen = h.filter("value is not null").withColumns({"left": F.lag("value").over(w), "right": F.lead("value").over(w), "f": F.lit(True)})
+    r = Window.partitionBy("panel", "run_start").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return runs.mark_runs(seen, ["panel"], "slot", "f").withColumns({"left": F.first("left").over(r), "right": F.last("right").over(r)})
 
 
 @query()
 def tv_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M19."""
-    return rounded(smooth.smooth_runs(_run_cells(spark, sf_dir), ["panel"], "slot", "value", "tv", 0.2), "smoothed")
+    """Drawn to the observed values beside each run."""
+    return rounded(smooth.smooth_runs(_run_cells(spark, sf_dir), ["panel"], "slot", "value", "tv", 0.2, 0.1, "left", "right"), "smoothed")
 
 
 @query(f"""
-with {HOURLY}
-, g as (select *, slot - row_number() over (partition by panel order by slot) as isle from hourly where value is not null)
-, r as (select panel, isle, min(slot) as run_start, max(slot) as run_end, count(*) as n, sum(value) as total from g group by 1, 2)
-select panel, run_start, run_end, round(total, 6) as total, true as same_sum from r where n >= 2""")
+with recursive {HOURLY}
+, o as (select *, lag(value) over w as l, lead(value) over w as r, slot - row_number() over w as isle from hourly where value is not null window w as (partition by panel order by slot))
+, c as (select panel, slot, value, min(slot) over i as run_start, max(slot) over i as run_end, first(l) over (partition by panel, isle order by slot) as xl, last(r) over (partition by panel, isle order by slot rows between unbounded preceding and unbounded following) as xr
+  from o window i as (partition by panel, isle))
+, d as (select *, slot - run_start + 1 as k, run_end - run_start + 1 as n from c)
+, e as (select panel, run_start, run_end, slot, value, k, n, 1 + 2.0 * ((k > 1)::int + (k < n)::int) + case when k = 1 and xl is not null then 0.5 else 0 end + case when k = n and xr is not null then 0.5 else 0 end as g
+  , value + case when k = 1 then coalesce(0.5 * xl, 0) else 0 end + case when k = n then coalesce(0.5 * xr, 0) else 0 end as b from d)
+, fw as (select panel, run_start, k, n, slot, value, run_end, -2.0 / g as c, b / g as d from e where k = 1
+  union all select e.panel, e.run_start, e.k, e.n, e.slot, e.value, e.run_end, -2.0 / (e.g + 2.0 * fw.c), (e.b + 2.0 * fw.d) / (e.g + 2.0 * fw.c) from fw join e on e.panel = fw.panel and e.run_start = fw.run_start and e.k = fw.k + 1)
+, bw as (select panel, run_start, k, d as x from fw where k = n
+  union all select fw.panel, fw.run_start, fw.k, fw.d - fw.c * bw.x from bw join fw on fw.panel = bw.panel and fw.run_start = bw.run_start and fw.k = bw.k - 1)
+select panel, run_start, run_end, slot, value, round(x, 6) as smoothed from bw join fw using (panel, run_start, k)""")
 def whittaker_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoothed run keeps the run's sum."""
-    out = smooth.smooth_runs(_run_cells(spark, sf_dir), ["panel"], "slot", "value", "whittaker", 2.0)
-    return out.groupBy("panel", "run_start", "run_end").agg(F.round(F.sum("value"), 6).alias("total"), (F.abs(F.sum("value") - F.sum("smoothed")) < 1e-6 * F.sum("value")).alias("same_sum"))
+    """With the observed values beside each run as anchors."""
+    return rounded(smooth.smooth_runs(_run_cells(spark, sf_dir), ["panel"], "slot", "value", "whittaker", 2.0, 0.5, "left", "right"), "smoothed", digits=6)
 
 
 @query(f"""
@@ -158,6 +170,21 @@ def connected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.connected_cells(link_cells(spark, sf_dir).filter("p >= 0.965"), ["panel"], "slot", "link")
 
 
+@query(f"""
+with recursive {LINK_CELLS}
+, c as (select panel, slot, link, p from links where p >= 0.975)
+, reach as (
+  select panel, slot, link, slot as ox, link as oy from c
+  union
+  select c.panel, c.slot, c.link, r.ox, r.oy from reach r join c on c.panel = r.panel and abs(c.slot - r.slot) <= 2 and abs(c.link - r.link) <= 2 and (r.ox, r.oy) < (c.slot, c.link))
+, f as (select panel, slot, link, min((ox, oy)) as o from reach group by 1, 2, 3)
+, g as (select f.*, count(*) over w as cells, avg(p) over w as mean from f join c using (panel, slot, link) window w as (partition by panel, o))
+select panel, slot, link, struct_extract_at(o, 1) as ox, struct_extract_at(o, 2) as oy, cells from g where cells >= 2 and mean >= 0.978""")
+def merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments up to two cells apart are one, small and weak ones go."""
+    return masks.connected_cells(link_cells(spark, sf_dir).filter("p >= 0.975"), ["panel"], "slot", "link", least=2, reach=2, score="p", least_score=0.978)
+
+
 def _learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = link_cells(spark, sf_dir).withColumns({"y": F.coalesce(F.col("v") > 25, F.lit(False)).cast("int"), "fold": F.floor(F.col("slot") / 28) % 3, "tod": F.col("slot") % 4})
     from panelworks.operators.space import offsets
@@ -169,7 +196,7 @@ def _learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of a boosted classifier on profile features, calibrated per time of day; their AUC."""
     rows = learn.out_of_fold(_learning_rows(spark, sf_dir).withColumnRenamed("p", "s_p"), ["o_m1", "o_1", "tod", "link"], "y", "fold", 3, "w", trees=3)
-    return learn.isotonic_oof(rows.filter("tod < 2"), "p", "y", "fold", "tod", 3).select("panel", "slot", "link", "y", "p", "calibrated")
+    return learn.isotonic_oof(rows, "p", "y", "fold", "tod", 3).select("panel", "slot", "link", "y", "p", "calibrated")
 
 
 @query()

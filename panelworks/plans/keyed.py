@@ -249,11 +249,11 @@ def equality_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q as (select l_suppkey, quantile_cont(l_extendedprice, 0.05) as lo, quantile_cont(l_extendedprice, 0.95) as hi from lineitem where l_suppkey < 40 group by 1)
+with q as (select l_suppkey, quantile_cont(l_extendedprice, 0.05) as lo, quantile_cont(l_extendedprice, 0.95) as hi from lineitem group by 1)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((least(greatest(l_extendedprice, lo), hi) - lo) / (hi - lo), 7) as scaled from lineitem join q using (l_suppkey)""")
 def percentile_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P19."""
-    out = contract.rescale(read(spark, sf_dir, "lineitem").filter("l_suppkey < 40"), ["l_suppkey"], "l_extendedprice", 0.05, 0.95)
+    out = contract.rescale(read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.05, 0.95)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("scaled", 7).alias("scaled"))
 
 
@@ -271,11 +271,11 @@ def attribute_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select l_suppkey, l_returnflag, list(distinct l_linenumber order by l_linenumber) as l from lineitem where l_partkey % 50 = 0 group by 1, 2)
+with s as (select l_suppkey, l_partkey, list(distinct l_linenumber order by l_linenumber) as l from lineitem group by 1, 2)
 , t as (select array_to_string(l, ',') as cells, len(l) as size from s) select cells, size, count(*) as n from t group by 1, 2""")
 def unique_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U05."""
-    return contract.unique_sets(read(spark, sf_dir, "lineitem").filter("l_partkey % 50 = 0"), ["l_suppkey", "l_returnflag"], "l_linenumber")
+    return contract.unique_sets(read(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], "l_linenumber")
 
 
 @query("""
@@ -312,14 +312,14 @@ def structured_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select l_orderkey, l_linenumber, l_quantity as q, l_extendedprice / 1000 as e, l_discount as d, l_tax as t from lineitem where l_suppkey < 50)
+with r as (select l_orderkey, l_linenumber, l_quantity as q, l_extendedprice / 1000 as e, l_discount as d, l_tax as t from lineitem)
 select l_orderkey, l_linenumber, e, round(1 / (1 + exp(-(ln(least(greatest(d, 1e-6), 1 - 1e-6) / (1 - least(greatest(d, 1e-6), 1 - 1e-6))) + 0.5))), 8) as shifted
 , round(case when q > 0 and e > 0 then q * exp(0.25 * least(greatest(ln(e / q), -0.5), 0.5)) else q end, 7) as first, round(case when q > 0 and e > 0 then e * exp(-0.75 * least(greatest(ln(e / q), -0.5), 0.5)) else e end, 7) as second
 , round(q * pow(1 + t, -0.3), 7) as applied, round(least(abs(q * 7 - e * 3) % 180, 180 - abs(q * 7 - e * 3) % 180), 6) as axial, round(case when sin(radians(q)) > 0 then e / sin(radians(q)) end, 6) as derived
 , round(q + 0.3 * least(greatest(e - q, -5.0), 5.0), 7) as guarded, round(e / greatest(q, 1), 7) as density from r""")
 def row_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P08, P13, P14, P15, P16, F09, F10, F11."""
-    r = read(spark, sf_dir, "lineitem").filter("l_suppkey < 50").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("e"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    r = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("e"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
     q, e = F.col("q"), F.col("e")
     first, second = C.reconcile(q, e, F.lit(1.0), 0.25, 0.5)
     return r.select(
@@ -403,3 +403,44 @@ def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, pred, scores = _masks(spark, sf_dir)
     out = masks.threshold_grid(pred, truth, scores, [0.0, 0.25, 0.5, 0.75])
     return out.withColumns({"s": F.round("s", 6), "pq": F.round("pq", 8)})
+
+
+@query("""
+select l_orderkey, l_linenumber, case when l_linenumber = 7 then 0.5 when l_linenumber = 6 then 1.0 when l_linenumber = 5 then 0.0 else least(greatest((l_quantity - 5) / 40.0, 0), 1) end as p from lineitem""")
+def sanitised_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN, infinities and values outside [0, 1]."""
+    n = F.col("l_linenumber")
+    raw = F.when(n == 7, float("nan")).when(n == 6, float("inf")).when(n == 5, float("-inf")).otherwise((F.col("l_quantity") - 5) / 40.0)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.sanitise_probability(raw).alias("p"))
+
+
+@query("""
+with t as (select 'price' as task, l_orderkey as k, l_linenumber as n from lineitem union all select 'order', o_orderkey, 0 from orders union all select 'part', p_partkey, 0 from part)
+, a as (select l_orderkey as k, l_linenumber as n, l_extendedprice as price from lineitem where l_linenumber <> 3), b as (select o_orderkey as k, o_totalprice as total from orders where o_orderstatus <> 'P'), c as (select p_partkey as k, p_retailprice as retail from part)
+select task, t.k, t.n, coalesce(case when task = 'price' then price end, 0) as price, coalesce(case when task = 'order' then total end, 0) as total, coalesce(case when task = 'part' then retail end, 0) as retail
+, case task when 'price' then price is null when 'order' then total is null else retail is null end as missing
+from t left join a on task = 'price' and a.k = t.k and a.n = t.n left join b on task = 'order' and b.k = t.k left join c on task = 'part' and c.k = t.k""")
+def tall_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three keyed frames, two with gaps, as one sheet with zero defaults."""
+    l, o, p = (read(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    a = l.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("price"))
+    b = o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"), "o_orderstatus")
+    c = p.select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("retail"))
+    rows = lambda name, df, n: df.select(F.lit(name).alias("task"), "k", n.cast("long").alias("n"))
+    template = rows("price", a, F.col("n")).unionByName(rows("order", b, F.lit(0))).unionByName(rows("part", c, F.lit(0)))
+    frames = {"price": (a.filter("n <> 3"), ["k", "n"], "price"), "order": (b.filter("o_orderstatus <> 'P'"), ["k"], "total"), "part": (c, ["k"], "retail")}
+    return contract.tall_sheet(template, frames, "task").select("task", "k", "n", "price", "total", "retail", "missing")
+
+
+_PRINTED = ["orders", "part", "supplier"]
+
+
+@query(" union all ".join(f"""select '{t}' as name, (select substr(sha256('[' || string_agg('"' || column_name || '"', ', ' order by column_index) || ']'), 1, 16) from duckdb_columns() where table_name = '{t}') as fingerprint, count(*) as n from {t}""" for t in _PRINTED))
+def schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the fingerprint of each table's ordered columns, and its rows."""
+    out = None
+    for t in _PRINTED:
+        df = read(spark, sf_dir, t)
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), F.lit(C.fingerprint(*df.columns)).alias("fingerprint"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

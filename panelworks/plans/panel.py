@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions import columns as C
 from panelworks.operators import fill, grid, runs, windows
-from panelworks.plans.base import HOURLY, HOURS, LINK_CELLS, ORIGIN, hourly, link_cells, query, read, rounded
+from panelworks.plans.base import HOURLY, LINK_CELLS, ORIGIN, hourly, link_cells, query, read, rounded
 
 
 @query(f"""
@@ -210,7 +210,7 @@ def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORIGINS = f"""{CANDIDATES}
-, origins as (select panel, slot as origin from cand where slot % 12 = 0 and slot between 12 and 110)"""
+, origins as (select panel, slot as origin from cand )"""
 
 
 @query(f"""
@@ -218,7 +218,7 @@ with {ORIGINS}
 select o.panel, origin, slot - origin as step, link, round(v, 8) as v from origins o join links l on l.panel = o.panel and ((slot >= origin - 12 and slot < origin) or (slot > origin and slot <= origin + 6)) where v is not null""")
 def window_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of 12 slots and horizon of 6 around each origin, by exploded slots and an equi-join."""
-    origins = _candidates(spark, sf_dir).filter("slot % 12 = 0 and slot between 12 and 110").select("panel", F.col("slot").alias("origin"))
+    origins = _candidates(spark, sf_dir).select("panel", F.col("slot").alias("origin"))
     cells = link_cells(spark, sf_dir).filter("v is not null").select("panel", "slot", "link", "v")
     return rounded(windows.around(origins, cells, ["panel"], "slot", [*range(-12, 0), *range(1, 7)]).select("panel", "origin", "step", "link", "v"), "v")
 
@@ -227,10 +227,10 @@ def window_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {ORIGINS}
 , q as (select panel, slot, link, v is not null as ok, coalesce(v > 20, false) as q from links)
 select o.panel, origin, link, round(sum((q and ok)::int)::double / nullif(sum(ok::int), 0), 8) as rate
-from origins o join q on q.panel = o.panel and exists (select 1 from range(1, 8) d(d), range(-2, 3) s(s) where q.slot = o.origin - d * 4 + s) group by all""")
+from (select panel, origin, origin + f as slot from origins, (select distinct s - d * 4 as f from range(1, 8) d(d), range(-2, 3) s(s))) o join q using (panel, slot) group by all""")
 def lookback_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share active at the same slot, plus or minus two, of the seven days before."""
-    origins = _candidates(spark, sf_dir).filter("slot % 12 = 0 and slot between 12 and 110").select("panel", F.col("slot").alias("origin"))
+    origins = _candidates(spark, sf_dir).select("panel", F.col("slot").alias("origin"))
     cells = link_cells(spark, sf_dir).filter("v is not null").select("panel", "slot", "link", (F.col("v") > 20).cast("int").alias("q"))
     offsets = sorted({s - 4 * d for d in range(1, 8) for s in range(-2, 3)})
     seen = windows.around(origins, cells, ["panel"], "slot", offsets)
@@ -249,7 +249,7 @@ select p.panel, p.origin, y.link, count(*) as n_similar, case when count(*) >= 3
 from pairs p join y on y.panel = p.panel and y.origin = p.other group by all""")
 def similar_window_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of windows of other folds and similar time of day that hold the link, three windows at least."""
-    origins = _candidates(spark, sf_dir).filter("slot % 12 = 0 and slot between 12 and 110").select("panel", F.col("slot").alias("origin"))
+    origins = _candidates(spark, sf_dir).select("panel", F.col("slot").alias("origin"))
     s = origins.withColumn("tod", F.col("origin") % 4).withColumn("fold", F.floor(F.col("origin") / 28) % 2)
     y = link_cells(spark, sf_dir).select("panel", F.col("slot").alias("origin"), "link", (F.col("p") >= 0.95).cast("int").alias("y"))
     return rounded(windows.similar_prior(s, y, ["panel"], "origin", "tod", "fold", 1, 3), "prior")
@@ -273,7 +273,7 @@ def blackout_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with {HOURLY}
 , p as (select panel, slot, value, lead(value) over (partition by panel order by slot) as after from hourly)
-select panel, slot, round(after - value, 8) as step_change from p where value is not null and after is not null and slot < {HOURS - 1}""")
+select panel, slot, round(after - value, 8) as step_change from p where value is not null and after is not null""")
 def valid_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive slots that are both observed."""
     return rounded(windows.transitions(hourly(spark, sf_dir).filter("value is not null"), ["panel"], "slot", "value"), "step_change")

@@ -73,10 +73,10 @@ with {ARMS_SQL}, {WEIGHTS_SQL}
 , r as (select *, (rank() over (partition by arm, target order by p) + (count(*) over (partition by arm, target, p) - 1) / 2.0) / count(*) over (partition by arm, target) as rp from arms)
 select doc_id, target, round(sum(w * p) / sum(w), 8) as prob_blend, round(sum(w * rp) / sum(w), 8) as rank_blend, count(*) as n from r join w using (arm, target) group by 1, 2""")
 def arm_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted probability and rank averages over the arms that a document has."""
+    """Weighted probability and rank averages over the arms that a document has."""
     weights = spark.createDataFrame(WEIGHTS, "arm string, target string, w double")
     ranked = blend.score_ranks(arms(spark, sf_dir), ["arm", "target"], "p", "doc_id")
-    out = ranked.join(F.broadcast(weights), ["arm", "target"]).groupBy("doc_id", "target").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("prob_blend"), (F.sum(F.col("w") * F.col("rank_pct")) / F.sum("w")).alias("rank_blend"), F.count(F.lit(1)).alias("n"))
+    out = ranked.join(weights, ["arm", "target"]).groupBy("doc_id", "target").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("prob_blend"), (F.sum(F.col("w") * F.col("rank_pct")) / F.sum("w")).alias("rank_blend"), F.count(F.lit(1)).alias("n"))
     return rounded(out, "prob_blend", "rank_blend")
 
 
@@ -205,14 +205,14 @@ def sign_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select l_orderkey * 10 + l_linenumber as id, rater, v from lineitem, lateral (values ('r1', l_quantity), ('r2', l_quantity * (1 + l_discount * 4)), ('r3', l_quantity * (1 + l_tax * 8))) t(rater, v) where l_suppkey < 20)
+with r as (select l_orderkey * 10 + l_linenumber as id, rater, v from lineitem, lateral (values ('r1', l_quantity), ('r2', l_quantity * (1 + l_discount * 4)), ('r3', l_quantity * (1 + l_tax * 8))) t(rater, v))
 , o as (select id, rater, min(v) as v from r group by 1, 2)
 , k as (select * from (select *, median(v) over (partition by id) as m from o) where abs(v - m) <= 0.2 * abs(m))
 select id, rater, round(v, 6) as v, count(*) over p as n_raters, round(avg(v) over p, 8) as consensus, round(stddev_pop(v) over p, 6) as spread, round(case when count(*) over p > 1 then v - (sum(v) over p - v) / (count(*) over p - 1) end, 8) + 0.0 as loo_error
 from k window p as (partition by id)""")
 def rater_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24, P12."""
-    l = read(spark, sf_dir, "lineitem").filter("l_suppkey < 20")
+    l = read(spark, sf_dir, "lineitem")
     wide = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("r1"), (F.col("l_quantity") * (1 + F.col("l_discount") * 4)).alias("r2"), (F.col("l_quantity") * (1 + F.col("l_tax") * 8)).alias("r3"))
     long = wide.unpivot("id", ["r1", "r2", "r3"], "rater", "v").groupBy("id", "rater").agg(F.min("v").alias("v"))
     out = score.rater_consensus(long, "id", "rater", "v", off=0.2)
@@ -313,8 +313,28 @@ def vector_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select l_orderkey, l_linenumber, l_suppkey, round(0.7 * l_extendedprice + 0.3 * median(l_extendedprice) over (partition by l_suppkey, l_returnflag), 6) as smoothed from lineitem where l_suppkey < 30""")
+select l_orderkey, l_linenumber, l_suppkey, round(0.7 * l_extendedprice + 0.3 * median(l_extendedprice) over (partition by l_suppkey, l_returnflag), 6) as smoothed from lineitem""")
 def median_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W27."""
-    l = read(spark, sf_dir, "lineitem").filter("l_suppkey < 30")
+    l = read(spark, sf_dir, "lineitem")
     return rounded(blend.median_smooth(l, ["l_suppkey", "l_returnflag"], "l_extendedprice", 0.3).select("l_orderkey", "l_linenumber", "l_suppkey", "smoothed"), "smoothed", digits=6)
+
+
+_PCT = "(rank() over (partition by target order by {v}) + (count(*) over (partition by target, {v}) - 1) / 2.0) / count(*) over (partition by target)"
+
+
+@query(f"""
+with {ARMS_SQL}
+, u as (select doc_id, target, sum(w * p) / sum(w) as v from arms join (values ('a', 0.7), ('b', 0.3)) w(arm, w) using (arm) group by 1, 2)
+, pu as (select doc_id, target, {_PCT.format(v="v")} as r from u)
+, pr as (select doc_id, target, {_PCT.format(v="p")} as r from arms where arm = 'c')
+, ba as (select doc_id, target, {_PCT.format(v="p")} as r from arms where arm = 'b')
+, m as (select pu.doc_id, pu.target, round((1 - w) * ba.r + w * (0.6 * pu.r + 0.4 * pr.r), 10) as v from pu join pr using (doc_id, target) join ba using (doc_id, target) join (values ('quality', 0.25), ('toxic', 0.75)) o(target, w) using (target))
+select doc_id, target, round({_PCT.format(v="v")}, 8) as final from m""")
+def staged_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two views, a private arm and a base arm, blended by ranks in stages."""
+    a = arms(spark, sf_dir)
+    weights = spark.createDataFrame([("a", 0.7), ("b", 0.3)], "arm string, w double")
+    outer = spark.createDataFrame([("quality", 0.25), ("toxic", 0.75)], "target string, w double")
+    views = a.filter("arm in ('a', 'b')")
+    return rounded(blend.staged_hybrid(views, weights, a.filter("arm = 'c'"), a.filter("arm = 'b'"), outer, "doc_id", "target", "arm", "p", 0.4), "final")
