@@ -16,6 +16,18 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep").transform(df)
 
 
+#: Kinds or steps that a model each is fitted for, at most.
+MOST_KINDS = 32
+
+
+def _few(df: DataFrame, column: str) -> list:
+    """The different values of a column; ValueError if there are more than MOST_KINDS."""
+    found = df.select(column).distinct().orderBy(column).limit(MOST_KINDS + 1).collect()
+    if len(found) > MOST_KINDS:
+        raise ValueError(f"{column} has more than {MOST_KINDS} values, each of which would be a model")
+    return found
+
+
 def residual_fit(df: DataFrame, features: list[str], target: str, baseline: str, weight: str, kind: str, trees: int = 10, depth: int = 3, seed: int = 1) -> DataFrame:
     """For each kind of row a boosted model of target - baseline, added to the baseline again: column fitted.
 
@@ -23,7 +35,7 @@ def residual_fit(df: DataFrame, features: list[str], target: str, baseline: str,
     """
     data = _assembled(df.withColumn("_r", F.col(target) - F.col(baseline)), features)
     parts = []
-    for row in df.select(kind).distinct().orderBy(kind).collect():  # few kinds by definition
+    for row in _few(df, kind):
         own = data.filter(F.col(kind).eqNullSafe(F.lit(row[kind])))
         model = GBTRegressor(featuresCol="_f", labelCol="_r", weightCol=weight, maxIter=trees, maxDepth=depth, seed=seed).fit(own.filter("_r is not null"))
         parts.append(model.transform(own).withColumn("fitted", F.col(baseline) + F.col("prediction")))
@@ -46,10 +58,23 @@ def out_of_fold(df: DataFrame, features: list[str], y: str, fold: str, folds: in
         data.unpersist()
 
 
+def stack(df: DataFrame, keys: list[str], pos: str, metres: str, p: str, cut: float, y: str, fold: str, folds: int, weight: str | None = None, trees: int = 10, depth: int = 3) -> DataFrame:
+    """Second-stage scores, column stacked, from the first stage's out-of-fold p: what the profile of p along the axis looks
+    like at a row (W18), the mass beside it (W17) and the block of p at the cut or over that it is in or before (W19)."""
+    from panelworks.operators import runs, space
+
+    shape = space.band_mass(space.profile(df, keys, pos, metres, p), keys, metres, p, [500, 1000, 2000]).withColumnsRenamed({"head": "head_share", "tail": "tail_share"})
+    told = runs.block_geometry(shape.withColumn("_flag", F.col(p) >= cut), keys, pos, "_flag", p)
+    away = {"to_tail": F.coalesce(F.col(pos) - F.col("tail"), F.lit(-99)), "to_head": F.coalesce(F.col("head") - F.col(pos), F.lit(-99)), "block_length": F.coalesce("block_length", F.lit(0)), "block_mass": F.coalesce("block_mass", F.lit(0.0))}
+    told = told.withColumns(away).withColumnRenamed(p, "first")
+    names = ["first", "p_max", "p_sum", "p_rel", "p_rank", "off_best", "m_best", "head_share", "tail_share", *[f"mass_{s}_{r}" for s in ("dn", "up") for r in (500, 1000, 2000)], *away, "n_blocks"]
+    return out_of_fold(told, names, y, fold, folds, weight, trees, depth).withColumnsRenamed({"p": "stacked", "first": p})
+
+
 def isotonic_oof(df: DataFrame, p: str, y: str, fold: str, step: str, folds: int) -> DataFrame:
     """P calibrated by an isotonic fit on the other folds of the same step: column calibrated. Steps are few."""
     parts = []
-    for s in [r[step] for r in df.select(step).distinct().orderBy(step).collect()]:
+    for s in [r[step] for r in _few(df, step)]:
         own = df.filter(F.col(step) == s)
         for k in range(folds):
             model = IsotonicRegression(featuresCol=p, labelCol=y).fit(own.filter((F.col(fold) != k) & F.col(y).isNotNull()))

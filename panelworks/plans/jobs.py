@@ -116,7 +116,11 @@ def stream_last_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", F.round("last_value", 8).alias("last_value"), F.round("age", 3).alias("age"))
 
 
-@query()
+@query("""
+with recursive e as (select event_id, user_id % 10 as link, value, epoch(ts) as t from events where value >= 20)
+, r as (select link, min((t, event_id)) as m from e group by 1
+  union all select r.link, min((e.t, e.event_id)) from r join e on e.link = r.link and e.t >= struct_extract_at(r.m, 1) + 21600 group by r.link)
+select e.event_id, e.link, e.value from r join e on e.link = r.link and e.event_id = struct_extract_at(r.m, 2)""")
 def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful, greedy."""
     r = streams.readings(spark, f"{sf_dir}/events.parquet").withColumn("link", F.col("user_id") % 10)
@@ -194,7 +198,7 @@ def _learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of a boosted classifier on profile features, calibrated per time of day; their AUC."""
+    """Out-of-fold scores of a boosted classifier, calibrated per time of day."""
     rows = learn.out_of_fold(_learning_rows(spark, sf_dir).withColumnRenamed("p", "s_p"), ["o_m1", "o_1", "tod", "link"], "y", "fold", 3, "w", trees=3)
     return learn.isotonic_oof(rows, "p", "y", "fold", "tod", 3).select("panel", "slot", "link", "y", "p", "calibrated")
 
@@ -215,3 +219,24 @@ def checks_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"))
     files.write_checks(contract.check_keys(sheet, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), ["k"]), path)
     return spark.read.schema("name string, n long, ok boolean").json(path)
+
+
+def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelworks.plans.space import _placed
+
+    first = learn.out_of_fold(_learning_rows(spark, sf_dir).withColumnRenamed("p", "s_p"), ["o_m1", "o_1", "tod", "link"], "y", "fold", 3, "w", trees=3).select("panel", "slot", "link", "y", "fold", "w", F.round("p", 6).alias("p"))
+    placed = first.join(_placed(spark, sf_dir).select("panel", "slot", "link", "metres"), ["panel", "slot", "link"])
+    return learn.stack(placed, ["panel", "slot"], "link", "metres", "p", 0.5, "y", "fold", 3, "w", trees=3)
+
+
+@query()
+def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second stage on the shape of the first stage's profile and its blocks."""
+    return _stacked(spark, sf_dir).select("panel", "slot", "link", "y", "p", "stacked")
+
+
+@query()
+def stacked_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUC of both stages by panel."""
+    long = _stacked(spark, sf_dir).select("panel", "y", F.expr("stack(2, 'first', p, 'second', stacked) as (stage, s)"))
+    return rounded(score.auc(long, ["panel", "stage"], "y", "s"), "auc")

@@ -78,3 +78,76 @@ def test_partition_count_does_not_matter(spark):
         seen.append(sorted(map(tuple, df.select(*[F.col(c).cast("string") for c in df.columns]).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def test_smoothing_with_anchors():
+    rng = np.random.default_rng(2)
+    y, left, right, lam, anchor = rng.normal(size=(6, 5)), rng.normal(size=6), rng.normal(size=6), np.full(6, 0.3), np.full(6, 0.2)
+    left[0], right[1] = np.nan, np.nan
+    zero = lambda a, b: np.where(np.isfinite(a), np.nan_to_num(b - a), 0.0)
+    tv = lambda x: 0.5 * ((x - y) ** 2).sum(1) + lam * np.abs(np.diff(x, axis=1)).sum(1) + anchor * (np.abs(zero(left, x[:, 0])) + np.abs(zero(right, x[:, -1])))
+    sq = lambda x: ((x - y) ** 2).sum(1) + lam * (np.diff(x, axis=1) ** 2).sum(1) + anchor * (zero(left, x[:, 0]) ** 2 + zero(right, x[:, -1]) ** 2)
+    for cost, x in ((tv, smooth.total_variation(y, lam, left, right, anchor)), (sq, smooth.whittaker(y, lam, left, right, anchor))):
+        for _ in range(300):
+            assert (cost(x) <= cost(x + rng.normal(size=x.shape) * rng.choice([1e-3, 1e-2, 0.1])) + 1e-7).all()
+
+
+def test_kl_projection_has_the_form_of_the_optimum(spark):
+    from panelworks.plans.flows import _projected
+
+    b, edges, totals = _projected(spark, "/root/testdata/sf0.001")
+    rows = {r.path: (r.b, r.f) for r in b.join(balance.project(b, edges, totals, "kl"), "path").collect()}
+    own, links = {}, sorted({r.link for r in edges.collect()})
+    for r in edges.collect():
+        own.setdefault(r.path, set()).add(r.link)
+    paths = sorted(rows)
+    a = np.array([[float(k in own[p]) for k in links] for p in paths])
+    t = np.log([rows[p][1] / rows[p][0] for p in paths])
+    assert np.allclose(a @ np.linalg.lstsq(a, t, rcond=None)[0], t, atol=1e-6)  # a sum of the links' duals
+    want = {r.link: r.c for r in totals.collect()}
+    assert np.allclose(a.T @ [rows[p][1] for p in paths], [want[k] for k in links], rtol=1e-6)
+
+
+def test_text_normalisation(spark):
+    import re
+    import unicodedata
+
+    from panelworks.functions.columns import normalise_text
+
+    texts = ["Ünï ﬁne ½ ǅ … ＡＢＣ", "Ναί Ελληνικά", "Йод съёмка", "İstanbul ğüşiöç", "e\u0301clair \t nä\nh", " ß ", "", "plain ASCII  text", "ﾊﾞ Ⅻ №"]
+    got = [r.n for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(normalise_text(F.col("t")).alias("n")).collect()]
+    want = [re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()) for t in texts]
+    assert got == want
+
+
+def test_knee_lexicon_in_several_languages(spark):
+    from panelworks.operators import labels
+
+    texts = [
+        "Rotura del menisco interno. Derrame articular. Ligamento cruzado anterior íntegro; sin quiste de Baker.",
+        "Voorste kruisband gaaf. Geen gewrichtsvocht. Beenmergoedeem in de tibia.",
+        "Torn ACL, seen well.\nNo fracture. Bone bruise of the femur.",
+        "Vorderes Kreuzband intakt. Kein Erguss. Fraktur der Patella.",
+        "ACL: no tear. MCL tear. The medial meniscus is mentioned",
+        None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in labels.label_texts(docs, "k", "t", labels.KNEE).filter("state <> 0").collect():
+        got.setdefault(r.k, {})[r.finding] = r.state
+    assert got[0] == {"medial meniscus": 1, "effusion": 1, "anterior cruciate": -1, "popliteal cyst": -1}
+    assert got[1] == {"anterior cruciate": -1, "effusion": -1, "contusion": 1}
+    assert got[2] == {"anterior cruciate": 1, "fracture": -1, "contusion": 1}
+    assert got[3]["anterior cruciate"] == -1 and got[3]["effusion"] == -1 and got[3]["fracture"] == 1
+    assert got[4] == {"medial collateral": 1} and 5 not in got  # a clause ends at the colon, so the ACL has no cue
+    assert labels.label_texts(docs, "k", "t", labels.KNEE).count() == 6 * 12
+
+
+def test_negated_pathology_and_later_mentions(spark):
+    from panelworks.operators import labels
+
+    lexicon = labels.Lexicon((labels.Finding("band", (r"\bband\b",)),), r"\bno\b", r"\btear\b")
+    far = "x" * 90
+    texts = [f"band {far[:50]} no tear", f"band {far} tear", f"band {far} band tear", "no band tear", f"band {far[:60]} no x", f"tear band {far[:40]} no"]
+    got = [r.state for r in labels.label_texts(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", lexicon).orderBy("k").collect()]
+    assert got == [-1, 0, 1, -1, -1, -1]
