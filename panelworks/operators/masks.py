@@ -59,14 +59,19 @@ def fuse(a: DataFrame, b: DataFrame, scores_a: DataFrame, scores_b: DataFrame, h
 
 
 def component_features(cells: DataFrame, keys: list[str], x: str, y: str, p: str, near: float) -> DataFrame:
-    """Area, mean, max, percentiles, share over 0.7, bounding-box fill, distance to the nearest centroid and neighbours within `near`.
+    """Area, mean, max, percentiles, share over 0.7, bounding-box fill, elongation (of the axes of the cells' covariance, 1 under
+    five cells), distance to the nearest centroid and neighbours within `near`.
 
     Centroids meet those of the same image only; an image's instances are few.
     """
     f = cells.groupBy(*keys, "inst").agg(
         F.count(F.lit(1)).alias("area"), F.avg(p).alias("mean_p"), F.max(p).alias("max_p"), F.percentile(p, F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.avg((F.col(p) > 0.7).cast("double")).alias("share_high"),
         (F.count(F.lit(1)) / ((F.max(x) - F.min(x) + 1) * (F.max(y) - F.min(y) + 1))).alias("fill"), F.avg(x).alias("cx"), F.avg(y).alias("cy"),
-    )
+        F.var_samp(x).alias("_xx"), F.var_samp(y).alias("_yy"), F.covar_samp(x, y).alias("_xy"),
+    )
+    middle, half = (F.col("_xx") + F.col("_yy")) / 2, F.sqrt(F.pow((F.col("_xx") - F.col("_yy")) / 2, F.lit(2)) + F.col("_xy") * F.col("_xy"))
+    long, short = F.greatest(middle + half, F.lit(1e-3)), F.greatest(middle - half, F.lit(1e-3))
+    f = f.withColumn("elongation", F.when(F.col("area") >= 5, F.sqrt(long / short)).otherwise(1.0)).drop("_xx", "_yy", "_xy")
     other = f.select(*keys, F.col("inst").alias("_i"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
     d = F.sqrt(F.pow(F.col("cx") - F.col("_x"), 2) + F.pow(F.col("cy") - F.col("_y"), 2))
     dist = f.join(other, keys).filter("inst <> _i").groupBy(*keys, "inst").agg(F.min(d).alias("nearest"), F.count_if(d < near).alias("neighbours"))

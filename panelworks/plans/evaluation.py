@@ -171,13 +171,13 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CELLS_SQL}
-, f as (select image, inst, count(*) as area, avg(p) as mean_p, max(p) as max_p, quantile_cont(p, 0.5) as p50, quantile_cont(p, 0.9) as p90, avg((p > 0.7)::int) as share_high, count(*)::double / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) as fill, avg(x) as cx, avg(y) as cy from cells where record = 0 group by 1, 2)
+, f as (select image, inst, count(*) as area, avg(p) as mean_p, max(p) as max_p, quantile_cont(p, 0.5) as p50, quantile_cont(p, 0.9) as p90, avg((p > 0.7)::int) as share_high, count(*)::double / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) as fill, avg(x) as cx, avg(y) as cy, (var_samp(x) + var_samp(y)) / 2 as mid, sqrt(pow((var_samp(x) - var_samp(y)) / 2, 2) + pow(covar_samp(x, y), 2)) as half from cells where record = 0 group by 1, 2)
 , d as (select a.image, a.inst, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))) as nearest, count(*) filter (where sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) < 0.5) as neighbours from f a join f b on a.image = b.image and a.inst <> b.inst group by 1, 2)
-select image, inst, area, round(mean_p, 6) as mean_p, round(max_p, 6) as max_p, round(p50, 6) as p50, round(p90, 6) as p90, round(share_high, 6) as share_high, round(fill, 6) as fill, round(nearest, 6) as nearest, coalesce(neighbours, 0) as neighbours from f left join d using (image, inst)""")
+select image, inst, area, round(mean_p, 6) as mean_p, round(max_p, 6) as max_p, round(p50, 6) as p50, round(p90, 6) as p90, round(share_high, 6) as share_high, round(fill, 6) as fill, round(case when area >= 5 then sqrt(greatest(mid + half, 1e-3) / greatest(mid - half, 1e-3)) else 1 end, 5) as elongation, round(nearest, 6) as nearest, coalesce(neighbours, 0) as neighbours from f left join d using (image, inst)""")
 def component_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A39."""
     out = masks.component_features(_cells(spark, sf_dir).filter("record = 0"), ["image"], "x", "y", "p", 0.5)
-    return rounded(out.drop("cx", "cy"), "mean_p", "max_p", "p50", "p90", "share_high", "fill", "nearest", digits=6)
+    return rounded(rounded(out.drop("cx", "cy"), "elongation", digits=5), "mean_p", "max_p", "p50", "p90", "share_high", "fill", "nearest", digits=6)
 
 
 @query(f"""with {CELLS_SQL}
