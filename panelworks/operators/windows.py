@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,26 +48,28 @@ def lookahead(df: DataFrame, keys: list[str], link: str, order: str, flag: str,
 def greedy_spaced(candidates: DataFrame, keys: list[str], order: str, condition: str | None, spacing: int, quota: int | None) -> DataFrame:
     """In order, accept what is `spacing` or more after the last accepted, at most `quota` of each value of a condition.
 
-    A fold over each key's sorted candidates, without Python; a key's candidates are one array, so keys should hold the
-    candidates of a unit of time.
+    Each key's candidates pass through one task in order, as each choice depends on the one before; the task holds a batch, the
+    last choice and two counts, whatever the number of candidates.
     """
-    flag = F.col(condition) if condition else F.lit(True)
-    lists = candidates.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), flag.alias("c")))).alias("x"))
-    most = 2**31 - 1 if quota is None else quota
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n0"), F.lit(0).alias("n1"), F.array().cast("array<struct<o:bigint,c:boolean>>").alias("took"))
-
-    def step(acc, x):
-        room = F.when(x["c"], acc["n1"] < most).otherwise(acc["n0"] < most)
-        ok = room & (acc["last"].isNull() | (x["o"] - acc["last"] >= spacing))
-        return F.struct(
-            F.when(ok, x["o"]).otherwise(acc["last"]).alias("last"),
-            (acc["n0"] + F.when(ok & ~x["c"], 1).otherwise(0)).alias("n0"),
-            (acc["n1"] + F.when(ok & x["c"], 1).otherwise(0)).alias("n1"),
-            F.when(ok, F.concat(acc["took"], F.array(F.struct(x["o"].cast("long").alias("o"), x["c"].alias("c"))))).otherwise(acc["took"]).alias("took"),
-        )
-
-    out = lists.select(*keys, F.explode(F.aggregate("x", start, step)["took"]).alias("t"))
-    return out.select(*keys, F.col("t.o").alias(order), *([F.col("t.c").alias(condition)] if condition else []))
+    flag = F.coalesce(F.col(condition), F.lit(False)) if condition else F.lit(True)
+    rows = candidates.select(*keys, F.col(order).cast("long").alias("_o"), flag.alias("_c")).distinct()
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_o", "_c")
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, taken = None, None, {}
+        for batch in batches:
+            chosen = []
+            for i, (*own, o, c) in enumerate(zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+                if own != key:
+                    key, last, taken = own, None, {True: 0, False: 0}
+                if (quota is None or taken[c] < quota) and (last is None or o - last >= spacing):
+                    last = o
+                    taken[c] += 1
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    out = dealt.mapInArrow(accept, dealt.schema)
+    return out.select(*keys, F.col("_o").alias(order), *([F.col("_c").alias(condition)] if condition else []))
 
 
 def simulate(candidates: DataFrame, keys: list[str], order: str, condition: str, spacing: int, quota: int, starts: list[int], horizon: int) -> DataFrame:
