@@ -52,21 +52,30 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     """df with `slot` and `shard`.
 
     Every row stays, repeated rows and ties of the key go to the same shard, an empty table stays empty, a null key is
-    placed as the empty text. Columns of df named slot or shard are replaced. The join side that is broadcast has
-    `slots` rows, MAX_SLOTS at most; the rows of df are not shuffled.
+    placed as the empty text, a long one by its whole text. Columns of df named slot or shard are replaced, also where one
+    of them is the key; all others stay. The join side that is broadcast has `slots` rows, MAX_SLOTS at most; the rows of
+    df are not shuffled.
     """
     spark = df.sparkSession
+    own = _free(df, "slot_number")
     filled = ",".join(map(str, lookup_table(shards, slots)))
     names = F.array(*[F.lit(x) for x in shards])
-    slot_of = spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("_slot", "_k")).select(
-        F.col("_slot").cast("long").alias("_slot"), F.element_at(names, F.col("_k").cast("int") + 1).alias("shard")
-    )
-    placed = df.drop("slot", "shard", "_slot").withColumn("_slot", key_slot(F.col(key), slots))
-    return placed.join(F.broadcast(slot_of), "_slot", "left").withColumnRenamed("_slot", "slot")
+    slot_of = spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("at", "k")).select(F.col("at").cast("long").alias(own), F.element_at(names, F.col("k").cast("int") + 1).alias("shard"))
+    placed = df.withColumn(own, key_slot(F.col(key), slots)).drop("slot", "shard")
+    return placed.join(F.broadcast(slot_of), own, "left").withColumnRenamed(own, "slot")
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS, files: int = 8) -> None:
-    """One folder for each shard; a second hash of the whole row deals its rows to `files` writers, so no shard is one task."""
+    """One folder for each shard; a second hash of the slot and the row's number deals its rows to `files` writers, so no shard is one task."""
     placed = place(df, key, shards, slots)
-    deal = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files))
-    placed.withColumn("_deal", deal).repartition("shard", "_deal").drop("_deal").write.partitionBy("shard").parquet(path)
+    deal = _free(placed, "deal")
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files))
+    placed.withColumn(deal, number).repartition("shard", deal).drop(deal).write.partitionBy("shard").parquet(path)

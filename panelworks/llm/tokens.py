@@ -45,7 +45,7 @@ class Encoder:
     with a space instead. No chunk holds a space itself.
     """
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

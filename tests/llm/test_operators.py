@@ -620,6 +620,9 @@ def test_placement(spark, odd_docs, empty_docs, clashing, tmp_path):
     assert len(out) == odd_docs.count() and all(r.shard in shards and 0 <= r.slot < 101 for r in out)
     assert len({r.shard for r in out if r.doc_id == 4}) == 1
     assert sharding.place(empty_docs, "doc_id", shards).count() == 0 and sharding.place(clashing, "doc_id", shards).columns.count("slot") == 1
+    assert sharding.place(clashing, "doc_id", shards).filter("_slot <> 'x' or `a``b` <> 'x'").count() == 0
+    by_slot = sharding.place(clashing, "slot", shards).select("slot", "shard").distinct().collect()
+    assert len(by_slot) == 1 and by_slot[0].slot == sharding.place(clashing, "shard", shards).first().slot  # both columns hold x
     sharding.write_shards(odd_docs, "doc_id", shards, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd_docs.count()
     with pytest.raises(ValueError):
