@@ -366,6 +366,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labels(edges: DataFrame) -> DataFrame:
     both = written(edges.union(edges.select("b", "a")).distinct(), "core")
+    if not both.limit(1).count():
+        return both.withColumnsRenamed({"a": "node", "b": "label"})  # no rows
     hubs = hot_keys(both, "b")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:

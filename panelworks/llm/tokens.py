@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,6 +39,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _encoded(tokenizer, texts: list[str], step: int) -> Iterator[list[int]]:
+    """The ids of each text; `step` texts at a time, as the library's results take much memory."""
+    for at in range(0, len(texts), step):
+        for got in tokenizer.encode_batch_fast(texts[at : at + step], add_special_tokens=False):
+            yield got.ids
+
+
 class Encoder:
     """encode() gives flat ids and the number of ids of each text. `room` bounds the chunks that are remembered.
 
@@ -45,7 +53,7 @@ class Encoder:
     with a space instead. No chunk holds a space itself.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -84,8 +92,7 @@ class Encoder:
         """Flat ids and their number for each piece, encoded many at a time; tokens are told apart by the bytes they stand for."""
         step, flat, counts = 128, [], []
         groups = [between.join(pieces[at : at + step]) for at in range(0, len(pieces), step)]
-        for k, got in enumerate(tokenizer.encode_batch_fast(groups, add_special_tokens=False)):
-            ids = got.ids
+        for k, ids in enumerate(_encoded(tokenizer, groups, 64)):
             last = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(widths[k * step : (k + 1) * step])) + 1
             counts.append(np.diff(last, prepend=0))
             flat += ids
@@ -132,7 +139,7 @@ class Encoder:
         ids, n = self._joined(self.tokenizer, spaced, [len(x.encode()) for x in spaced], "")
         self._store(first + np.array(plain, np.int64), n, ids)
         single = [x[1:] if x[:1] == " " else " " + x for x in map(fresh.__getitem__, alone)]
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+        got = list(_encoded(self.tokenizer, single, 4096))
         self._store(first + np.array(alone, np.int64), np.array(list(map(len, got)), np.int64), list(chain.from_iterable(got)))
         waiting = [(first + np.array(whole, np.int64), np.array(parts, np.int64).reshape(-1, n)) for n, (whole, parts) in made.items()]
         while any(len(whole) for whole, _ in waiting):  # a part may be made of parts itself

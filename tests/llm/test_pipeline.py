@@ -11,7 +11,7 @@ def test_pipeline_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     rows = [(i, t) for i, t in rows if brute_quality(t)[-1]]
     before = dict(rows)
-    rows = [(i, t) for i, t in brute_lines(rows) if t == before[i] or WORD.search(t)]
+    rows = [(i, t) for i, t in brute_lines(rows, passage=5) if t == before[i] or WORD.search(t)]
     near = brute_near(rows)
     rows = [(i, t) for i, t in rows if near[i][2] == i]
     texts = {i: without_secrets(t) for i, t in rows}
