@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import exact, jaccard, line_templates, packing, pieces, preference, quality, records, secrets, sharding
+from panelworks.llm import alignment, conversation_trie, exact, jaccard, line_templates, packing, pieces, preference, quality, records, secrets, sharding, token_counts
 from panelworks.llm.common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(48)]
@@ -25,6 +25,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def words() -> list[str]:
     return secrets.frequent_words(byte_bpe())
 
@@ -78,6 +84,18 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("name", "parent_name")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), byte_bpe(), piece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": op1_preference_format,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -89,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_binary_records": op9_binary_records,
     "op10_shard_table": op10_shard_table,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_token_counts": op12_token_counts,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 

@@ -2,7 +2,7 @@
 
 Texts are cut before single spaces, where the tokenizer's own pre-tokenisation always has a boundary, and each
 distinct chunk is encoded once and remembered. The ids are those of encoding the whole text. Texts that hold a token
-added to the tokenizer, such as <|endoftext|>, are encoded as a whole.
+added to the tokenizer, such as <|endoftext|>, are encoded as a whole, or as plain text with `plain`.
 """
 
 from __future__ import annotations
@@ -53,13 +53,14 @@ class Encoder:
     with a space instead. No chunk holds a space itself.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 700_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = re.compile("|".join(map(re.escape, added))) if added and not plain else None
+        self.tokenizer.encode_special_tokens = plain
         self.words = Tokenizer.from_file(path)  # for letters only, of which each chunk is one pre-token
         self.words.encode_special_tokens = True
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -182,6 +183,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One encoder for each Python worker and file. plain: the strings of special tokens are text like any other."""
+    return Encoder(path, plain=plain)
