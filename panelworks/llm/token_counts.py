@@ -10,15 +10,20 @@ windows and overlaps WIDER times as large, until one window is the whole text.
 
 The count of a text is that of its last window and, for each splice, the tokens before it in the left window less those in
 the right one: sums, so no task sees all of a text's windows.
+
+Texts that are not huge are counted whole. No word goes over a space or line end, so what stands between two of them is
+encoded once and its count is remembered; ROOM bounds what is remembered. Of letters and marks after them, each is a word.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.common import strings, text_spans, with_fields, written
+from panelworks.llm.tokens import byte_letters
 
 #: Letters of a window besides its overlaps; longer texts are huge. Letters that a window reaches over each of its cuts.
 CHUNK, OVERLAP = 1 << 14, 1 << 8
 #: What windows and overlaps are multiplied by where a splice is not found.
 WIDER = 8
 LIMIT = 2048
+ROOM = 500_000
+#: Letters that normalisation leaves alone but for their case, one to one, then marks that begin no contraction.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 @functools.cache
@@ -49,7 +58,7 @@ class Counter:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -59,25 +68,81 @@ class Counter:
             raise ValueError(f"{path} marks no word ends")
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         added = self.tokenizer.get_added_tokens_decoder()
-        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or " " in t.content for t in added.values()):
             raise ValueError(f"{path} has added tokens that depend on what is around them")
         self.margin = 4 + max((len(t.content) for t in added.values()), default=0)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix) and i not in added]] = True
 
+        self.known: dict[str, int] = {}
+        self.words = Tokenizer.from_file(path)  # for words in lower case, in the letters by which the vocabulary writes bytes
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words.encode_special_tokens = True
+
+    def _parts(self, texts: list[str]) -> list[list[str]]:
+        """What stands between the spaces and line ends of each text; the counts of all of it are known afterwards."""
+        if len(self.known) > ROOM:
+            self.known = {}
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        words, others, marked = set(), set(), []
+        for part in set(chain.from_iterable(parts)).difference(self.known):
+            if plain := _PLAIN.fullmatch(part):
+                word, marks = plain.groups()
+                words.add(word)
+                if marks:
+                    others.add(marks)
+                    marked.append((part, word, marks))
+            else:
+                others.add(part)
+        known = self.known
+        self._learn_words(list(words.difference(known)))
+        rest = list(others.difference(known))
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            known.update(zip(some, (len(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        known.update((part, known[word] + known[marks]) for part, word, marks in marked)
+        return parts
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Counts of words of _PLAIN letters, 512 in one text; each has one token that ends a word, its last."""
+        letters = byte_letters()
+        low = [w.lower() for w in words]
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in low]
+        lines = [" ".join(shown[at : at + 512]) for at in range(0, len(shown), 512)]
+        for at in range(0, len(lines), 16):
+            got = self.words.encode_batch_fast(lines[at : at + 16], add_special_tokens=False)
+            counts = [np.diff(np.flatnonzero(self.ends_word[e.ids]) + 1, prepend=0) for e in got]
+            self.known.update(zip(words[512 * at : 512 * (at + 16)], np.concatenate(counts).tolist(), strict=True))
+
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Tokens of whole texts."""
+        return [sum(map(self.known.__getitem__, p)) for p in self._parts(texts)]
 
-    def window(self, text: str, is_last: bool) -> tuple[int, np.ndarray, np.ndarray]:
-        """Tokens of a window; where words of it safely end, and the tokens up to there."""
+    def _word_ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where words end, and the tokens up to there."""
         encoded = self.tokenizer.encode(text, add_special_tokens=False)
         ids = np.array(encoded.ids, np.int64)
         ends = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 1]
         last = np.diff(ends, append=len(text) + 1) > 0  # one letter may become two words, which end at one place
-        at = np.flatnonzero(self.ends_word[ids] & last & (ends < len(text) - (0 if is_last else self.margin)))
-        uniting = _uniting()
-        at = np.array([k for k in at.tolist() if text[ends[k]] not in uniting], np.int64)
-        return len(ids), ends[at], at + 1
+        at = np.flatnonzero(self.ends_word[ids] & last)
+        return ends[at], at + 1
+
+    def window(self, text: str, is_last: bool, zone: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """Tokens of a window; where words safely end within `zone` letters of its start or end, and the tokens up to there."""
+        parts = self._parts([text])[0]  # one letter stands between two parts
+        n = np.array([self.known[p] for p in parts], np.int64)
+        starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+        before = np.cumsum(n) - n
+        stops = np.append(starts[1:] - 1, len(text))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in np.flatnonzero((n > 0) & ((starts <= zone) | (stops >= len(text) - zone))).tolist():
+            ends, tokens = self._word_ends(parts[k])
+            found.append((ends + starts[k], tokens + before[k]))
+        ends, tokens = map(np.concatenate, zip(*found))
+        uniting, limit = _uniting(), len(text) - (0 if is_last else self.margin)
+        safe = np.array([e < limit and text[e] not in uniting for e in ends.tolist()], bool)
+        return int(n.sum()), ends[safe], tokens[safe]
 
 
 @functools.lru_cache(maxsize=2)
@@ -134,7 +199,7 @@ def _ends(windows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 k, is_last = row["k"], row["k"] == row["n"] - 1
-                n, ends, before = own.window(row["text"], is_last)
+                n, ends, before = own.window(row["text"], is_last, 2 * overlap)
                 ends = ends + row["at"]
                 if is_last:
                     out.append((row["uid"], None, None, [], [], n))

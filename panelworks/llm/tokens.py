@@ -32,7 +32,7 @@ class _Rows(dict):
         return row
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -69,7 +69,7 @@ class Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes that a token stands for
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.room = room
         self._clear()
 
