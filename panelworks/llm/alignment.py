@@ -3,14 +3,15 @@
 The tokens of both tokenizers cover the same bytes of a text. Tokens whose byte ranges overlap are linked; places where both
 end a token cut a text into groups. For each pair of ids that is linked anywhere, the documents that hold it are counted:
 
-1. Documents are dealt to batches of about BATCH bytes, a longer one alone. Each batch is aligned and gives, for each of
-   BUCKETS buckets of the first tokenizer's ids, its distinct pairs and how many of its documents hold each.
+1. Documents are dealt to batches of about BATCH bytes, a longer one alone, encoded, and written as ids. Each batch is
+   aligned and gives, for each of BUCKETS buckets of the first tokenizer's ids, its distinct pairs and how many of its
+   documents hold each.
 2. The distinct pairs of a bucket, merged as a tree, get a minimal perfect hash: levels of bits in which a pair that is alone
    in its place owns it and the others go on to the next level; the rank of its bit is a pair's number. The pairs are kept
    in this order, so that each look-up is verified.
 3. Batches add their counts into dense vectors under these numbers, FAN batches a vector, and the vectors are summed as a
    tree. As a bucket holds all pairs of its first ids, it knows the highest count of each.
-4. Every batch looks up the counts of its pairs, is aligned again with them at hand, and gives a row for each document.
+4. Every batch looks up the counts of its pairs, is aligned again from its ids, and gives a row for each document.
 
 A bucket has at most (ids of A / BUCKETS) x (ids of B) pairs, 6.3 million for vocabularies of 50,257 and 32,000, however large
 the corpus; no vector of all pairs exists anywhere.
@@ -25,13 +26,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from panelworks.llm.common import strings, text_spans, with_fields, written
 from panelworks.llm.tokens import encoder
 
-BATCH = 8 << 20
+#: Bytes of text that go together, and that are aligned at a time.
+BATCH, SPAN = 4 << 20, 1 << 20
 BUCKETS = 256
 #: Rows that are merged at a time.
 FAN = 16
@@ -78,35 +82,58 @@ def shown_bytes(path: str) -> list[bytes]:
 # alignment of some texts
 
 
-class Aligned:
-    """Token ids and links of some texts, flat; a text without tokens has none of either.
+class Vocabularies:
+    """What each id of both tokenizers stands for: its number of bytes, and the type that holds an id."""
 
-    a, b: ids; n_a, n_b: how many each text has. pairs: A id * (ids of B) + B id of each link, n_links a text.
-    """
+    def __init__(self, path_a: str, path_b: str):
+        self.first, self.second = encoder(path_a, plain=True), other(path_b)
+        self.shown_a, self.shown_b = shown_bytes(path_a), self.second.shown
+        self.width_a = np.array(list(map(len, self.shown_a)), np.int64)
+        self.width_b = self.second.width
+        self.kinds = [np.dtype("<u2" if len(x) <= 1 << 16 else "<u4") for x in (self.shown_a, self.shown_b)]
+        #: A byte-level vocabulary gives the bytes of a text again unless the text is normalised first.
+        self.faithful = self.first.tokenizer.normalizer is None
 
-    def __init__(self, texts: list[str], path_a: str, path_b: str):
-        first, second = encoder(path_a, plain=True), other(path_b)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of A, how many each text has, and the same of B; none of either where the bytes are not those of the text."""
         wanted = [" " + t if t else "" for t in texts]
-        a, n_a = first.encode(wanted)
-        shown_a, shown_b = shown_bytes(path_a), second.shown
+        a, n_a = self.first.encode(wanted)
+        a_of, b_of = self.shown_a.__getitem__, self.shown_b.__getitem__
         cuts = np.concatenate([[0], np.cumsum(n_a)]).tolist()
         kept_a, kept_b = [], []
         for k, (text, full) in enumerate(zip(texts, wanted, strict=True)):
-            ids_a, ids_b = a[cuts[k] : cuts[k + 1]], np.array(second.encode(text) if text else [], np.int64)
+            ids_a, ids_b = a[cuts[k] : cuts[k + 1]], self.second.encode(text) if text else []
             data = full.encode()
-            same = b"".join(map(shown_a.__getitem__, ids_a.tolist())) == data and b"".join(map(shown_b.__getitem__, ids_b.tolist())) == data
-            kept_a.append(ids_a.astype(np.int64) if same else np.zeros(0, np.int64))
-            kept_b.append(ids_b if same else np.zeros(0, np.int64))
-        self.n_a, self.n_b = (np.array(list(map(len, x)), np.int64) for x in (kept_a, kept_b))
-        self.a, self.b = np.concatenate([*kept_a, np.zeros(0, np.int64)]), np.concatenate([*kept_b, np.zeros(0, np.int64)])
-        width_a, width_b = np.array(list(map(len, shown_a)), np.int64)[self.a], second.width[self.b]
+            same = b"".join(map(b_of, ids_b)) == data and (self.faithful or b"".join(map(a_of, ids_a.tolist())) == data)
+            kept_a.append(ids_a.astype(self.kinds[0]) if same else np.zeros(0, self.kinds[0]))
+            kept_b.append(np.array(ids_b if same else [], self.kinds[1]))
+        flat = [np.concatenate([*x, np.zeros(0, kind)]) for x, kind in zip((kept_a, kept_b), self.kinds)]
+        counts = [np.array(list(map(len, x)), "<u4") for x in (kept_a, kept_b)]
+        return [flat[0], counts[0], flat[1], counts[1]]
+
+
+@functools.lru_cache(maxsize=2)
+def vocabularies(path_a: str, path_b: str) -> Vocabularies:
+    """One for each Python worker and pair of files."""
+    return Vocabularies(path_a, path_b)
+
+
+class Aligned:
+    """Token ids and links of some texts, flat; a text without tokens has none of either.
+
+    a, b: ids; n_a, n_b: how many each text has. pairs: A id * (ids of B) + B id of each link, n_links a text.
+    """
+
+    def __init__(self, both: Vocabularies, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        self.a, self.n_a, self.b, self.n_b = (x.astype(np.int64) for x in (a, n_a, b, n_b))
+        width_a, width_b = both.width_a[self.a], both.width_b[self.b]
         self.end_a, self.end_b = np.cumsum(width_a), np.cumsum(width_b)  # both sides of a text have the same bytes
         low = np.searchsorted(self.end_b, self.end_a - width_a, side="right")
         high = np.searchsorted(self.end_b - width_b, self.end_a, side="left")
         links = high - low
         before = np.cumsum(links) - links
         second_of = np.arange(int(links.sum())) - np.repeat(before - low, links)
-        self.pairs = np.repeat(self.a, links) * len(shown_b) + self.b[second_of]
+        self.pairs = np.repeat(self.a, links) * len(both.shown_b) + self.b[second_of]
         total = np.concatenate([[0], np.cumsum(links)])
         self.n_links = np.diff(total[np.concatenate([[0], np.cumsum(self.n_a)])])
 
@@ -217,59 +244,65 @@ def _tree(rows: DataFrame, n: int, merge: Callable[[pa.Table], dict], arrow: pa.
             return rows
 
 
-def _batches(docs: DataFrame) -> DataFrame:
-    """_doc, text, _batch: each row of docs in a batch of about BATCH bytes; doc_id is kept as it is."""
+def _batches(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """batch, ids, a, n_a, b, n_b: a row for about SPAN bytes of texts, with their doc_ids and, compressed, their token ids and
+    how many each has; rows of about BATCH bytes are a batch."""
     rows = docs.select("doc_id", "text").withColumn("_part", F.spark_partition_id())
-    schema = with_fields(docs.select("doc_id", "text").schema, "_batch long")
+    kind = docs.schema["doc_id"].dataType
+    schema = StructType().add("batch", "long").add("ids", ArrayType(kind))
+    for name in PACKED:
+        schema = schema.add(name, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, used = 0, 0
+        number, used, both = 0, 0, vocabularies(path_a, path_b)
         for batch in batches:
-            for a, b in text_spans(batch["text"], BATCH // 8):
-                part = batch.slice(a, b - a)
-                size = pc.sum(pc.binary_length(part["text"])).as_py() or 0
+            for x, y in text_spans(batch["text"], SPAN):
+                part = batch.slice(x, y - x)
+                size = (pc.sum(pc.binary_length(part["text"])).as_py() or 0) + 64 * len(part)  # empty texts take room as well
                 if used and used + size > BATCH:
                     number, used = number + 1, 0
-                used += size + 64 * len(part)  # empty texts take room as well
-                own = pa.array([(part["_part"][0].as_py() << 32) + number] * len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], own], ["doc_id", "text", "_batch"])
+                used += size
+                packed = [pa.array([_packed(v)], pa.binary()) for v in both.encode(strings(part["text"]))]
+                ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part["doc_id"])
+                own = pa.array([(part["_part"][0].as_py() << 32) + number], pa.int64())
+                yield pa.RecordBatch.from_arrays([own, ids, *packed], ["batch", "ids", *PACKED])
 
     return rows.mapInArrow(run, schema)
 
 
+PACKED = ["a", "n_a", "b", "n_b"]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpacked(row: dict, both: Vocabularies) -> Aligned:
+    """The alignment of a row of _batches()."""
+    kinds = dict(zip(PACKED, (both.kinds[0], "<u4", both.kinds[1], "<u4")))
+    return Aligned(both, *[np.frombuffer(zstandard.decompress(row[c]), kinds[c]) for c in PACKED])
+
+
 def _partial(dealt: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """batch, bucket, keys, n: the distinct pairs of a batch, or of some of its rows, and the documents that hold them."""
+    """batch, bucket, keys, n: the distinct pairs of a row of _batches(), and how many of its documents hold each."""
     schema = "batch long, bucket int, keys binary, n binary"
 
-    def flush(batch: int, parts: list) -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in parts])
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype("<u4")
-        bucket = keys // len(other(path_b).shown) % BUCKETS
-        order = np.argsort(bucket, kind="stable")
-        found, first = np.unique(bucket[order], return_index=True)
-        cut = lambda x: [y.tobytes() for y in np.split(x[order], first[1:])]
-        columns = [pa.array([batch] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(cut(keys.astype("<u4")), pa.binary()), pa.array(cut(n), pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["batch", "bucket", "keys", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts = None, []
+        both = vocabularies(path_a, path_b)
         for batch in batches:
-            owners = np.asarray(batch["_batch"])
-            for at, to in zip(first := np.flatnonzero(np.diff(owners, prepend=-1)), [*first[1:], len(owners)]):
-                if owners[at] != current and parts:
-                    yield flush(current, parts)
-                    parts = []
-                current = int(owners[at])
-                column = batch["text"].slice(at, to - at)
-                for a, b in text_spans(column, BATCH // 8):
-                    keys, n = Aligned(strings(column.slice(a, b - a)), path_a, path_b).pair_counts()
-                    if len(keys):
-                        parts.append((keys, n))
-        if parts:
-            yield flush(current, parts)
-
-    return dealt.select("text", "_batch").mapInArrow(run, schema)
+            for row in batch.select(["batch", *PACKED]).to_pylist():
+                keys, n = _unpacked(row, both).pair_counts()
+                if not len(keys):
+                    continue
+                bucket = keys // len(both.shown_b) % BUCKETS
+                order = np.argsort(bucket, kind="stable")
+                found, first = np.unique(bucket[order], return_index=True)
+                cut = lambda x: [y.tobytes() for y in np.split(x[order], first[1:])]
+                columns = [pa.array([row["batch"]] * len(found), pa.int64()), pa.array(found, pa.int32())]
+                columns += [pa.array(cut(x.astype("<u4")), pa.binary()) for x in (keys, n)]
+                yield pa.RecordBatch.from_arrays(columns, ["batch", "bucket", "keys", "n"])
+
+    return dealt.select("batch", *PACKED).mapInArrow(run, schema)
 
 
 HASHED = "bucket int, share long, sizes binary, bits binary, keys binary"
@@ -378,7 +411,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     bytes again, have no tokens: zeros and ''. A document is a row: repeated rows and those of one doc_id count each for
     itself; a null doc_id stays. Columns other than doc_id and text are not read. Empty tables give an empty table.
     """
-    dealt = written(_batches(docs), "aligned-docs")
+    dealt = written(_batches(docs, path_a, path_b), "aligned-docs")
     n_second = len(other(path_b).shown)
     partial = _partial(dealt, path_a, path_b)
     numbered = written(partial.withColumn("_hash", F.xxhash64("batch")), "pair-counts")
@@ -390,23 +423,22 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     answers = _answers(shares, tables, n_shares, n_second)
     kind = docs.schema["doc_id"]
     schema = with_fields(docs.select("doc_id").schema, RESULT)
+    names = [kind.name, *[f.split()[0] for f in RESULT.split(", ")]]
 
     def finish(_: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
+        both = vocabularies(path_a, path_b)
         joined = lambda name, t: np.frombuffer(b"".join(answers[name].to_pylist()), t)
-        keys, counts, best = joined("keys", "<u4"), joined("counts", "<i8"), joined("best", bool)
-        keys, at = np.unique(keys, return_index=True)
-        counts, best = counts[at], best[at]
+        keys, at = np.unique(joined("keys", "<u4"), return_index=True)
+        counts, best = joined("counts", "<i8")[at], joined("best", bool)[at]
         out = []
-        for a, b in text_spans(column := own["text"].combine_chunks(), BATCH // 8):
-            aligned = Aligned(strings(column.slice(a, b - a)), path_a, path_b)
-            place = np.searchsorted(keys, aligned.pairs)
-            n_groups, digests = aligned.groups()
-            sums = [aligned.per_text(best[place].astype(np.int64)), aligned.per_text(counts[place])]
-            out.append([aligned.n_a, aligned.n_b, n_groups, aligned.n_links, *sums, np.array(digests, object)])
-        columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
-        return pa.table([own["doc_id"].combine_chunks(), *columns], names=[kind.name, *[f.split()[0] for f in RESULT.split(", ")]])
-
-    docs_of = dealt.withColumnRenamed("_batch", "batch").groupBy("batch")
-    return docs_of.cogroup(answers.groupBy("batch")).applyInArrow(finish, schema)
-
-
+        for batch in own.to_batches():
+            for k in range(len(batch)):
+                aligned = _unpacked({c: batch[c][k].as_py() for c in PACKED}, both)
+                place = np.searchsorted(keys, aligned.pairs)
+                n_groups, digests = aligned.groups()
+                sums = [aligned.per_text(best[place].astype(np.int64)), aligned.per_text(counts[place])]
+                numbers = [pa.array(x, pa.int64()) for x in (aligned.n_a, aligned.n_b, n_groups, aligned.n_links, *sums)]
+                out.append(pa.RecordBatch.from_arrays([batch["ids"][k].values, *numbers, pa.array(digests, pa.string())], names))
+        return pa.Table.from_batches(out)
+
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema)
