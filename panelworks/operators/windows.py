@@ -72,9 +72,12 @@ def greedy_spaced(candidates: DataFrame, keys: list[str], order: str, condition:
     return out.select(*keys, F.col("_o").alias(order), *([F.col("_c").alias(condition)] if condition else []))
 
 
-def simulate(candidates: DataFrame, keys: list[str], order: str, condition: str, spacing: int, quota: int, starts: list[int], horizon: int) -> DataFrame:
-    """greedy_spaced from every start over `horizon`; unique windows with the number of starts that draw them."""
-    begun = candidates.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in starts]))).filter((F.col(order) >= F.col("_s")) & (F.col(order) < F.col("_s") + horizon))
+def simulate(candidates: DataFrame, keys: list[str], order: str, condition: str, spacing: int, quota: int, first: int, step: int, horizon: int) -> DataFrame:
+    """greedy_spaced from every `step`-th place from `first` on, over `horizon`; unique windows with the number of starts
+    that draw them. A candidate is copied to the horizon / step starts that reach it, however many starts there are."""
+    earliest = F.greatest(F.lit(0).cast("long"), F.floor((F.col(order) - horizon - first) / step) + 1)
+    latest = F.floor((F.col(order) - first) / step)
+    begun = candidates.filter(F.col(order) >= first).withColumn("_s", F.explode(F.sequence(earliest, latest)))
     drawn = greedy_spaced(begun, [*keys, "_s"], order, condition, spacing, quota)
     return drawn.groupBy(*keys, order, condition).agg(F.count(F.lit(1)).alias("draws"))
 

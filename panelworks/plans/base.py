@@ -38,21 +38,22 @@ def rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _last_slot(spark: SparkSession, sf_dir: str, seconds: int) -> int:
-    """The slot of the last event: one number."""
-    last = read(spark, sf_dir, "events").agg(F.max(C.slot_index(F.col("ts"), ORIGIN, seconds))).first()[0]
-    return -1 if last is None else last
+def slot_range(spark: SparkSession, sf_dir: str, seconds: int) -> tuple[int, int]:
+    """The first slot, 0 or that of an earlier event, and the slot of the last event: two numbers."""
+    slot = C.slot_index(F.col("ts"), ORIGIN, seconds)
+    first, last = read(spark, sf_dir, "events").agg(F.min(slot), F.max(slot)).first()
+    return (0, -1) if last is None else (min(0, first), last)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense hourly panel up to the last event: panel = event type, slot = hour, value = mean value or NULL."""
     cells = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("panel"), C.slot_index(F.col("ts"), ORIGIN, 3600).alias("slot")).agg(F.avg("value").alias("value"))
-    return grid.densify(cells, ["panel"], "slot", 0, _last_slot(spark, sf_dir, 3600))
+    return grid.densify(cells, ["panel"], "slot", *slot_range(spark, sf_dir, 3600))
 
 
 #: CTEs of hourly(): panel, slot, value.
 HOURLY = f"""hcells as (select event_type as panel, floor((epoch(ts) - 1704067200) / 3600)::bigint as slot, avg(value) as value from events group by all)
-, hourly as (select panel, slot, value from (select distinct panel from hcells) cross join (select unnest(range((select max(slot) + 1 from hcells)))::bigint as slot) left join hcells using (panel, slot))"""
+, hourly as (select panel, slot, value from (select distinct panel from hcells) cross join (select unnest(range((select least(0, min(slot)) from hcells), (select max(slot) + 1 from hcells)))::bigint as slot) left join hcells using (panel, slot))"""
 
 
 def link_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +61,14 @@ def link_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = read(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("panel"), C.slot_index(F.col("ts"), ORIGIN, 21600).alias("slot"), (F.col("user_id") % LINKS).alias("link")
     ).agg(F.avg("value").alias("v"))
-    dense = grid.spine(cells, ["panel", "link"], "slot", 0, _last_slot(spark, sf_dir, 21600)).join(cells, ["panel", "link", "slot"], "left")
+    dense = grid.spine(cells, ["panel", "link"], "slot", *slot_range(spark, sf_dir, 21600)).join(cells, ["panel", "link", "slot"], "left")
     return dense.select("panel", "slot", "link", "v", F.coalesce(F.round(F.col("v") / (1 + F.col("v")), 6), F.lit(0.0)).alias("p"))
 
 
 #: CTEs of link_cells(): panel, slot, link, v, p.
 LINK_CELLS = f"""lcells as (select event_type as panel, floor((epoch(ts) - 1704067200) / 21600)::bigint as slot, user_id % {LINKS} as link, avg(value) as v from events group by all)
 , links as (select panel, slot, link, v, coalesce(round(v / (1 + v), 6), 0.0) as p
-  from (select distinct panel, link from lcells) cross join (select unnest(range((select max(slot) + 1 from lcells)))::bigint as slot) left join lcells using (panel, link, slot))"""
+  from (select distinct panel, link from lcells) cross join (select unnest(range((select least(0, min(slot)) from lcells), (select max(slot) + 1 from lcells)))::bigint as slot) left join lcells using (panel, link, slot))"""
 
 
 def link_axis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.operators import balance, runs
-from panelworks.plans.base import HOURLY, LINK_CELLS, hourly, link_cells, query, read, rounded
+from panelworks.plans.base import HOURLY, LINK_CELLS, hourly, link_cells, query, read, rounded, slot_range
 from panelworks.plans.space import BLOCKS
 
 #: Paths from a customer's nation to the order's key mod 25, per priority; flow in millions.
@@ -196,6 +196,6 @@ def attachment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J26."""
     g = link_cells(spark, sf_dir).select("slot", "link").distinct()
     att = read(spark, sf_dir, "supplier").filter("s_suppkey % 10 < 6").select((F.col("s_suppkey") % 10).alias("link"), F.col("s_suppkey").alias("sensor"))
-    slots = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))).alias("slot")
+    slots = F.explode(F.sequence(*[F.lit(k).cast("long") for k in slot_range(spark, sf_dir, 21600)])).alias("slot")
     sens = att.filter("sensor % 3 <> 0").select("sensor", slots).withColumn("valid", (F.col("slot") * 7 + F.col("sensor") * 3) % 4 == 0)
     return balance.attachment_validity(g, att, sens)

@@ -10,20 +10,27 @@ from panelworks.operators import blend, contract, grid, labels, masks, windows
 from panelworks.plans.base import query, read, rounded
 from panelworks.plans.scores import ARMS_SQL, arms
 
-#: A lexicon for the test texts.
-LEXICON = labels.Lexicon(
-    findings=(
-        labels.Finding("insult", ("idiot", "scum", "clown"), self_positive=True),
-        labels.Finding("mood", ("pathetic", "disgusting", "worthless")),
-        labels.Finding("licence", (r"licen[cs]e",), self_positive=True),
-        labels.Finding("contact", (r"mail\d", r"\bcall\b"), r"\bthe\b|\bdie\b|\ble\b"),
-        labels.Finding("article", (r"\band the\b", r"\bde la\b", r"\bin der\b")),
-    ),
-    negation=r"\bno\b|\bnot\b|\bwas\b|\bne\b|\bnicht\b",
-    pathology=r"\bthe\b|\bla\b|\bder\b",
-)
-LEX_SQL = "lex(finding, term, pathology, self_positive) as (values " + ", ".join(f"('{f.name}', '{'|'.join(f.terms)}', '{f.pathology or LEXICON.pathology}', {str(f.self_positive).lower()})" for f in LEXICON.findings) + ")"
-_NEGATED = "(regexp_matches(substr(c, greatest({s} - 80, 1), least({s} - 1, 80)), '" + LEXICON.negation + "') or regexp_matches(substr(c, {e}, 45), '" + LEXICON.negation + "'))"
+#: A lexicon for the test texts: finding, kind, pattern.
+LEXICON = [
+    *[("insult", labels.SURE, x) for x in ("idiot", "scum", "clown")],
+    *[("mood", labels.MENTION, x) for x in ("pathetic", "disgusting", "worthless")],
+    ("licence", labels.SURE, r"licen[cs]e"),
+    *[("contact", labels.MENTION, x) for x in (r"mail\d", r"\bcall\b")],
+    *[("contact", labels.CUE, x) for x in (r"\bthe\b", r"\bdie\b", r"\ble\b")],
+    *[("article", labels.MENTION, x) for x in (r"\band the\b", r"\bde la\b", r"\bin der\b")],
+    *[(None, labels.CUE, x) for x in (r"\bthe\b", r"\bla\b", r"\bder\b")],
+    *[(None, labels.NEGATION, x) for x in (r"\bno\b", r"\bnot\b", r"\bwas\b", r"\bne\b", r"\bnicht\b")],
+]
+
+
+def _joined(kind: str, finding: str | None) -> str:
+    return "|".join(p for f, k, p in LEXICON if (f, k) == (finding, kind))
+
+
+NEGATION = _joined(labels.NEGATION, None)
+_LEX_ROWS = [(f, k, _joined(k, f), _joined(labels.CUE, f) or _joined(labels.CUE, None)) for f, k in dict.fromkeys((f, k) for f, k, _ in LEXICON if k in (labels.MENTION, labels.SURE))]
+LEX_SQL = "lex(finding, term, pathology, self_positive) as (values " + ", ".join(f"('{f}', '{t}', '{cue}', {str(k == labels.SURE).lower()})" for f, k, t, cue in _LEX_ROWS) + ")"
+_NEGATED = "(regexp_matches(substr(c, greatest({s} - 80, 1), least({s} - 1, 80)), '" + NEGATION + "') or regexp_matches(substr(c, {e}, 45), '" + NEGATION + "'))"
 #: The rule over each mention. Letters that decompose are plain, and no pattern holds a letter beside that a word's end depends on.
 STATES_SQL = rf"""{LEX_SQL}
 , cl as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(lower(strip_accents(coalesce(text, ''))), 'ß', 's'), '\s+', ' ', 'g'), '[.;:\n\r]+|\s-\s|\*|\|'), lambda c: trim(c)), lambda c: c <> '')) as c from documents)
@@ -33,13 +40,14 @@ STATES_SQL = rf"""{LEX_SQL}
 , w as (select *, s + l as e, greatest(s - 80, 1) as lo from p)
 , v as (select *, substr(c, lo::bigint, (e - lo + 80)::bigint) as near, regexp_extract(substr(c, lo::bigint, (e - lo + 80)::bigint), pathology) as found from w)
 , f as (select *, lo + length(regexp_extract(near, '^(.*?)(?:' || pathology || ')', 1)) as fs from v)
-, g as (select doc_id, finding, case when {_NEGATED.format(s='s::bigint', e='e::bigint')} then -1 when self_positive then 1 when found <> '' then case when {_NEGATED.format(s='fs::bigint', e='(fs + length(found))::bigint')} then -1 else 1 end when regexp_matches(near, '{LEXICON.negation}') then -1 else 0 end as s from f)
+, g as (select doc_id, finding, case when {_NEGATED.format(s='s::bigint', e='e::bigint')} then -1 when self_positive then 1 when found <> '' then case when {_NEGATED.format(s='fs::bigint', e='(fs + length(found))::bigint')} then -1 else 1 end when regexp_matches(near, '{NEGATION}') then -1 else 0 end as s from f)
 , st as (select doc_id, finding, case when bool_or(s = 1) then 1 when bool_or(s = -1) then -1 else 0 end as state from g group by 1, 2)
 , states as (select doc_id, finding as target, coalesce(state, 0) as state from documents cross join (select finding from lex) left join st using (doc_id, finding))"""
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.label_texts(read(spark, sf_dir, "documents"), "doc_id", "text", LEXICON).withColumnRenamed("finding", "target")
+    lexicon = labels.read_lexicon(spark.createDataFrame(LEXICON, labels.LEXICON))
+    return labels.label_texts(read(spark, sf_dir, "documents"), "doc_id", "text", lexicon).withColumnRenamed("finding", "target")
 
 
 @query(f"with {STATES_SQL} select doc_id, target, state from states")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from panelworks.functions import columns as C
 from panelworks.operators import fill, grid, runs, windows
-from panelworks.plans.base import HOURLY, LINK_CELLS, ORIGIN, hourly, link_cells, query, read, rounded
+from panelworks.plans.base import HOURLY, LINK_CELLS, ORIGIN, hourly, link_cells, query, read, rounded, slot_range
 
 
 @query(f"""
 with e as (select event_id, floor((epoch(ts) - 1704067200) / 300)::bigint as slot from events)
-select event_id, slot, slot % 288 as slot_of_day, slot // 288 as day, (slot // 288) % 7 as weekday, (slot // 288) % 7 >= 5 as weekend, (slot // 288 // 7) % 4 as fold
+select event_id, slot, (slot % 288 + 288) % 288 as slot_of_day, floor(slot / 288.0)::bigint as day, (floor(slot / 288.0)::bigint % 7 + 7) % 7 as weekday, (floor(slot / 288.0)::bigint % 7 + 7) % 7 >= 5 as weekend, (floor(slot / 2016.0)::bigint % 4 + 4) % 4 as fold
 from e where slot // 288 between 3 and 26""")
 def slot_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P01, P02, P03, P04."""
@@ -42,7 +42,7 @@ def fill_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {HOURLY}
-, k as (select panel, (slot // 24) % 7 as dow, slot % 24 as hod, avg(value) as m from hourly group by all)
+, k as (select panel, (floor(slot / 24.0)::bigint % 7 + 7) % 7 as dow, (slot % 24 + 24) % 24 as hod, avg(value) as m from hourly group by all)
 , d as (select distinct panel, dow from k)
 select d.panel, d.dow, h.hod, round(coalesce(0.5 * coalesce(k.m, 0) + 0.25 * coalesce(a.m, 0) + 0.25 * coalesce(b.m, 0), 0), 8) as clim
 from d cross join (select range::bigint as hod from range(24)) h
@@ -57,7 +57,7 @@ def weekly_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {HOURLY}
-, q as (select panel, slot % 24 as hod, (slot // 24) % 7 >= 5 as weekend, (slot // 24 // 7) % 4 as fold, (value > 20)::int as y from hourly where value is not null)
+, q as (select panel, (slot % 24 + 24) % 24 as hod, (floor(slot / 24.0)::bigint % 7 + 7) % 7 >= 5 as weekend, (floor(slot / 168.0)::bigint % 4 + 4) % 4 as fold, (value > 20)::int as y from hourly where value is not null)
 , own as (select panel, hod, weekend, fold, sum(y) as s, count(y) as n from q group by all)
 , o as (select *, sum(s) over (partition by panel, hod, weekend) - s as sc, sum(n) over (partition by panel, hod, weekend) - n as nc
 , sum(s) over (partition by panel, hod) - sum(s) over (partition by panel, hod, fold) as sa, sum(n) over (partition by panel, hod) - sum(n) over (partition by panel, hod, fold) as na from own)
@@ -183,7 +183,7 @@ def spaced_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with recursive {CANDIDATES}
-, starts as (select range::bigint * 4 as s from range(30))
+, starts as (select unnest(range((select least(0, floor(min(slot) / 4.0))::bigint from links), (select floor(max(slot) / 4.0)::bigint + 1 from links)))::bigint * 4 as s)
 , sc as (select s, panel, slot, ongoing from cand, starts where slot >= s and slot < s + 40)
 , walk as (
     select s, panel, slot, ongoing, (not ongoing)::int as n0, ongoing::int as n1 from sc where (s, panel, slot) in (select (s, panel, min(slot)) from sc group by s, panel)
@@ -194,7 +194,8 @@ with recursive {CANDIDATES}
 select panel, slot, ongoing, count(*) as draws from walk group by 1, 2, 3""")
 def simulated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection from every start day, with how often each window is drawn."""
-    return windows.simulate(_candidates(spark, sf_dir), ["panel"], "slot", "ongoing", spacing=4, quota=2, starts=[4 * d for d in range(30)], horizon=40)
+    first, _ = slot_range(spark, sf_dir, 21600)
+    return windows.simulate(_candidates(spark, sf_dir), ["panel"], "slot", "ongoing", spacing=4, quota=2, first=first // 4 * 4, step=4, horizon=40)
 
 
 @query(f"""

@@ -120,33 +120,71 @@ def test_text_normalisation(spark):
     assert got == want
 
 
-def test_knee_lexicon_in_several_languages(spark):
+HOUSE = [
+    *[("roof", "mention", x) for x in (r"\broof\w*", r"\bdach\w*", r"\btejado\b", r"\btoit\w*")],
+    *[("window", "mention", x) for x in (r"\bwindow\w*", r"\bfenster\w*", r"\bventana\w*", r"\bfenetre\w*")],
+    *[("mould", "sure", x) for x in (r"\bmou?ld\w*", r"\bschimmel\w*", r"\bmoho\b", r"\bmoisissure\w*")],
+    ("boiler", "mention", r"\bboiler\w*"), ("boiler", "cue", r"\bcold\b"), ("boiler", "sure", r"\bboiler explosion\b"),
+    *[(None, "cue", x) for x in (r"\bleak\w*", r"\bbroken\b", r"\bundicht\w*", r"\broto\b", r"\bcassee?\b")],
+    *[(None, "negation", x) for x in (r"\bno\b", r"\bnot\b", r"\bkein\w*", r"\bnicht\b", r"\bsin\b", r"\bsans\b")],
+    (None, "cue", None),
+]
+
+
+def test_lexicon_tables_in_several_languages(spark):
     from panelworks.operators import labels
 
     texts = [
-        "Rotura del menisco interno. Derrame articular. Ligamento cruzado anterior íntegro; sin quiste de Baker.",
-        "Voorste kruisband gaaf. Geen gewrichtsvocht. Beenmergoedeem in de tibia.",
-        "Torn ACL, seen well.\nNo fracture. Bone bruise of the femur.",
-        "Vorderes Kreuzband intakt. Kein Erguss. Fraktur der Patella.",
-        "ACL: no tear. MCL tear. The medial meniscus is mentioned",
+        "Tejado roto. Ventana sin moho",
+        "Das Dach ist nicht undicht; Fenster undicht, kein Schimmel.",
+        "The roof leaks badly.\nNo mold. Boiler is broken",
+        "Fenêtre cassée - moisissures. Le toit est mentionné",
+        "The boiler is cold. Not a boiler explosion",
         None,
     ]
+    lexicon = labels.read_lexicon(spark.createDataFrame(HOUSE, labels.LEXICON))
     docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     got = {}
-    for r in labels.label_texts(docs, "k", "t", labels.KNEE).filter("state <> 0").collect():
+    for r in labels.label_texts(docs, "k", "t", lexicon).collect():
         got.setdefault(r.k, {})[r.finding] = r.state
-    assert got[0] == {"medial meniscus": 1, "effusion": 1, "anterior cruciate": -1, "popliteal cyst": -1}
-    assert got[1] == {"anterior cruciate": -1, "effusion": -1, "contusion": 1}
-    assert got[2] == {"anterior cruciate": 1, "fracture": -1, "contusion": 1}
-    assert got[3]["anterior cruciate"] == -1 and got[3]["effusion"] == -1 and got[3]["fracture"] == 1
-    assert got[4] == {"medial collateral": 1} and 5 not in got  # a clause ends at the colon, so the ACL has no cue
-    assert labels.label_texts(docs, "k", "t", labels.KNEE).count() == 6 * 12
+    assert got[0] == {"roof": 1, "window": -1, "mould": -1, "boiler": 0}
+    assert got[1] == {"roof": -1, "window": -1, "mould": -1, "boiler": 0}
+    assert got[2] == {"roof": 1, "window": 0, "mould": -1, "boiler": 0}  # the boiler has a cue of its own
+    assert got[3] == {"roof": 0, "window": 1, "mould": 1, "boiler": 0}
+    assert got[4]["boiler"] == 1 and set(got[5].values()) == {0}
+
+
+def test_lexicons_that_are_refused(spark):
+    import pytest
+
+    from panelworks.operators import labels
+
+    for rows in ([("a", "guess", "x"), (None, "negation", "y")], [("a", "sure", "x")], [("a", "sure", f"x{k}") for k in range(labels.MOST_PATTERNS + 1)]):
+        with pytest.raises(ValueError):
+            labels.read_lexicon(spark.createDataFrame(rows, labels.LEXICON))
+
+
+def test_total_variation_of_long_and_odd_runs():
+    """The subgradient condition, which only the minimiser meets; ties, no smoothing, one value, anchors on data."""
+    rng = np.random.default_rng(9)
+    for n, lam, anchor in itertools.product((1, 2, 50, 400), (0.0, 0.3, 5.0), (0.0, 0.7)):
+        y = np.round(rng.normal(size=(4, n)), 1)
+        left, right = np.array([0.5, np.nan, y[2, 0], -2.0]), np.array([np.nan, 0.1, y[2, -1], 3.0])
+        x = smooth.total_variation(y, np.full(4, lam), left, right, np.full(4, anchor))
+        for row in range(4):
+            ends = [anchor if np.isfinite(e[row]) else 0.0 for e in (left, right)]
+            v = np.concatenate([[np.nan_to_num(left[row])], x[row], [np.nan_to_num(right[row])]])
+            bound = np.array([ends[0], *[lam] * (n - 1), ends[1]])
+            low, high = np.where(np.diff(v) > 1e-9, bound, -bound), np.where(np.diff(v) < -1e-9, -bound, bound)
+            # the dual z_{i+1} = z_i + x_i - y_i must stay within low and high: the range of z_0 for which it does
+            passed = np.concatenate([[0.0], np.cumsum(x[row] - y[row])])
+            assert np.max(low - passed) <= np.min(high - passed) + 1e-7
 
 
 def test_negated_pathology_and_later_mentions(spark):
     from panelworks.operators import labels
 
-    lexicon = labels.Lexicon((labels.Finding("band", (r"\bband\b",)),), r"\bno\b", r"\btear\b")
+    lexicon = labels.read_lexicon(spark.createDataFrame([("band", "mention", r"\bband\b"), (None, "negation", r"\bno\b"), (None, "cue", r"\btear\b")], labels.LEXICON))
     far = "x" * 90
     texts = [f"band {far[:50]} no tear", f"band {far} tear", f"band {far} band tear", "no band tear", f"band {far[:60]} no x", f"tear band {far[:40]} no"]
     got = [r.state for r in labels.label_texts(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", lexicon).orderBy("k").collect()]

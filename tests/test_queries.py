@@ -34,9 +34,8 @@ def canon(rows):
     return sorted(tuple(cell(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+def same(spark, duck, name, sf):
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = canon(df.select(*columns).collect())
     rel = duck.sql(SQL[name])
@@ -46,6 +45,36 @@ def test_query_equals_sql(spark, duck, name):
     assert got == canon(duck.sql(f"select {cast} from ({SQL[name]})").fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, duck, name):
+    same(spark, duck, name, SF)
+
+
+@pytest.fixture(scope="module")
+def longer(tmp_path_factory):
+    """The tables with events of 40 more days and of ten days before the first slot."""
+    import duckdb
+
+    folder = str(tmp_path_factory.mktemp("longer"))
+    con = duckdb.connect()
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{SF}/{t}.parquet", f"{folder}/{t}.parquet")
+        else:
+            moved = " union all ".join(f"select * replace (ts + interval '{d} days' as ts) from '{SF}/events.parquet' where {w}" for d, w in ((0, "true"), (40, "event_id % 3 = 0"), (-10, "event_id % 5 = 0")))
+            con.sql(f"copy ({moved}) to '{folder}/events.parquet'")
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return folder, con
+
+
+LONGER = ["active_runs", "fill_interpolate", "attachment_validity", "simulated_windows", "greedy_windows", "blackout_mask", "axis_offsets", "weekly_climatology", "masked_fill_check", "persistence_forecast", "slot_calendar"]
+
+
+@pytest.mark.parametrize("name", LONGER)
+def test_query_equals_sql_on_more_days(spark, longer, name):
+    same(spark, longer[1], name, longer[0])
+
+
 def test_out_of_fold_scores_have_all_rows_and_rank_them(spark):
     rows = QUERIES["out_of_fold_scores"](spark, SF).toPandas()
     assert len(rows) == QUERIES["axis_offsets"](spark, SF).count() and rows["p"].between(0, 1).all() and rows["calibrated"].between(0, 1).all()
