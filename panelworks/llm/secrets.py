@@ -30,7 +30,7 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?:{_NAME})?{_RUN}"
 PARTS = rf"(?s)^((?:{_NAME})?)({_RUN})$"
 #: Parts of a candidate that are candidates too are what stands between these, from so many letters on.
 BETWEEN, LEAST = "[./]+", 16
-CREDENTIAL = r"(?i)passw|pwd|secret|token|api.?key|access.?key|auth(?!ors?\b)|credential|private|bearer"
+CREDENTIAL = r"(?i)passw|pwd|secret(?!ar|ion)|token(?!i[sz])|api.?key|access.?key|auth(?!ors?(?![a-z])|orit|enti)|credential|private|bearer"
 _CREDENTIAL_NAME = rf"(?=[A-Za-z0-9_.\-]{{2,60}}+{_SIGN})[A-Za-z0-9_.\-]{{0,40}}?(?:{CREDENTIAL})[A-Za-z0-9_.\-]{{0,40}}+{_SIGN}(?:(?i:bearer|basic|token)[ \t]+)?+"
 _WIDE = r"""(?:[^\s"'<>&]|&(?![A-Za-z0-9_.\-]{1,40}+=)){4,}+"""
 #: A credential's name and four or more letters of any kind up to a space, quote or the next parameter of a URL.
@@ -51,7 +51,22 @@ _FORMATS = (
 )
 #: Fixed formats of keys: what has one of them is a secret whatever the forest says.
 KNOWN = rf"(?<![A-Za-z0-9])(?:{'|'.join(_FORMATS)})(?![A-Za-z0-9])"
-PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.{1,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: The user and the password of a URL.
+IN_URL = r"""(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/@"'<>]*:[^\s/@"'<>]{3,}+@"""
+IN_URL_PARTS = r"""(?s)^(.*?://[^:]*:)(.*)@$"""
+#: What stands for a password without being one.
+STAND_IN = r"(?i)^(?:pass(?:word|wd|phrase)?|pwd|secret|token|user(?:name)?|x{3,}|\*+|\.{3,}|\$.*|%.*|\{.*|\[.*)$"
+#: Values that are no credentials whatever their name: numbers with or without a unit (under a password's name they may be
+#: one), and words that switch something.
+NUMBER = r"(?i)^[+-]?[0-9][0-9.,_]*(?:ms|s|sec|m|min|h|d|days?|k|m|kb|mb|gb|%)?$"
+SWITCH = r"(?i)^(?:true|false|none|null|nil|yes|no|on|off|enabled?|disabled?|required|optional|default|auto|basic|digest|string|str|int|integer|bool|boolean|float|bytes?)$"
+PASSWORD = r"(?i)passw|passphrase|pwd|pin\b|secret"
+#: Words of letters only, which are judged only as what is assigned to a credential's name.
+WORD = "^(?:[A-Za-z]?[a-z]+|[A-Z]+)$"
+#: A host or path, of which only parts are judged, and the ends of files whose names carry a digest.
+LOCATION = r"^(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,8}/|^/"
+ASSET = r"(?i)\.(?:m?js|css|map|png|jpe?g|gif|svg|webp|ico|woff2?|ttf|html?|json|wasm)$"
 #: Words beside a candidate that tell of a digest or an identifier, and of an example.
 DIGEST = r"(?i)\b(?:commit|sha\d*|md5|crc\d*|digest|checksum|hash|uuid|guid|revision|rev|etag|id|build|version|base64|integrity)\b"
 EXAMPLE = r"(?i)example|sample|dummy|placeholder|change.?me|your|redacted|xxxx|todo|goes.?here|insert"
@@ -82,7 +97,8 @@ def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     """docs and a column `out`: every candidate of the text (name, value, left, right, inside). Null counts as empty.
 
     Candidates are runs of key letters, the parts of runs between dots and slashes (inside), known key formats in runs,
-    what is assigned to a credential's name, and private key blocks. left and right are the text beside it.
+    what is assigned to a credential's name, passwords in URLs, and private key blocks. left and right are the text beside
+    it, name is what it is assigned to, up to the value. Numbers and switches under a credential's name are none.
     """
     clean = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(_MARK), F.lit(" "))
 
@@ -109,12 +125,19 @@ def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     none = F.array().cast(_FOUND)
     cuts = docs.withColumns({"_runs": cut(CANDIDATE), "_assigned": cut(ASSIGNED)})
     both = cuts.withColumns({"_runs": found(F.col("_runs"), PARTS), "_assigned": found(F.col("_assigned"), ASSIGNED_PARTS)})
-    within = lambda x: F.when(x["value"].rlike("[./]"), F.transform(F.filter(F.split(x["value"], BETWEEN), lambda v: F.char_length(v) >= LEAST), lambda v: like(x, v, True))).otherwise(none)
+    long_part = lambda x: lambda v: (F.char_length(v) >= LEAST) & ~(x["value"].rlike(ASSET) & v.rlike("^[0-9a-f]+$"))
+    within = lambda x: F.when(x["value"].rlike("[./]"), F.transform(F.filter(F.split(x["value"], BETWEEN), long_part(x)), lambda v: like(x, v, True))).otherwise(none)
     known = lambda x: F.when(x["value"].rlike(KNOWN), F.transform(F.regexp_extract_all(x["value"], F.lit(KNOWN), F.lit(0)), lambda v: like(x, v, False))).otherwise(none)
     # marks that end a sentence or a bracket are not of an assigned value
     trimmed = F.transform("_assigned", lambda x: x.withField("value", F.regexp_replace(x["value"], r"[.,;:)\]}]++$", "")))
-    blocks = F.when(F.contains(clean, F.lit("PRIVATE KEY-----")), F.transform(F.regexp_extract_all(clean, F.lit(PRIVATE_KEY), F.lit(0)), lambda v: F.struct(F.lit("").alias("name"), v.alias("value"), F.lit("").alias("left"), F.lit("").alias("right"), F.lit(False).alias("inside")))).otherwise(none)
-    every = F.concat("_runs", F.flatten(F.transform("_runs", within)), F.flatten(F.transform("_runs", known)), F.filter(trimmed, lambda x: x["value"] != ""), blocks)
+    alone = lambda name, value: F.struct(name.alias("name"), value.alias("value"), F.lit("").alias("left"), F.lit("").alias("right"), F.lit(False).alias("inside"))
+    all_of = lambda pattern: F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
+    blocks = F.when(F.contains(clean, F.lit("PRIVATE KEY")), F.transform(all_of(PRIVATE_KEY), lambda v: alone(F.lit(""), v))).otherwise(none)
+    in_urls = F.transform(all_of(IN_URL), lambda v: alone(F.regexp_extract(v, IN_URL_PARTS, 1), F.regexp_extract(v, IN_URL_PARTS, 2)))
+    urls = F.when(F.contains(clean, F.lit("://")), F.filter(in_urls, lambda x: ~x["value"].rlike(STAND_IN))).otherwise(none)
+    said = F.filter(trimmed, lambda x: (x["value"] != "") & ~x["value"].rlike(SWITCH) & (~x["value"].rlike(NUMBER) | x["name"].rlike(PASSWORD)))
+    runs = F.filter("_runs", lambda x: ~x["value"].rlike(LOCATION) & ~((x["name"] != "") & x["value"].rlike(NUMBER)))
+    every = F.concat(runs, F.flatten(F.transform("_runs", within)), F.flatten(F.transform("_runs", known)), said, urls, blocks)
     return both.withColumn(out, every).drop("_runs", "_assigned")
 
 
@@ -210,6 +233,8 @@ def labelled_findings(spark: SparkSession, words: list[str], lines: int = LINES,
         bare(lambda: "".join(word().capitalize() for _ in range(rng.randint(3, 6))) + rng.choice(["", "2"])), after(["version", "build"], lambda: f"{some(digits, 1, 2)}.{some(digits, 1, 2)}.{some(digits, 1, 3)}-{word()}.{some(digits, 1, 6)}"),
         named(lambda: rng.choice(["your-", "my-example-", "sample-", "<insert-"]) + joined("-", 1, 3) + rng.choice(["-goes-here", "-placeholder", "-123"])), named(lambda: joined("_", 2, 4)), named(lambda: word() + "." + word() + "()"),
         after(["at", "on", "time"], lambda: f"20{some(digits, 2, 2)}-0{rng.randint(1, 9)}-1{some(digits, 1, 1)}T1{some(digits, 1, 1)}:00:00.{some(digits, 3, 6)}Z"), after(["user", "author", "name", "title"], lambda: joined(".", 3, 6)),
+        after(["Author", "by", "Name", "From"], lambda: "-".join(spoken(2, 4).capitalize() for _ in range(rng.randint(3, 5))) + rng.choice(["", "-19" + some(digits, 2, 2), "-20" + some(digits, 2, 2)])),
+        named(lambda: word() + rng.choice([")", ",", ";", "."])), bare(lambda: "-".join(word().capitalize() for _ in range(rng.randint(3, 6))) + rng.choice(["", "-" + some(digits, 2, 4)])),
     ]
     rows = []
     for label, kinds in ((1, secret), (0, harmless)):
@@ -268,22 +293,33 @@ def forest_score(model: RandomForestClassificationModel, of: dict[str, Column])
     return sum(votes[1:], votes[0]) / len(votes)
 
 
-def certain(value: Column) -> Column:
-    """Secrets by their format alone."""
-    return value.rlike(rf"^{KNOWN}$") | value.startswith("-----BEGIN")
+def certain(found: Column) -> Column:
+    """Secrets by their format or place alone: known key formats, private key blocks, passwords in URLs."""
+    return found["value"].rlike(rf"^{KNOWN}$") | found["value"].startswith("-----BEGIN") | found["name"].contains("://")
 
 
-def _masked(text: Column, value: Column) -> Column:
-    """The text without the value; values shorter than a run of key letters only where no letter or digit goes on."""
-    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    return F.when(F.char_length(value) >= LEAST, F.replace(text, value, F.lit(MASK))).otherwise(F.regexp_replace(text, quoted, F.lit(MASK)))
+def _judged(found: Column) -> Column:
+    """Candidates that the forest looks at: no mere word, unless it is assigned to a credential's name."""
+    return ~found["value"].rlike(WORD) | found["name"].rlike(CREDENTIAL)
+
+
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _masked(text: Column, secret: Column) -> Column:
+    """The text without a secret: one of LEAST letters or more wherever it stands, a shorter one after its own name only."""
+    value, name = secret["value"], secret["name"]
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])("), _quoted(name), F.lit(")"), _quoted(value), F.lit("(?![A-Za-z0-9])"))
+    return F.when(F.char_length(value) >= LEAST, F.replace(text, value, F.lit(MASK))).otherwise(F.regexp_replace(text, pattern, F.lit("$1" + MASK)))
 
 
 def scan(docs: DataFrame, judge: SecretFilter, least: float = 0.5) -> DataFrame:
     """All columns of docs, text with its secrets masked, n_candidates, n_secrets and the secrets themselves.
 
-    A candidate that has a known key format, or of which at least `least` of the trees say secret, is one; its value is
-    masked wherever it stands in the text. n_candidates counts different values. Null texts count as empty and become
+    A candidate that has a known key format, is a password in a URL, or of which at least `least` of the trees say secret, is
+    one. One of LEAST letters or more is masked wherever it stands in the text, a shorter one only where it was found: after
+    the name that it is assigned to. n_candidates counts different values, n_secrets and secrets those of the secrets. Null texts count as empty and become
     empty, whole texts are searched, rows are judged each for itself. Columns of docs with one of the three names are
     replaced, others stay. An empty table stays empty.
     """
@@ -291,11 +327,15 @@ def scan(docs: DataFrame, judge: SecretFilter, least: float = 0.5) -> DataFrame:
     names = [f"c{k}" for k in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     found = with_candidates(docs.toDF(*names), text, "_found")
-    told = found.withColumn("_found", F.transform("_found", lambda x: F.struct(x["value"].alias("value"), *[c.alias(n) for n, c in features(x, judge.odds, judge.words).items()])))
-    is_secret = lambda x: certain(x["value"]) | (forest_score(judge.model, {n: x[n] for n in FEATURES}) >= least)
-    kept = told.withColumn("secrets", F.array_sort(F.array_distinct(F.transform(F.filter("_found", is_secret), lambda x: x["value"]))))
+    sure = F.transform(F.filter("_found", certain), lambda x: F.struct(x["value"].alias("value"), x["name"].alias("name")))
+    asked = F.filter("_found", lambda x: ~certain(x) & _judged(x))
+    seen = F.transform(asked, lambda x: F.struct(x["value"].alias("value"), x["name"].alias("name"), *[c.alias(n) for n, c in features(x, judge.odds, judge.words).items()]))
+    said = F.filter("_seen", lambda x: forest_score(judge.model, {n: x[n] for n in FEATURES}) >= least)
+    told = found.withColumns({"_sure": sure, "_seen": seen})
+    hit = F.array_union("_sure", F.transform(said, lambda x: F.struct(x["value"].alias("value"), x["name"].alias("name"))))
+    kept = told.withColumn("_hit", hit).withColumn("secrets", F.array_sort(F.array_distinct(F.transform("_hit", lambda x: x["value"]))))
     # longer ones first, so that a secret within another leaves no rest
-    by_size = F.array_sort("secrets", lambda a, b: F.char_length(b) - F.char_length(a))
+    by_size = F.array_sort("_hit", lambda a, b: F.char_length(b["value"]) - F.char_length(a["value"]))
     masked = F.aggregate(by_size, F.coalesce(text, F.lit("")), _masked)
     n = F.size(F.array_distinct(F.transform("_found", lambda x: x["value"]))).cast("long")
     out = kept.withColumns({text: masked, "n_candidates": n, "n_secrets": F.size("secrets").cast("long")})

@@ -11,7 +11,7 @@ def test_pipeline_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     rows = [(i, t) for i, t in rows if brute_quality(t)[-1]]
     before = dict(rows)
-    rows = [(i, t) for i, t in brute_lines(rows, passage=5) if t == before[i] or WORD.search(t)]
+    rows = [(i, t) for i, t in brute_lines(rows) if t == before[i] or WORD.search(t)]
     near = brute_near(rows)
     rows = [(i, t) for i, t in rows if near[i][2] == i]
     texts = {i: without_secrets(t) for i, t in rows}
@@ -52,6 +52,20 @@ def test_lines_stage_odd(spark, docs_of, empty_docs):
     assert stage("line dedup")(spark, empty_docs, "").count() == 0
 
 
+def test_passages_of_few_documents_stay_once(spark, docs_of):
+    passage = " ".join(f"word{k}" for k in range(120))
+    rows = [(i, f"{passage}\nown text number {'abcd'[i]} and more of {'wxyz'[i]}") for i in range(4)]
+    got = rows_of(stage("line dedup")(spark, docs_of(rows), ""))
+    assert [passage in t for _, t in got] == [True, False, False, False] and all("own text" in t for _, t in got)
+
+
+def test_harmless_values_pass_the_secrets_stage(spark, docs_of):
+    from tests.llm.test_operators import HARMLESS
+
+    rows = list(enumerate(HARMLESS))
+    assert rows_of(stage("secret scans")(spark, docs_of(rows), "")) == sorted(rows, key=str)
+
+
 def test_near_stage_loses_no_text(spark, docs_of, empty_docs, odd_docs):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
     rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d), (8, d + " e"), (9, None), (3, ""), (None, " "), (None, "n n"), (None, "n  n"), (None, b), (2, "n")]
