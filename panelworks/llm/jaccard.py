@@ -30,11 +30,22 @@ from panelworks.llm.common import HOT_ROWS, SHARE, hot_keys, skew_join, strings,
 SHINGLE_WORDS = 5
 #: Similarity that links two texts, as a fraction: LINK_OF[0] / LINK_OF[1].
 LINK_OF = (4, 5)
-BANDS, BAND_ROWS, HASHES = 20, 3, 96
+HASHES = 96
+#: The share of pairs at the threshold that must meet in a band.
+FOUND = 0.999
 #: Hashes compared at a time, and the posterior probability below which a pair goes.
 STEP, TOLERANCE = 8, 1e-6
 BUCKET_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 1024, 128, 16 << 20
 
+
+
+def band_sizes(threshold: float, hashes: int = HASHES, found: float = FOUND) -> tuple[int, int]:
+    """Bands and values a band: the longest bands with which at least `found` of the pairs at the threshold meet in one."""
+    fitting = [r for r in range(1, hashes + 1) if 1 - (1 - threshold**r) ** (hashes // r) >= found]
+    rows = max(fitting, default=1)
+    return hashes // rows, rows
+
+
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -397,13 +408,14 @@ def near_duplicates(docs: DataFrame, link_of: tuple[int, int] = LINK_OF) -> Data
     classes = written(rows.groupBy(F.col("text_key").alias("node")).agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n_rows"), one.alias("s")).select("node", "text_id", "n_rows", "s.*"), "classes")
 
     searched = classes.filter("n_shingles > 0 and text_id is not null")
-    width = 4 * BAND_ROWS
-    bucket = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * width + 1, F.lit(width))))).alias("bucket")
+    bands, band_rows = band_sizes(link_of[0] / link_of[1])
+    width = 4 * band_rows
+    bucket = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * width + 1, F.lit(width))))).alias("bucket")
     banded = searched.select("node", bucket)
     sizes = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     totals = classes.agg(F.sum("n_rows").alias("rows"), F.count(F.lit(1)).alias("texts")).first()
     large_key = lambda df, key, n, total: [r[0] for r in df.filter((F.col(n) > HOT_ROWS) & (F.col(n) * SHARE > (total or 0))).select(key).collect()]
-    members = skew_join(banded, sizes, "bucket", hot=large_key(sizes, "bucket", "size", totals.texts * BANDS)).join(searched.select("node", "sketch"), "node")
+    members = skew_join(banded, sizes, "bucket", hot=large_key(sizes, "bucket", "size", totals.texts * bands)).join(searched.select("node", "sketch"), "node")
     several = bool(sizes.filter(F.col("size") > BUCKET_BLOCK).limit(1).count())
     if several:
         members = written(members, "members")
