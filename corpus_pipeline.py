@@ -50,11 +50,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; a document goes if it loses lines and has no word left.
 
-    Passages recur from five documents on here, as other lines do: those that two to four documents share are mostly in near
-    copies, which the next stage must see whole to find them. Null texts become empty and stay, as they lose nothing. A recurring line stays in the document with the smallest
-    doc_id; rows of that doc_id keep it all. A null doc_id neither counts nor loses lines. An empty table stays empty.
+    Lines recur by the operator's own bounds: templates from five documents on, passages of 50 tokens and more from two. A
+    recurring line stays in the document with the smallest doc_id; rows of that doc_id keep it all. Null texts become empty
+    and stay, as they lose nothing. A null doc_id neither counts nor loses lines. An empty table stays empty.
     """
-    cut = line_templates.drop_recurring_lines(docs, long_docs=line_templates.MIN_DOCS)
+    cut = line_templates.drop_recurring_lines(docs)
     return cut.filter("n_dropped = 0" + r" or text rlike '[^\\x20\\x09-\\x0D]'")
 
 

@@ -112,8 +112,10 @@ def format_turns(both: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
 def last_reply_turns(turns: DataFrame) -> DataFrame:
     """(pair_id, turn, c, r) from one table of conversations: each as chosen, and as rejected its turns before its last reply, then
     the last reply of its neighbour (conv_id with the lowest bit turned). Conversations without a reply, or whose neighbour
-    has none, have no rejected side."""
-    own = written(_messages(turns.withColumnRenamed("conv_id", "pair_id"), "c"), "messages")
+    has none, have no rejected side. conv_id is a whole number; rows without one are in no conversation. A null turn comes
+    first and is no last reply; null role and text are empty; exact repeats of a message count once. Columns other than
+    conv_id, turn, role and text are not read, whatever their names. An empty table gives an empty table."""
+    own = written(_messages(turns.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text"), "c"), "messages")
     replied = F.exists("c", lambda m: m["role"] == TRAINED_ROLE) & (F.col("turn") != NO_TURN)
     counts = own.groupBy("pair_id").agg(F.max(F.when(replied, F.col("turn"))).alias("last"), F.count(F.lit(1)).alias("turns"))
     last = written(counts, "last-turns")

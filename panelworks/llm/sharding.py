@@ -61,7 +61,7 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     filled = ",".join(map(str, lookup_table(shards, slots)))
     names = F.array(*[F.lit(x) for x in shards])
     slot_of = spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("at", "k")).select(F.col("at").cast("long").alias(own), F.element_at(names, F.col("k").cast("int") + 1).alias("shard"))
-    placed = df.withColumn(own, key_slot(F.col(key), slots)).drop("slot", "shard")
+    placed = df.withColumn(own, key_slot(F.col("`" + key.replace("`", "``") + "`"), slots)).drop("slot", "shard")
     return placed.join(F.broadcast(slot_of), own, "left").withColumnRenamed(own, "slot")
 
 
@@ -74,7 +74,10 @@ def _free(df: DataFrame, name: str) -> str:
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS, files: int = 8) -> None:
-    """One folder for each shard; a second hash of the slot and the row's number deals its rows to `files` writers, so no shard is one task."""
+    """One folder for each shard; a hash of the row's number deals its rows to `files` writers, so no shard is one task.
+
+    Rows are placed as by place(): null keys as the empty text, repeated rows all, further columns kept. Long texts are
+    written whole. An empty table writes no shard. The path must not exist."""
     placed = place(df, key, shards, slots)
     deal = _free(placed, "deal")
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files))
