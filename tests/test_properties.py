@@ -189,3 +189,42 @@ def test_negated_pathology_and_later_mentions(spark):
     texts = [f"band {far[:50]} no tear", f"band {far} tear", f"band {far} band tear", "no band tear", f"band {far[:60]} no x", f"tear band {far[:40]} no"]
     got = [r.state for r in labels.label_texts(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", lexicon).orderBy("k").collect()]
     assert got == [-1, 0, 1, -1, -1, -1]
+
+
+def test_polygons_against_a_raster(spark):
+    """Every cell's centre by the even-odd rule: concave, crossing and nested rings, degenerate and null ones."""
+    from panelworks.operators import raster
+
+    rng = random.Random(3)
+    rings = [(k, [(rng.randint(0, 24) / 2, rng.randint(0, 24) / 2) for _ in range(rng.randint(3, 9))]) for k in range(30)]
+    rings += [(50, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]), (50, [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)]), (60, [(1.0, 1.0), (5.0, 5.0)]), (61, None), (62, [(1.0, 3.0)] * 4)]
+    df = spark.createDataFrame(rings, "k int, points array<struct<x:double,y:double>>")
+    got = {(r.k, r.row, x) for r in raster.polygon_runs(df, ["k"], "points").collect() for x in range(r.x0, r.x1)}
+    want = set()
+    for key in {k for k, _ in rings}:
+        edges = [(a, b) for k, p in rings if k == key and p and len(p) > 2 for a, b in zip(p, [*p[1:], p[0]])]
+        for row, x in itertools.product(range(-1, 14), range(-1, 14)):
+            cy, cx = row + 0.5, x + 0.5
+            crossed = [a[0] + (cy - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in edges if min(a[1], b[1]) <= cy < max(a[1], b[1])]
+            if sum(c <= cx for c in crossed) % 2:
+                want.add((key, row, x))
+    assert got == want and any(k == 50 for k, _, _ in got) and (50, 3, 3) not in got
+
+
+def test_run_arithmetic_against_cells(spark):
+    from panelworks.operators import raster
+
+    rng = random.Random(5)
+    make = lambda n: [(rng.randrange(3), rng.randrange(4), x, x + rng.randint(1, 6)) for x in (rng.randrange(20) for _ in range(n))]
+    a, b = make(40), make(25)
+    cells = lambda rows: {(i, r, x) for i, r, lo, hi in rows for x in range(lo, hi)}
+    da, db = (spark.createDataFrame(x, "image int, row int, x0 int, x1 int") for x in (a, b))
+    keys = ["image", "row"]
+    out = lambda df: cells(tuple(r) for r in df.select(*keys, "x0", "x1").collect())
+    merged = raster.merged_runs(da, keys)
+    assert out(merged) == cells(a) and merged.count() == len({(i, r, x) for i, r, x in cells(a) if (i, r, x - 1) not in cells(a)})
+    assert out(raster.runs_without(merged, db, keys)) == cells(a) - cells(b)
+    assert out(raster.common_runs(merged, raster.merged_runs(db, keys), keys)) == cells(a) & cells(b)
+    assert out(raster.runs_without(merged, db.limit(0), keys)) == cells(a) and raster.runs_without(merged.limit(0), db, keys).count() == 0
+    edge = out(raster.edge_runs(da, ["image"]))
+    assert edge == {(i, r, x) for i, r, x in cells(a) if not {(i, r - 1, x), (i, r + 1, x), (i, r, x - 1), (i, r, x + 1)} <= cells(a)}
