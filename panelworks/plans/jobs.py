@@ -107,22 +107,26 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.replay(streams.once(r, ["event_id"]).select("event_id"), "once")
 
 
-@query("""
+#: Readings that the watermark has passed at the end of the replay.
+PASSED = "epoch_ms(ts) < (select epoch_ms(max(ts)) - 600000 from events)"
+
+
+@query(f"""
 with e as (select *, last_value(case when value >= 20 then value end ignore nulls) over w as lv, last_value(case when value >= 20 then epoch(ts) end ignore nulls) over w as lt from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding))
-select event_id, user_id, round(lv, 8) as last_value, round(epoch(ts) - lt, 3) as age from e""")
+select event_id, user_id, round(case when epoch(ts) - lt <= 43200 then lv end, 8) as last_value, round(case when epoch(ts) - lt <= 43200 then epoch(ts) - lt end, 3) as age from e where {PASSED}""")
 def stream_last_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stateful; equals the batch window."""
-    out = streams.replay(streams.last_valid(streams.readings(spark, f"{sf_dir}/events.parquet"), "user_id", 20.0), "last-valid")
+    """Stateful, in event time, forgotten after twelve hours; equals the batch window over what the watermark has passed."""
+    out = streams.replay(streams.last_valid(streams.readings(spark, f"{sf_dir}/events.parquet"), "user_id", 20.0, 43200.0), "last-valid")
     return out.select("event_id", "user_id", F.round("last_value", 8).alias("last_value"), F.round("age", 3).alias("age"))
 
 
-@query("""
-with recursive e as (select event_id, user_id % 10 as link, value, epoch(ts) as t from events where value >= 20)
+@query(f"""
+with recursive e as (select event_id, user_id % 10 as link, value, epoch(ts) as t from events where value >= 20 and {PASSED})
 , r as (select link, min((t, event_id)) as m from e group by 1
   union all select r.link, min((e.t, e.event_id)) from r join e on e.link = r.link and e.t >= struct_extract_at(r.m, 1) + 21600 group by r.link)
 select e.event_id, e.link, e.value from r join e on e.link = r.link and e.event_id = struct_extract_at(r.m, 2)""")
 def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stateful, greedy."""
+    """Stateful, greedy, in event time."""
     r = streams.readings(spark, f"{sf_dir}/events.parquet").withColumn("link", F.col("user_id") % 10)
     return streams.replay(streams.spaced_triggers(r, "link", 20.0, 21600.0), "triggers")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from panelworks.sources.files import scratch
 READINGS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def readings(spark: SparkSession, path: str, delay: str = "10 minutes") -> DataFrame:
-    """A file stream of readings, watermarked on ts (UTC). The source lists folders, so the last part of path filters names."""
+def readings(spark: SparkSession, path: str, delay: str = "10 minutes", files: int = 1000) -> DataFrame:
+    """A file stream of readings, `files` at a time, watermarked on ts (UTC). The source lists folders, so the last part of path filters names."""
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(READINGS).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return spark.readStream.schema(READINGS).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def replay(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
@@ -53,40 +54,76 @@ def once(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def last_valid(stream: DataFrame, key: str, cut: float) -> DataFrame:
-    """For each reading the last value at or over `cut` before it and its age in seconds; one value and time of state a key."""
+#: What a fold sees of a key's next readings: times in microseconds, ids and values, in order.
+Fold = Callable[[tuple, np.ndarray, np.ndarray, np.ndarray], tuple[dict, tuple]]
+
+
+def _in_event_order(stream: DataFrame, key: str, fold: Fold, out: str, memory: str) -> DataFrame:
+    """The rows that `fold` makes of each key's readings, in order of (ts, event_id) whatever the order of arrival.
+
+    A reading waits in the key's state until the watermark has passed it, so what is said does not depend on how files fall
+    into batches; readings later than the watermark are dropped, those after the last watermark wait on. The state holds
+    the readings of the watermark's delay and the fold's memory. A timer at the earliest waiting reading wakes quiet keys.
+    """
+    names = ["_times", "_ids", "_values"]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, value = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, event_id, v in zip(rows["ts"], rows["event_id"], rows["value"], strict=True):
-            seconds = ts.timestamp()
-            out.append((event_id, k[0], value, None if at is None else seconds - at))
-            if v >= cut:
-                at, value = seconds, v
-        if at is not None:
-            state.update((at, value))
-        yield pd.DataFrame(out, columns=["event_id", key, "last_value", "age"])
+        before = state.get if state.exists else ([], [], [], *([None] * len(memory.split(","))))
+        waiting, memo = [list(x) for x in before[:3]], tuple(before[3:])
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting[0] += frame["_t"].tolist()
+                waiting[1] += frame["event_id"].tolist()
+                waiting[2] += frame["value"].tolist()
+        t, ids, values = np.array(waiting[0], np.int64), np.array(waiting[1], np.int64), np.array(waiting[2], float)
+        order = np.lexsort([ids, t])
+        n = int(np.searchsorted(t[order] // 1000, state.getCurrentWatermarkMs(), side="left"))
+        rows, memo = fold(memo, t[order[:n]], ids[order[:n]], values[order[:n]])
+        later = order[n:]
+        if len(later) or any(x is not None for x in memo):
+            state.update((t[later].tolist(), ids[later].tolist(), values[later].tolist(), *memo))
+        elif state.exists:
+            state.remove()
+        if len(later):
+            state.setTimeoutTimestamp(int(t[later[0]] // 1000))
+        yield pd.DataFrame({key: [k[0]] * len(rows["event_id"]), **rows})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"event_id long, {key} {kind}, last_value double, age double", "at double, value double", "append", "NoTimeout")
+    held = "_times array<long>, _ids array<long>, _values array<double>, " + memory
+    timed = stream.withColumn("_t", F.unix_micros("ts"))
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, {out}", held, "append", "EventTimeTimeout")
 
 
-def spaced_triggers(stream: DataFrame, key: str, cut: float, spacing: float) -> DataFrame:
-    """Readings at or over `cut` that come `spacing` seconds or more after the last accepted one of their key."""
+def last_valid(stream: DataFrame, key: str, cut: float, keep: float | None = None) -> DataFrame:
+    """For each reading the last value at or over `cut` before it in event time, and its age in seconds; NULL if there is none or
+    it is older than `keep` seconds."""
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, event_id, v in zip(rows["ts"], rows["event_id"], rows["value"], strict=True):
-            if v >= cut and (last is None or ts.timestamp() - last >= spacing):
-                last = ts.timestamp()
-                out.append((event_id, k[0], v))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", key, "value"])
+    def fold(memo: tuple, t: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[dict, tuple]:
+        # the remembered value stands first; at[k] is the last valid place before reading k
+        times, held = np.append(-1 if memo[0] is None else memo[0], t), np.append(np.nan if memo[1] is None else memo[1], values)
+        valid = np.append(memo[0] is not None, values >= cut)
+        at = np.maximum.accumulate(np.where(valid, np.arange(len(valid)), -1))
+        seen = at[:-1]
+        age = (t - times[seen]) / 1e6
+        known = (seen >= 0) & (True if keep is None else age <= keep)
+        rows = {"event_id": ids, "last_value": np.where(known, held[seen], np.nan), "age": np.where(known, age, np.nan)}
+        frame = {c: pd.Series(v).astype(object).where(known | (c == "event_id"), None) for c, v in rows.items()}
+        return frame, ((int(times[at[-1]]), float(held[at[-1]])) if at[-1] >= 0 else (None, None))
 
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"event_id long, {key} {kind}, value double", "last double", "append", "NoTimeout")
+    return _in_event_order(stream, key, fold, "last_value double, age double", "at long, value double")
+
+
+def spaced_triggers(stream: DataFrame, key: str, cut: float, spacing: float) -> DataFrame:
+    """Readings at or over `cut` that come `spacing` seconds or more after the last accepted one of their key, in event time."""
+
+    def fold(memo: tuple, t: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[dict, tuple]:
+        over = np.flatnonzero(values >= cut)
+        times, last, taken = t[over], memo[0], []
+        k = 0 if last is None else int(np.searchsorted(times, last + spacing * 1e6))
+        while k < len(times):  # one step for each accepted reading
+            taken.append(over[k])
+            last = int(times[k])
+            k = int(np.searchsorted(times, last + spacing * 1e6))
+        return {"event_id": ids[taken], "value": values[taken]}, (last,)
+
+    return _in_event_order(stream, key, fold, "value double", "last long")

@@ -75,6 +75,40 @@ def test_query_equals_sql_on_more_days(spark, longer, name):
     same(spark, longer[1], name, longer[0])
 
 
+@pytest.mark.parametrize("files", [1, 3, 100])
+def test_streams_do_not_depend_on_batches(spark, tmp_path, files):
+    """Readings of six files, out of order in each and across neighbours, against one pass in order; the first file comes first."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from panelworks.streaming import streams
+
+    con = duckdb.connect()
+    con.sql(f"create table e as select * replace (event_id::bigint as event_id), ntile(6) over (order by epoch(ts) + hash(event_id) % 500) as f, hash(event_id * 7) as h from '{SF}/events.parquet'")
+    for k in range(1, 7):
+        path = f"{tmp_path}/part-{k}.parquet"
+        con.sql(f"copy (select * exclude (f, h) from e where f = {k} order by h) to '{path}'")
+        os.utime(path, (1_700_000_000 + 100 * k,) * 2)  # the source reads files by age
+    stream = lambda: streams.readings(spark, f"{tmp_path}/part-*.parquet", files=files)
+    got = streams.replay(streams.last_valid(stream(), "user_id", 20.0, 43200.0), "test-last").collect()
+    fired = streams.replay(streams.spaced_triggers(stream().withColumn("user_id", F.col("user_id") % 10), "user_id", 20.0, 21600.0), "test-fired").collect()
+    rows = con.execute("select event_id, user_id, value, epoch_us(ts) from e order by ts, event_id").fetchall()
+    end = max(t for *_, t in rows) // 1000 - 600_000
+    last, want, taken, due = {}, {}, set(), {}
+    for i, user, value, t in rows:
+        if t // 1000 >= end:
+            break
+        at = last.get(user)
+        want[i] = (at[1], (t - at[0]) / 1e6) if at and t - at[0] <= 43200e6 else (None, None)
+        if value >= 20:
+            last[user] = (t, value)
+            if t >= due.get(user % 10, 0):
+                due[user % 10] = t + 21600e6
+                taken.add(i)
+    assert {r.event_id: (r.last_value, r.age) for r in got} == want and len(got) == len(want)
+    assert {r.event_id for r in fired} == taken and len(fired) == len(taken)
+
+
 def test_out_of_fold_scores_have_all_rows_and_rank_them(spark):
     rows = QUERIES["out_of_fold_scores"](spark, SF).toPandas()
     assert len(rows) == QUERIES["axis_offsets"](spark, SF).count() and rows["p"].between(0, 1).all() and rows["calibrated"].between(0, 1).all()
