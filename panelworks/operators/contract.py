@@ -12,6 +12,14 @@ def check_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit("columns").alias("name"), F.lit(ok).alias("ok"), F.lit("" if ok else f"{df.columns}").alias("info"))
 
 
+def check_records(df: DataFrame, record: str, expected: list[str]) -> DataFrame:
+    """The column lists that JSON records have, in their order, how many records have each, and whether it is the expected
+    one. Records that are no objects have no columns. Rows are counted in their tasks first."""
+    columns = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    counts = df.groupBy(columns.alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.array_join("_c", ",").alias("columns"), "n", (F.col("_c") == F.array(*[F.lit(c) for c in expected])).alias("ok"))
+
+
 def check_keys(df: DataFrame, required: DataFrame, keys: list[str]) -> DataFrame:
     """Duplicate, missing and extra keys, as check rows (name, n, ok)."""
     own = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

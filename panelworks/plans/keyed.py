@@ -340,17 +340,16 @@ def row_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # masks
 
 
-#: Instances as runs: image = supplier, row = line number, run = [day, day + quantity); predictions are moved by a few days.
-MASKS_SQL = """runs as (select l_suppkey as image, l_linenumber as row, l_orderkey % 6 as inst, l_partkey % 3 as record, min(date_diff('day', timestamp '1995-01-01', l_shipdate))::bigint as x0, max(l_quantity)::bigint as n from lineitem group by 1, 2, 3, 4)
-, truth as (select image, row, inst, record, x0, x0 + n * 20 as x1 from runs where record = 0)
-, pred as (select image, row, inst, 0::bigint as record, x0 + inst * 30 as x0, x0 + n * 20 as x1 from runs where record = 0 and inst * 30 < n * 20 and image % 7 <> 0)
+#: Instances as runs: image = one record of a supplier, scored for itself, row = line number, run = [day, day + quantity); predictions are moved by a few days.
+MASKS_SQL = """runs as (select l_suppkey * 3 + l_partkey % 3 as image, l_linenumber as row, l_orderkey % 6 as inst, l_partkey % 3 as record, min(date_diff('day', timestamp '1995-01-01', l_shipdate))::bigint as x0, max(l_quantity)::bigint as n from lineitem group by 1, 2, 3, 4)
+, truth as (select image, row, inst, record, x0, x0 + n * 20 as x1 from runs)
+, pred as (select image, row, inst, record, x0 + inst * 30 as x0, x0 + n * 20 as x1 from runs where inst * 30 < n * 20 and image % 7 <> 0)
 , scores as (select image, inst, (image * 13 + inst * 29) % 100 / 100.0 as score from pred group by 1, 2)"""
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     day = F.timestamp_diff("DAY", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate"))
-    runs = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image"), F.col("l_linenumber").alias("row"), (F.col("l_orderkey") % 6).alias("inst"), (F.col("l_partkey") % 3).alias("record")).agg(F.min(day).alias("x0"), F.max("l_quantity").cast("long").alias("n"))
-    runs = runs.filter("record = 0")
+    runs = read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") * 3 + F.col("l_partkey") % 3).alias("image"), F.col("l_linenumber").alias("row"), (F.col("l_orderkey") % 6).alias("inst"), (F.col("l_partkey") % 3).alias("record")).agg(F.min(day).alias("x0"), F.max("l_quantity").cast("long").alias("n"))
     truth = runs.select("image", "row", "inst", "record", "x0", (F.col("x0") + F.col("n") * 20).alias("x1"))
     pred = runs.filter("inst * 30 < n * 20 and image % 7 <> 0").select("image", "row", "inst", "record", (F.col("x0") + F.col("inst") * 30).alias("x0"), (F.col("x0") + F.col("n") * 20).alias("x1"))
     scores = pred.select("image", "inst").distinct().withColumn("score", (F.col("image") * 13 + F.col("inst") * 29) % 100 / 100.0)

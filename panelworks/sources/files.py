@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one under the warehouse on one machine,
+    and ValueError on a cluster, where executors would each write to their own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_panelworks"
 
 
