@@ -112,12 +112,12 @@ PASSED = "epoch_ms(ts) < (select epoch_ms(max(ts)) - 600000 from events)"
 
 
 @query(f"""
-with e as (select *, last_value(case when value >= 20 then value end ignore nulls) over w as lv, last_value(case when value >= 20 then epoch(ts) end ignore nulls) over w as lt from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding))
-select event_id, user_id, round(case when epoch(ts) - lt <= 43200 then lv end, 8) as last_value, round(case when epoch(ts) - lt <= 43200 then epoch(ts) - lt end, 3) as age from e where {PASSED}""")
+with e as (select *, last_value(case when value >= 20 then value end ignore nulls) over w as lv, last_value(case when value >= 20 then epoch_us(ts) end ignore nulls) over w as lt from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding))
+select event_id, user_id, round(case when epoch_us(ts) - lt <= 43200000000 then lv end, 8) as last_value, round(case when epoch_us(ts) - lt <= 43200000000 then (epoch_us(ts) - lt) / 1e6 end, 6) as age from e where {PASSED}""")
 def stream_last_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful, in event time, forgotten after twelve hours; equals the batch window over what the watermark has passed."""
     out = streams.replay(streams.last_valid(streams.readings(spark, f"{sf_dir}/events.parquet"), "user_id", 20.0, 43200.0), "last-valid")
-    return out.select("event_id", "user_id", F.round("last_value", 8).alias("last_value"), F.round("age", 3).alias("age"))
+    return out.select("event_id", "user_id", F.round("last_value", 8).alias("last_value"), F.round("age", 6).alias("age"))
 
 
 @query(f"""
