@@ -118,6 +118,7 @@ def sql() -> dict[str, str]:
     return {
         "op1_preference_format": OP1_SQL,
         "op7_exact_dedup": OP7_SQL,
+        "op11_conversation_trie": OP11_SQL,
         "op10_shard_table": f"""
             with filled as (select string_split('{filled}', ',') as owner)
             , placed as (
@@ -170,6 +171,34 @@ from placed join prefix using (pair_id) join sides using (pair_id)
 group by pair_id, part, block
 """
 
+#: The two lowest bits of CRC-32 decide how many turns come from the family's first conversation; it is worked out bit by bit.
+OP11_SQL = r"""
+with ids as (select distinct conv_id from conversations where conv_id is not null)
+, crc as (select conv_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint))
+    , lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) as crc from ids)
+, heads as (select conv_id, conv_id - conv_id % 20 as base, crc % 4 as h from crc)
+, turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  , md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as symbol, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words from conversations where conv_id is not null)
+, rebuilt as (
+  select i.conv_id, 0 as part, pos, symbol, words from heads i join turns t on t.conv_id = i.base where pos < h
+  union all select i.conv_id, 1, pos, symbol, words from heads i join turns t on t.conv_id = i.conv_id where pos >= h)
+, seqs as (select *, row_number() over (partition by conv_id order by part, pos) as depth from rebuilt)
+, named as (select conv_id, depth, words, md5(string_agg(symbol, '') over (partition by conv_id order by depth)) as name from seqs)
+, paths as (
+  select conv_id, depth, words, name, coalesce(lag(name) over (partition by conv_id order by depth), 'root') as parent from named
+  union all select conv_id, 0, 0, 'root', null from ids)
+, nodes as (select name, any_value(parent) as parent, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from paths group by 1)
+, kids as (select parent as name, count(*) as n_children from nodes group by 1)
+, told as (select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * words as saved from nodes n left join kids using (name))
+, totals as (
+  select p.name, sum((n_children = 0)::int)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from told n join paths p on p.conv_id = n.conv_id and p.depth <= n.depth group by 1)
+, ends as (
+  select name, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from (select conv_id, max_by(name, depth) as name from paths group by 1) group by 1)
+select t.conv_id, t.depth::bigint as depth, o.conv_id as parent_conv_id, t.n_convs, t.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from told t join totals using (name) left join ends using (name) left join nodes o on o.name = t.parent
+"""
+
 OP7_SQL = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size, row_number() over (same order by doc_id) = 1 as kept, sha256(t) as text_sha256
