@@ -35,8 +35,10 @@ from panelworks.llm.common import strings, text_spans, with_fields, written
 from panelworks.llm.tokens import encoder
 
 #: Bytes of text that go together, and that are aligned at a time.
-BATCH, SPAN = 4 << 20, 1 << 20
+BATCH, SPAN = 4 << 20, 1 << 17
 BUCKETS = 256
+#: Chunks of texts that a worker remembers the ids of.
+ROOM_FOR_CHUNKS = 250_000
 #: Rows that are merged at a time.
 FAN = 16
 #: Places for each key of a level of the hash.
@@ -87,6 +89,7 @@ class Vocabularies:
 
     def __init__(self, path_a: str, path_b: str):
         self.first, self.second = encoder(path_a, plain=True), other(path_b)
+        self.first.room = min(self.first.room, ROOM_FOR_CHUNKS)
         self.shown_a, self.shown_b = shown_bytes(path_a), self.second.shown
         self.width_a = np.array(list(map(len, self.shown_a)), np.int64)
         self.width_b = self.second.width
@@ -266,6 +269,7 @@ def _batches(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part["doc_id"])
                 own = pa.array([(part["_part"][0].as_py() << 32) + number], pa.int64())
                 yield pa.RecordBatch.from_arrays([own, ids, *packed], ["batch", "ids", *PACKED])
+        both.first.forget()  # later stages run in the same workers and encode nothing
 
     return rows.mapInArrow(run, schema)
 
@@ -284,23 +288,36 @@ def _unpacked(row: dict, both: Vocabularies) -> Aligned:
 
 
 def _partial(dealt: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """batch, bucket, keys, n: the distinct pairs of a row of _batches(), and how many of its documents hold each."""
+    """batch, bucket, keys, n: the distinct pairs of a batch, or of its rows in one task, and how many of their documents hold each."""
     schema = "batch long, bucket int, keys binary, n binary"
 
+    n_second = len(other(path_b).shown)
+
+    def flush(batch: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys))
+        bucket = keys // n_second % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        cut = lambda x: [y.tobytes() for y in np.split(x[order], first[1:])]
+        columns = [pa.array([batch] * len(found), pa.int64()), pa.array(found, pa.int32())]
+        columns += [pa.array(cut(x.astype("<u4")), pa.binary()) for x in (keys, n)]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "bucket", "keys", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(path_a, path_b)
+        current, parts = None, []
         for batch in batches:
-            for row in batch.select(["batch", *PACKED]).to_pylist():
-                keys, n = _unpacked(row, both).pair_counts()
-                if not len(keys):
-                    continue
-                bucket = keys // len(both.shown_b) % BUCKETS
-                order = np.argsort(bucket, kind="stable")
-                found, first = np.unique(bucket[order], return_index=True)
-                cut = lambda x: [y.tobytes() for y in np.split(x[order], first[1:])]
-                columns = [pa.array([row["batch"]] * len(found), pa.int64()), pa.array(found, pa.int32())]
-                columns += [pa.array(cut(x.astype("<u4")), pa.binary()) for x in (keys, n)]
-                yield pa.RecordBatch.from_arrays(columns, ["batch", "bucket", "keys", "n"])
+            for k, own in enumerate(batch["batch"].to_pylist()):
+                if own != current and parts:
+                    yield flush(current, parts)
+                    parts = []
+                current = own
+                keys, n = _unpacked({c: batch[c][k].as_py() for c in PACKED}, both).pair_counts()
+                if len(keys):
+                    parts.append((keys, n))
+        if parts:
+            yield flush(current, parts)
 
     return dealt.select("batch", *PACKED).mapInArrow(run, schema)
 

@@ -71,9 +71,10 @@ class Encoder:
             self.width[i] = len(token)
         self.letters = byte_letters()
         self.room = room
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Lets the remembered chunks go."""
         self.rows = _Rows()
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
@@ -154,7 +155,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.rows) > self.room:
-            self._clear()
+            self.forget()
         rows: list[int] = []
         counts = np.zeros(len(texts), np.int64)
         whole: dict[int, np.ndarray] = {}
