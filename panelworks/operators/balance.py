@@ -22,6 +22,26 @@ def crossings(paths: DataFrame) -> DataFrame:
     return paths.filter("o < d").select("path", F.explode(F.sequence(F.col("o").cast("long"), (F.col("d") - 1).cast("long"))).alias("link"))
 
 
+def screenlines(edges: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
+    """The segment of each link that all paths with o <= segment < d use, and no others; NULL for the links that are none.
+
+    edges (keys, link, path), paths (keys, path, o, d), one row for a path. The only segment that a link can stand for is the
+    last origin among its paths. They all cross it if none ends at or before it, and they are all that do if they are as many;
+    how many cross it is a running sum of starts less ends over the positions of a key. So sets are compared exactly without
+    a set being gathered or a range exploded. Repeated edges count once; a link with a path of unknown range is none.
+    """
+    used = edges.select(*keys, "link", "path").distinct().join(paths, [*keys, "path"], "left")
+    links = used.groupBy(*keys, "link").agg(
+        F.count(F.lit(1)).alias("n_paths"), F.max("o").alias("_k"), F.min("d").alias("_first_end"), F.count_if(F.col("o").isNull() | F.col("d").isNull()).alias("_unknown")
+    )
+    ends = F.explode(F.array(F.struct(F.col("o").alias("at"), F.lit(1).alias("by")), F.struct(F.col("d").alias("at"), F.lit(-1).alias("by"))))
+    steps = paths.filter("o < d").select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.at").alias("_k")).agg(F.sum("e.by").alias("_by"))
+    run = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    crossing = steps.select(*keys, "_k", F.sum("_by").over(run).alias("_crossing"))
+    pure = (F.col("_unknown") == 0) & (F.col("_first_end") > F.col("_k")) & (F.col("n_paths") == F.col("_crossing"))
+    return links.join(crossing, [*keys, "_k"], "left").select(*keys, "link", "n_paths", F.when(pure, F.col("_k")).alias("segment"))
+
+
 def attachment_validity(grid: DataFrame, attachments: DataFrame, sensors: DataFrame) -> DataFrame:
     """Whether any sensor attached to a link is valid at a slot; true for links that list none.
 

@@ -31,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df with its lineage cut by a table in the shared folder: worked out once, where checkpoint() does it twice."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_partitions(spark: SparkSession, path: str, schema: str, where: str, columns: list[str]) -> DataFrame:
     """Partition and column pruned scan; the schema holds the partition column."""
     return spark.read.schema(schema).parquet(path).filter(where).select(*columns)
@@ -67,6 +74,23 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("annotations").alias("a")).select("a.*").filter("iscrowd = 0").drop("iscrowd").join(images, "image_id")
 
 
+def read_binary_pairs(spark: SparkSession, left: str, right: str, key: str) -> DataFrame:
+    """Pairs of files, one of each folder, whose paths hold the same key (group 1 of the pattern); of pairs that are equal
+    byte by byte (by the MD5 of both) the first by key stays, with the number of pairs that it stands for.
+
+    Files without a partner are left out, empty ones too: Spark's file sources pass over files of no bytes. A file's content is hashed in the scan and goes no further. Columns: key,
+    left_path, right_path, left_hash, right_hash, n_bytes, n.
+    """
+
+    def hashed(path: str, side: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return found.select(F.regexp_extract("path", key, 1).alias("key"), F.col("path").alias(f"{side}_path"), F.md5("content").alias(f"{side}_hash"), F.col("length").alias(f"{side}_bytes"))
+
+    pairs = hashed(left, "left").join(hashed(right, "right"), "key")
+    first = F.min(F.struct("key", "left_path", "right_path", (F.col("left_bytes") + F.col("right_bytes")).alias("n_bytes"))).alias("f")
+    return pairs.groupBy("left_hash", "right_hash").agg(first, F.count(F.lit(1)).alias("n")).select("f.*", "left_hash", "right_hash", "n")
+
+
 def write_checks(checks: DataFrame, path: str) -> None:
     """Check rows (name, ok, info) as JSON."""
     checks.write.json(path)
