@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.operators.blend import with_places
+
 
 def offsets(df: DataFrame, keys: list[str], pos: str, value: str, by: list[int], hold: bool = False) -> DataFrame:
     """Value at pos + o for each o, as o_<o> (m for minus). Beyond the ends 0, or with `hold` the end's value."""
@@ -87,8 +89,14 @@ def axis_context(df: DataFrame, keys: list[str], slot: str, value: str, flag: st
 
 
 def direction_vote(axis: DataFrame, edges: DataFrame, pos: str, link: str) -> DataFrame:
-    """Of the consecutive pairs of links, how many are edges forward and backward. The axis is a dimension: one window."""
-    pairs = axis.select(F.col(link).alias("a"), F.lead(link).over(Window.orderBy(pos)).alias("b")).filter("b is not null")
+    """Of the consecutive pairs of links, how many are edges forward and backward; links at one position follow by name.
+
+    A link's place is worked out by ranges of positions, and pairs are a join of each place with the next, so no task holds
+    the axis.
+    """
+    placed = with_places(axis.select(F.col(link).alias("a"), F.col(pos).alias("_pos"), F.lit(0).alias("_axis")), ["_axis"], "_pos")
+    placed = placed.select("a", (F.col("_below") + F.row_number().over(Window.partitionBy("_pos").orderBy("a"))).alias("_place"))
+    pairs = placed.join(placed.select(F.col("a").alias("b"), (F.col("_place") - 1).alias("_place")), "_place").select("a", "b")
     ahead = pairs.join(edges.select(F.col("from_link").alias("a"), F.col("to_link").alias("b")).distinct(), ["a", "b"], "left_semi")
     back = pairs.join(edges.select(F.col("from_link").alias("b"), F.col("to_link").alias("a")).distinct(), ["a", "b"], "left_semi")
     counts = ahead.select(F.lit(1).alias("f"), F.lit(0).alias("r")).unionByName(back.select(F.lit(0).alias("f"), F.lit(1).alias("r")))

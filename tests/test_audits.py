@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from panelworks.operators import balance, fits, learn, setscores
+from panelworks.operators import balance, blend, fits, learn, setscores, space
 from panelworks.sources import files
 
 
@@ -158,3 +158,22 @@ def test_imputer_beats_the_means_in_time_on_hidden_cells(spark, queue):
     for r, _ in gaps:
         around = [truth[t, k] for t in range(max(r.slot - 1, 0), min(r.slot + 2, 240)) for k in range(max(r.link - 2, 0), min(r.link + 3, 30)) if not hidden[t, k]]
         assert r.hybrid == (r.p >= 0.5 if any(v <= 1 for v in around) else False)
+
+
+def test_medians_by_ranges(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 0.0, 0.0, round(rng.random(), 2)])) for _ in range(500)] + [("none", None), ("one", 4.0), ("two", 1.0), ("two", 2.0)]
+    got = blend.median_smooth(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", 0.25).collect()
+    want = {k: [x for g, x in rows if g == k and x is not None] for k in {g for g, _ in rows}}
+    assert len(got) == len(rows) and sorted(map(str, ((r.k, r.x) for r in got))) == sorted(map(str, rows))
+    for r in got:
+        assert r.smoothed is None if r.x is None else abs(r.smoothed - (0.75 * r.x + 0.25 * np.median(want[r.k]))) < 1e-12
+
+
+def test_direction_of_consecutive_links(spark):
+    rng = random.Random(13)
+    axis = [(k, k // 2 * 10) for k in range(200)]  # two links at each position
+    edges = [(k, k + rng.choice([-1, 1, 2])) for k in range(200)] * 2
+    r = space.direction_vote(spark.createDataFrame(axis, "link long, pos long"), spark.createDataFrame(edges, "from_link long, to_link long"), "pos", "link").first()
+    assert (r.forward, r.backward) == (len({e for e in edges if e[1] == e[0] + 1 and e[1] < 200}), len({e for e in edges if e[1] == e[0] - 1 and e[1] >= 0}))
+    assert tuple(space.direction_vote(spark.createDataFrame([], "link long, pos long"), spark.createDataFrame(edges, "from_link long, to_link long"), "pos", "link").first()) == (0, 0)
