@@ -99,14 +99,25 @@ def sessions(df: DataFrame, order: str, vector: str, least: float, keys: list[st
     return out.withColumn("session", F.sum(F.coalesce((F.col("cosine") < least).cast("int"), F.lit(1))).over(w).cast("long")).drop("_b")
 
 
-def exact_medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The median of the known values of each key, exact, without a task that sorts a whole key: values are counted, the counts
-    dealt to ranges, and the one or two values in the middle found by how many rows are under them. NULL keys are a key."""
+#: Different values of a key up to which its median is found in one aggregation buffer.
+FEW_VALUES = 10_000
+
+
+def exact_medians(df: DataFrame, keys: list[str], value: str, out: str, few: int = FEW_VALUES) -> DataFrame:
+    """The median of the known values of each key, exact, without a task that sorts a whole key. NULL keys are a key.
+
+    Values are counted first. A key of at most `few` different values has its median from an aggregation over the counts, whose
+    buffer holds no more than those; the counts of a key with more are dealt to ranges, and the one or two values in the middle
+    found by how many rows are under them.
+    """
     grouped = df.filter(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.col(value).alias("_value"))
+    counts = grouped.groupBy("_g", "_value").agg(F.count(F.lit(1)).alias("_c"))
+    many = counts.groupBy("_g").agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > few).select("_g")
+    short = counts.join(many, "_g", "left_anti").groupBy("_g").agg(F.percentile("_value", F.lit(0.5), F.col("_c")).alias(out))
     n, below, over = F.col("_n"), F.col("_below"), F.col("_below") + F.col("_same")
     at = lambda place: F.max(F.when((below <= place) & (place < over), F.col("_v")))
     middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-    return _places(grouped, ["_g"], "_value").groupBy("_g").agg(middle.alias(out))
+    return short.unionByName(_places(grouped.join(many, "_g", "left_semi"), ["_g"], "_value").groupBy("_g").agg(middle.alias(out)))
 
 
 def median_smooth(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:

@@ -165,6 +165,9 @@ def test_medians_by_ranges(spark):
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 0.0, 0.0, round(rng.random(), 2)])) for _ in range(500)] + [("none", None), ("one", 4.0), ("two", 1.0), ("two", 2.0)]
     got = blend.median_smooth(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", 0.25).collect()
     want = {k: [x for g, x in rows if g == k and x is not None] for k in {g for g, _ in rows}}
+    for few in (0, 60, 10_000):
+        medians = blend.exact_medians(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", "m", few).select("_g.k", "m").collect()
+        assert {r.k for r in medians} == {k for k, v in want.items() if v} and all(abs(r.m - np.median(want[r.k])) < 1e-12 for r in medians)
     assert len(got) == len(rows) and sorted(map(str, ((r.k, r.x) for r in got))) == sorted(map(str, rows))
     for r in got:
         assert r.smoothed is None if r.x is None else abs(r.smoothed - (0.75 * r.x + 0.25 * np.median(want[r.k]))) < 1e-12
