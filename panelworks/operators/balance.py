@@ -70,6 +70,22 @@ def trip_scores(estimate: DataFrame, truth: DataFrame, edges: DataFrame, weights
     return out.withColumn("score", sum(w * F.col(c) for w, c in zip(weights, ("s_path", "s_link", "s_total", "s_dest"), strict=True)))
 
 
+def compare_estimates(estimates: DataFrame, truth: DataFrame, edges: DataFrame, families: DataFrame) -> DataFrame:
+    """(estimator, family, n_panels, the means of trip_scores() over the panels of a family, overall): estimators held
+    against the same truth. overall is the mean score of an estimator's families, whatever the number of panels in each.
+
+    estimates (estimator, panel, path, dest, f), truth (panel, path, dest, f), families (panel, family). A path that an
+    estimate lacks is zero there; every estimator is held against every path of the panels that it has any path of.
+    """
+    pair = F.struct("estimator", "panel").alias("panel")
+    owed = estimates.select("estimator", "panel").distinct().join(truth, "panel").select(pair, "path", "dest", "f")
+    scored = trip_scores(estimates.select(pair, "path", "dest", "f"), owed, edges)
+    names = ["s_path", "s_link", "s_total", "s_dest", "score"]
+    told = scored.select("panel.estimator", "panel.panel", *names).join(families, "panel")
+    means = told.groupBy("estimator", "family").agg(F.count(F.lit(1)).alias("n_panels"), *[F.avg(c).alias(c) for c in names])
+    return means.withColumn("overall", F.avg("score").over(Window.partitionBy("estimator")))
+
+
 MAX_TOTALS = 512
 
 

@@ -56,6 +56,53 @@ def weighted_mean(df: DataFrame, weights: DataFrame, keys: list[str], on: list[s
     return out.filter(F.col("n") == n_arms) if n_arms else out
 
 
+def fold_ensemble(df: DataFrame, member: str, fold: str, keys: list[str], target: str, p: str, folds: DataFrame, digits: int | None = None) -> DataFrame:
+    """P averaged over the members of a fold, ranked within fold and target, and the ranks averaged over the folds:
+    (keys, target, ensemble). With `digits` the means are rounded first, so that equal ones stay equal in any order of members.
+
+    df (member, fold, keys, target, p); folds (fold, target, w): what a fold's ranks weigh for a target. A fold without a weight
+    has no vote there. Every member of a fold must have a number for every row that the fold has a vote on, or the query fails:
+    means over different members would be ranked against each other.
+    """
+    sizes = df.select(fold, member).distinct().groupBy(fold).agg(F.count(F.lit(1)).alias("_members"))
+    known = F.when(~F.isnan(p), F.col(p))
+    means = df.groupBy(fold, *keys, target).agg(F.avg(known).alias("_mean"), F.count(known).alias("_has"), F.count_distinct(member).alias("_own"))
+    whole = (F.col("_has") == F.col("_members")) & (F.col("_own") == F.col("_members"))
+    told = means.join(sizes, fold).join(folds.filter("w > 0"), [fold, target])
+    told = told.withColumn("_mean", F.when(whole, F.col("_mean")).otherwise(F.raise_error(F.concat(F.lit("not every member has a number: fold "), F.col(fold).cast("string"))).cast("double")))
+    if digits is not None:
+        told = told.withColumn("_mean", F.round("_mean", digits))
+    ranked = rank_share(told, [fold, target], "_mean", "_rank")
+    return ranked.groupBy(*keys, target).agg((F.sum(F.col("w") * F.col("_rank")) / F.sum("w")).alias("ensemble"))
+
+
+def target_mix(one: DataFrame, other: DataFrame, keys: list[str], target: str, p: str, shares: DataFrame) -> DataFrame:
+    """P of one drawn to that of the other by the target's share: (keys, target, p). shares (target, w); a target without
+    a share, or a row that the other lacks, stays."""
+    both = one.join(other.select(*keys, target, F.col(p).alias("_other")), [*keys, target], "left").join(shares, target, "left")
+    share = F.when(F.col("_other").isNotNull(), F.coalesce("w", F.lit(0.0))).otherwise(0.0)
+    return both.select(*keys, target, ((1 - share) * F.col(p) + share * F.coalesce("_other", F.lit(0.0))).alias(p))
+
+
+def member_mean(df: DataFrame, member: str, keys: list[str], values: list[str], members: int) -> DataFrame:
+    """One table out of the members' tables: the mean of each value; all other columns must be the same in each.
+
+    The query fails if a key is not once in every member or if another column differs, NULL being equal to NULL. A value that
+    a member lacks is missing in the mean, as it would stand for the others alone; n_missing counts them.
+    """
+    others = [c for c in df.columns if c not in {member, *keys, *values}]
+    gone = lambda c: F.col(c).isNull() | (F.isnan(c) if dict(df.dtypes)[c] in ("double", "float") else F.lit(False))
+    means = [F.when(F.count_if(gone(c)) == 0, F.avg(c)).alias(c) for c in values]
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in others])
+    told = df.groupBy(*keys).agg(
+        *means, F.first(rest).alias("_rest"), F.count_distinct(rest).alias("_kinds"), F.count(F.lit(1)).alias("_rows"), F.count_distinct(member).alias("_of"), sum(F.count_if(gone(c)) for c in values).alias("n_missing")
+    )
+    same = (F.col("_rows") == members) & (F.col("_of") == members) & (F.col("_kinds") == 1)
+    rest = F.when(same, F.col("_rest")).otherwise(F.raise_error(F.concat(F.lit("members differ at "), F.to_json(F.struct(*keys)))).cast(told.schema["_rest"].dataType))
+    # the check stays in the plan whichever columns are read afterwards
+    return told.withColumn("_rest", rest).filter("_rest is not null").select(*keys, *values, *[F.col(f"_rest.{c}").alias(c) for c in others], "n_missing")
+
+
 def staged_hybrid(views: DataFrame, view_weights: DataFrame, private: DataFrame, base: DataFrame, outer: DataFrame, key: str, target: str, arm: str, p: str, share: float) -> DataFrame:
     """Views (key, target, arm, p) are averaged by view_weights (arm, w), renormalised over the views that a key has, and
     ranked; mixed with the rank of private (key, target, p) by `share`; then with the rank of base by outer (target, w); and

@@ -32,6 +32,26 @@ def interpolate(df: DataFrame, keys: list[str], order: str, value: str, limit: i
     return near.withColumn("filled", F.coalesce(value, between, "prev", "next") if edges else F.coalesce(value, between))
 
 
+def deviation_carry(df: DataFrame, keys: list[str], order: str, value: str, expected: str) -> DataFrame:
+    """What the observations before and after a cell say of it, its own value left aside: columns line and carried.
+
+    line is linear between the last observation before and the first after it, or the one that is there. carried is the cell's
+    expected value plus the mean of how far the two lie from their own expected values; a neighbour without an expected value
+    says nothing, and without any neighbour that does, or without an expected value of the cell, carried is NULL. Places are
+    numbers of order, so gaps need no rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col(expected).alias("e")))
+    prev = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    nxt = F.first(seen, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    out = df.withColumns({"_p": prev, "_n": nxt})
+    share = (F.col(order) - F.col("_p.o")) / (F.col("_n.o") - F.col("_p.o"))
+    line = F.coalesce(F.col("_p.v") + share * (F.col("_n.v") - F.col("_p.v")), F.col("_p.v"), F.col("_n.v"))
+    off = [F.col(f"{side}.v") - F.col(f"{side}.e") for side in ("_p", "_n")]
+    mean = F.coalesce((off[0] + off[1]) / 2, off[0], off[1])
+    return out.withColumns({"line": line, "carried": F.col(expected) + mean}).drop("_p", "_n")
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """J11, sparse: for each row of left the last value of right at or before it, and how long before; no spine.
 

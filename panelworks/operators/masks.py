@@ -33,6 +33,13 @@ def panoptic_quality(pred: DataFrame, true: DataFrame, at: float = 0.5) -> DataF
     return s.withColumn("pq", F.when(d > 0, F.col("s") / d).otherwise(0.0))
 
 
+def area_percentiles(masks: DataFrame, shares: list[float]) -> DataFrame:
+    """N instances and percentiles of their areas, p<100 * share>, interpolated; areas are counted by value first."""
+    counts = areas(masks, ["image", "inst"]).groupBy("area").agg(F.count(F.lit(1)).alias("_n"))
+    of = [F.percentile("area", F.lit(s), F.col("_n")).alias(f"p{round(100 * s)}") for s in shares]
+    return counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), *of)
+
+
 def match_targets(pred: DataFrame, true: DataFrame, at: float = 0.5) -> DataFrame:
     """For each prediction the share of the image's records with a hit, and its mean best IoU over those."""
     records = true.select("image", "record").distinct().groupBy("image").agg(F.count(F.lit(1)).alias("n"))

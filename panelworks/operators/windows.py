@@ -88,18 +88,72 @@ def around(origins: DataFrame, cells: DataFrame, keys: list[str], order: str, of
     return wanted.join(cells, [*keys, order])
 
 
-def similar_prior(origins: DataFrame, truth: DataFrame, keys: list[str], origin: str, phase: str, fold: str, reach: int, least: int) -> DataFrame:
+def similar_prior(
+    origins: DataFrame, truth: DataFrame, keys: list[str], origin: str, phase: str, fold: str, reach: int | None, least: int, same: list[str] | None = None
+) -> DataFrame:
     """Mean truth of each cell over windows of other folds whose phase is within reach; NULL for fewer than `least`.
 
+    reach None: whatever their phase. same: columns of origins, a class of weekdays say, in which the windows must be equal.
     Sums by phase and fold come first, so windows are never paired with windows: a window meets the phases in its reach.
     """
-    own = truth.join(origins, [*keys, origin]).groupBy(*keys, phase, fold, "link").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
-    own = own.withColumnsRenamed({phase: "_phase", fold: "_fold"})
-    near = origins.withColumn("_phase", F.explode(F.sequence(F.col(phase) - reach, F.col(phase) + reach)))
-    met = near.join(own, [*keys, "_phase"]).filter(F.col(fold) != F.col("_fold"))
+    alike = [*keys, *(same or [])]
+    at = F.lit(0) if reach is None else F.col(phase)
+    own = truth.join(origins, [*keys, origin]).groupBy(*alike, at.alias("_phase"), F.col(fold).alias("_fold"), "link").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    near = origins.withColumn("_phase", F.lit(0) if reach is None else F.explode(F.sequence(F.col(phase) - reach, F.col(phase) + reach)))
+    met = near.join(own, [*alike, "_phase"]).filter(F.col(fold) != F.col("_fold"))
     return met.groupBy(*keys, origin, "link").agg(F.sum("n").alias("n_similar"), F.when(F.sum("n") >= least, F.sum("s") / F.sum("n")).alias("prior"))
 
 
+def neighbour_max(df: DataFrame, keys: list[str], link: str, value: str, out: str) -> DataFrame:
+    """The largest value of a cell and the cells beside it on the axis; NULLs are passed over, the ends have one neighbour."""
+    beside = Window.partitionBy(*keys).orderBy(link).rangeBetween(-1, 1)
+    return df.withColumn(out, F.max(value).over(beside))
+
+
+def expand_steps(df: DataFrame, steps: int, profile: DataFrame, on: list[str], phase: str, cycle: int, distance: str, rate: str, per: float) -> DataFrame:
+    """A row for each of the next steps: column step, the columns of the profile at the phase that many places on, and
+    <distance>_proj, the distance less what it loses by then at `rate` for every `per` steps.
+
+    profile: (on, phase, further columns), one row for each phase from 0 to cycle - 1; phases without one give NULL. Rows are
+    copied before the join, so the profile is read once for all steps.
+    """
+    told = df.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))))
+    told = told.withColumn("_then", F.pmod(F.col(phase) + F.col("step"), F.lit(cycle)).cast("long"))
+    out = told.join(profile.withColumnRenamed(phase, "_then"), [*on, "_then"], "left").drop("_then")
+    return out.withColumn(f"{distance}_proj", F.col(distance) - F.col(rate) * F.col("step") / per)
+
+
+def select_origins(df: DataFrame, keys: list[str], link: str, order: str, flag: str, history: int, horizon: int, least: int, cap: float, spacing: int) -> DataFrame:
+    """(keys, ongoing, order) of the places to forecast from, `spacing` or more apart within each condition.
+
+    A place counts if anything is flagged in the next `horizon` rows of a link. It is ongoing if some link has `least` flags or
+    more in the `history` rows before it and itself, else an onset. An ongoing one is passed over, without holding others off,
+    if what is flagged now, held still, overlaps the horizon by more than `cap`: there is nothing to forecast. df is a dense
+    panel; places whose history or horizon reaches beyond its ends are none. A missing flag is none.
+    """
+    now = F.coalesce(F.col(flag), F.lit(False))
+    w = Window.partitionBy(*keys, link).orderBy(order)
+    ahead = w.rowsBetween(1, horizon)
+    cells = df.select(*keys, link, order, now.alias("_now")).withColumns(
+        {
+            "_held": F.count_if("_now").over(w.rowsBetween(-history, 0)),
+            "_later": F.count_if("_now").over(ahead),
+            "_rows": F.count(F.lit(1)).over(w.rowsBetween(-history, horizon)),
+        }
+    )
+    still = F.col("_now").cast("int")
+    places = cells.groupBy(*keys, order).agg(
+        (F.max("_held") >= least).alias("ongoing"),
+        F.sum(still * F.col("_later")).alias("_inter"),
+        F.sum(F.col("_later") + still * (horizon - F.col("_later"))).alias("_union"),
+        F.sum("_later").alias("_any"),
+        F.min("_rows").alias("_rows"),
+    )
+    held = F.col("ongoing") & (F.col("_inter") > cap * F.col("_union"))
+    open_ = places.filter((F.col("_rows") == history + horizon + 1) & (F.col("_any") > 0) & ~held)
+    return greedy_spaced(open_, [*keys, "ongoing"], order, None, spacing, None).select(*keys, "ongoing", order)
+
+
 def transitions(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Change to the next slot where that is there."""
     w = Window.partitionBy(*keys).orderBy(order)
