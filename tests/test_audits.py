@@ -180,3 +180,9 @@ def test_direction_of_consecutive_links(spark):
     r = space.direction_vote(spark.createDataFrame(axis, "link long, pos long"), spark.createDataFrame(edges, "from_link long, to_link long"), "pos", "link").first()
     assert (r.forward, r.backward) == (len({e for e in edges if e[1] == e[0] + 1 and e[1] < 200}), len({e for e in edges if e[1] == e[0] - 1 and e[1] >= 0}))
     assert tuple(space.direction_vote(spark.createDataFrame([], "link long, pos long"), spark.createDataFrame(edges, "from_link long, to_link long"), "pos", "link").first()) == (0, 0)
+
+
+def test_masked_check_without_a_truth_under_the_cut(spark):
+    rows = [(k, s, 10.0 + 10 * k) for k in (0, 1) for s in range(9)]
+    got = {r.k: r for r in balance.masked_check(spark.createDataFrame(rows, "k int, s long, v double"), ["k"], "s", "v", "s % 3 = 1", 15.0).collect()}
+    assert (got[0].recall, got[0].specificity, got[1].recall, got[1].specificity) == (1.0, None, None, 1.0) and got[1].accuracy == 1.0
