@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.operators import space
+from panelworks.sources.files import written
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -45,19 +46,24 @@ def residual_fit(df: DataFrame, features: list[str], target: str, baseline: str,
 
 
 def out_of_fold(df: DataFrame, features: list[str], y: str, fold: str, folds: int, weight: str | None = None, trees: int = 10, depth: int = 3, seed: int = 1) -> DataFrame:
-    """Score of every row from a boosted classifier of the other folds: column p."""
-    data = _assembled(df, features).persist()
-    try:
-        parts = []
-        for k in range(folds):
-            learner = GBTClassifier(featuresCol="_f", labelCol=y, maxIter=trees, maxDepth=depth, seed=seed)
-            if weight:
-                learner = learner.setWeightCol(weight)
-            model = learner.fit(data.filter((F.col(fold) != k) & F.col(y).isNotNull()))
-            parts.append(model.transform(data.filter(F.col(fold) == k)).withColumn("p", vector_to_array("probability")[1]))
-        return reduce(DataFrame.unionByName, parts).drop("_f", "rawPrediction", "probability", "prediction")
-    finally:
-        data.unpersist()
+    """Score of every row from a boosted classifier of the other folds: column p, NULL where those have no label.
+
+    The rows are written once: every fit and the scores read them from there.
+    """
+    data = _assembled(written(df, "folds"), features)
+    labelled = {r[fold] for r in data.filter(F.col(y).isNotNull() & F.col(fold).isin(list(range(folds)))).select(fold).distinct().collect()}
+    parts = []
+    for k in range(folds):
+        own = data.filter(F.col(fold) == k)
+        if not labelled - {k}:
+            parts.append(own.withColumn("p", F.lit(None).cast("double")))
+            continue
+        learner = GBTClassifier(featuresCol="_f", labelCol=y, maxIter=trees, maxDepth=depth, seed=seed)
+        if weight:
+            learner = learner.setWeightCol(weight)
+        model = learner.fit(data.filter((F.col(fold) != k) & F.col(y).isNotNull()))
+        parts.append(model.transform(own).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction"))
+    return reduce(DataFrame.unionByName, parts).drop("_f")
 
 
 def stack(df: DataFrame, keys: list[str], pos: str, metres: str, p: str, cut: float, y: str, fold: str, folds: int, weight: str | None = None, trees: int = 10, depth: int = 3) -> DataFrame:
@@ -113,7 +119,7 @@ def impute_states(df: DataFrame, keys: list[str], slot: str, pos: str, ratio: st
     told = told.drop(*[name(d) for d in AROUND + wide])
     features = [f"_x{k}" for k in range(len(AROUND) + 2)]
     scored = out_of_fold(told, features, "_y", fold, folds, trees=trees, depth=depth)
-    model = F.col("p") >= 0.5
+    model = F.coalesce(F.col("p") >= 0.5, F.lit(False))  # no model: no cell near the cut
     labels = {"learned": F.coalesce(state, model & F.col("_any")), "hybrid": F.coalesce(state, F.when(F.col("_by_positive"), model).otherwise(F.col(guess)))}
     return scored.withColumns(labels).drop(*features, "_time", "_space", "_y", "_any", "_by_positive")
 

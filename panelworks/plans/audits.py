@@ -132,7 +132,7 @@ def imputer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed cells judged without their own value: accuracy, recall and specificity of the model and of the two means."""
     y = F.col("ratio") <= 1
     seen = _imputed(spark, sf_dir).filter("ratio is not null and by_time is not null and by_space is not null")
-    said = F.array(*[F.struct(F.lit(n).alias("method"), c.alias("p")) for n, c in (("learned", F.col("p") >= 0.5), ("time", F.col("by_time")), ("space", F.col("by_space")))])
+    said = F.array(*[F.struct(F.lit(n).alias("method"), c.alias("p")) for n, c in (("learned", F.coalesce(F.col("p") >= 0.5, F.lit(False))), ("time", F.col("by_time")), ("space", F.col("by_space")))])
     told = seen.select("panel", y.alias("y"), F.explode(said).alias("s")).select("panel", "y", "s.method", "s.p")
     hit = F.col("y") == F.col("p")
-    return told.groupBy("panel", "method").agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("accuracy"), (F.count_if(hit & F.col("y")) / F.count_if("y")).alias("recall"), (F.count_if(hit & ~F.col("y")) / F.count_if(~F.col("y"))).alias("specificity"))
+    return told.groupBy("panel", "method").agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("accuracy"), F.try_divide(F.count_if(hit & F.col("y")), F.count_if("y")).alias("recall"), F.try_divide(F.count_if(hit & ~F.col("y")), F.count_if(~F.col("y"))).alias("specificity"))

@@ -186,3 +186,19 @@ def test_masked_check_without_a_truth_under_the_cut(spark):
     rows = [(k, s, 10.0 + 10 * k) for k in (0, 1) for s in range(9)]
     got = {r.k: r for r in balance.masked_check(spark.createDataFrame(rows, "k int, s long, v double"), ["k"], "s", "v", "s % 3 = 1", 15.0).collect()}
     assert (got[0].recall, got[0].specificity, got[1].recall, got[1].specificity) == (1.0, None, None, 1.0) and got[1].accuracy == 1.0
+
+
+def test_imputer_check_without_a_cell_at_the_cut(spark, tmp_path):
+    import duckdb
+
+    from panelworks.plans import QUERIES
+
+    duckdb.sql(f"copy (select * replace (value + 1000 as value) from '/root/testdata/sf0.001/events.parquet') to '{tmp_path}/events.parquet'")
+    rows = QUERIES["imputer_check"](spark, str(tmp_path)).collect()
+    assert rows and all(r.recall is None and r.specificity == 1.0 and r.accuracy == 1.0 for r in rows)
+
+
+def test_scores_without_labels_in_the_other_folds(spark):
+    df = spark.createDataFrame([(k, k % 2, float(k), float(k % 4 > 1) if k % 2 else None) for k in range(40)], "id long, fold int, x double, y double")
+    got = {r.id: r.p for r in learn.out_of_fold(df, ["x"], "y", "fold", 2, trees=2).collect()}
+    assert len(got) == 40 and all((p is None) == (k % 2 == 1) for k, p in got.items())
