@@ -103,10 +103,14 @@ def rater_consensus(df: DataFrame, key: str, rater: str, value: str, off: float
 def diagnostics(df: DataFrame, keys: list[str], estimate: str, reference: str) -> DataFrame:
     """Rows, mean, bias, mean absolute error before and after the bias is taken out, correlation."""
     d = F.col(estimate) - F.col(reference)
-    bias = F.avg(d).over(Window.partitionBy(*keys))
-    return df.withColumn("_d", d).withColumn("_b", bias).groupBy(*keys).agg(
-        F.count("_d").alias("n"), F.avg(estimate).alias("mean"), F.avg("_d").alias("bias"), F.avg(F.abs("_d")).alias("mad"), F.avg(F.abs(F.col("_d") - F.col("_b"))).alias("mad_debiased"), F.corr(estimate, reference).alias("corr")
-    )
+    known = df.select(*keys, estimate, reference, d.alias("_d"))
+    whole = known.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg(estimate).alias("mean"), F.avg("_d").alias("bias"), F.avg(F.abs("_d")).alias("mad"), F.corr(estimate, reference).alias("corr"))
+    # errors are counted by value and meet their key's bias, so no task holds a key's rows; biases of few keys are broadcast
+    counts = known.filter("_d is not null").groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_n"))
+    same = lambda tag: [F.col(c).eqNullSafe(F.col(f"{tag}{c}")) for c in keys]
+    biases = whole.select(*[F.col(c).alias(f"_b_{c}") for c in keys], F.col("bias").alias("_b"))
+    away = counts.join(biases, same("_b_")).groupBy(*[F.col(c).alias(f"_a_{c}") for c in keys]).agg((F.sum(F.col("_n") * F.abs(F.col("_d") - F.col("_b"))) / F.sum("_n")).alias("mad_debiased"))
+    return whole.join(away, same("_a_"), "left").select(*keys, "n", "mean", "bias", "mad", "mad_debiased", "corr")
 
 
 def robust_line(df: DataFrame, keys: list[str], x: str, y: str, passes: int = 2, least: int = 10) -> DataFrame:

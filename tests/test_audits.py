@@ -202,3 +202,15 @@ def test_scores_without_labels_in_the_other_folds(spark):
     df = spark.createDataFrame([(k, k % 2, float(k), float(k % 4 > 1) if k % 2 else None) for k in range(40)], "id long, fold int, x double, y double")
     got = {r.id: r.p for r in learn.out_of_fold(df, ["x"], "y", "fold", 2, trees=2).collect()}
     assert len(got) == 40 and all((p is None) == (k % 2 == 1) for k, p in got.items())
+
+
+def test_diagnostics_hold_no_key_in_a_task(spark):
+    from panelworks.operators import score
+
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 3 == 0 else "ab"[k % 2], float(rng.normal()), None if k % 10 == 0 else float(rng.normal())) for k in range(200)]
+    out = score.diagnostics(spark.createDataFrame(rows, "k string, e double, r double"), ["k"], "e", "r")
+    assert "Window" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        d = np.array([e - x for k, e, x in rows if k == r.k and x is not None])
+        assert r.n == len(d) and abs(r.mad_debiased - np.abs(d - d.mean()).mean()) < 1e-9 and abs(r.mad - np.abs(d).mean()) < 1e-9
