@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """For each different value of a key: `_same` rows have it, `_below` rows are under it, `_n` rows are there; NULL comes first.
 
     Rows are counted by value first; the values of a key are dealt to ranges between about PARTS quantiles, so no task sorts a
@@ -25,8 +25,8 @@ PARTS = 64
 
 
 def with_places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with the columns of _places() for its rows' values."""
-    places = _places(df, keys, value).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    """df with the columns of places() for its rows' values."""
+    places = places(df, keys, value).withColumnsRenamed({c: f"_k_{c}" for c in keys})
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col(value).eqNullSafe(F.col("_v"))]
     return df.join(places, on).drop("_v", *[f"_k_{c}" for c in keys])
 
@@ -164,7 +164,7 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, out: str, few: int
     n, below, over = F.col("_n"), F.col("_below"), F.col("_below") + F.col("_same")
     at = lambda place: F.max(F.when((below <= place) & (place < over), F.col("_v")))
     middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-    return short.unionByName(_places(grouped.join(many, "_g", "left_semi"), ["_g"], "_value").groupBy("_g").agg(middle.alias(out)))
+    return short.unionByName(places(grouped.join(many, "_g", "left_semi"), ["_g"], "_value").groupBy("_g").agg(middle.alias(out)))
 
 
 def median_smooth(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:

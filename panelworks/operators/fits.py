@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.operators.blend import rank_share
+from panelworks.operators.blend import places
 from panelworks.sources.files import written
 
 
@@ -52,16 +52,25 @@ def two_way_fit(df: DataFrame, keys: list[str], a: str, b: str, x: str, y: str,
     return sums.withColumn("slope", slope).select(*keys, "slope", F.sqrt(F.greatest(rest, F.lit(0.0)) / F.col("n")).alias("residual_sd"), "n")
 
 
+#: Values of a column up to which their ranks are broadcast.
+FEW_VALUES = 100_000
+
+
 def rank_correlations(df: DataFrame, row: list[str], columns: list[str]) -> DataFrame:
     """Correlation of the average ranks of every two columns: one, other, n, rho. row names a row.
 
-    Rows with a NULL in any of the columns are left out. All columns are ranked in one pass as a long table, by ranges of their
-    values; then a row's ranks come together once and all pairs are summed in one aggregation.
+    Rows with a NULL in any of the columns are left out. The different values of all columns are ranked in one pass as a long
+    table, by ranges; then each row looks its ranks up, column by column, and all pairs are summed in one aggregation. Columns
+    of up to FEW_VALUES values are looked up in a broadcast table.
     """
     known = df.select(*row, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns)
-    long = known.select(*row, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("c")).select(*row, "c.*")
-    ranks = rank_share(long, ["column"], "value", "rank")
-    wide = ranks.groupBy(*row).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"r{k}") for k, c in enumerate(columns)])
+    long = known.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("c")).select("c.*")
+    ranks = written(places(long, ["column"], "value").select("column", F.col("_v").alias("_value"), ((F.col("_below") + (F.col("_same") + 1) / 2) / F.col("_n")).alias("_rank")), "ranks")
+    few = {r["column"] for r in ranks.groupBy("column").count().filter(F.col("count") <= FEW_VALUES).collect()}
+    wide = known
+    for k, c in enumerate(columns):
+        own = ranks.filter(F.col("column") == c).select("_value", F.col("_rank").alias(f"r{k}"))
+        wide = wide.join(F.broadcast(own) if c in few else own, F.col(c).eqNullSafe(F.col("_value"))).drop("_value")
     pairs = list(combinations(range(len(columns)), 2))
     found = wide.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs])
     told = F.array(*[F.struct(F.lit(columns[i]).alias("one"), F.lit(columns[j]).alias("other"), F.col(f"c{i}_{j}").alias("rho")) for i, j in pairs])

@@ -214,3 +214,10 @@ def test_diagnostics_hold_no_key_in_a_task(spark):
     for r in out.collect():
         d = np.array([e - x for k, e, x in rows if k == r.k and x is not None])
         assert r.n == len(d) and abs(r.mad_debiased - np.abs(d - d.mean()).mean()) < 1e-9 and abs(r.mad - np.abs(d).mean()) < 1e-9
+
+
+def test_rank_correlations_need_no_name_of_a_row(spark):
+    rows = [(float(k % 7), float(k * k % 11)) for k in range(100)]
+    (got,) = fits.rank_correlations(spark.createDataFrame(rows, "a double, b double"), [], ["a", "b"]).collect()
+    rank = lambda own: [sum(x < v for x in own) + sum(x == v for x in own) / 2 for v in own]
+    assert got.n == 100 and abs(got.rho - np.corrcoef(rank([a for a, _ in rows]), rank([b for _, b in rows]))[0, 1]) < 1e-9
