@@ -221,3 +221,14 @@ def test_rank_correlations_need_no_name_of_a_row(spark):
     (got,) = fits.rank_correlations(spark.createDataFrame(rows, "a double, b double"), [], ["a", "b"]).collect()
     rank = lambda own: [sum(x < v for x in own) + sum(x == v for x in own) / 2 for v in own]
     assert got.n == 100 and abs(got.rho - np.corrcoef(rank([a for a, _ in rows]), rank([b for _, b in rows]))[0, 1]) < 1e-9
+
+
+def test_readings_under_the_cut_move_the_watermark(spark, tmp_path):
+    import datetime as dt
+
+    from panelworks.streaming import streams
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    spark.createDataFrame([(1, at(0), 7, "a", 30.0, "{}"), (2, at(60), 7, "a", 1.0, "{}")], streams.READINGS).coalesce(1).write.parquet(f"{tmp_path}/e")
+    got = streams.replay(streams.spaced_triggers(streams.readings(spark, f"{tmp_path}/e/part-*.parquet"), "user_id", 20.0, 60.0), "test-mark").collect()
+    assert [r.event_id for r in got] == [1]
