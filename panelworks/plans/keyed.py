@@ -9,6 +9,7 @@ from panelworks.functions import columns as C
 from panelworks.operators import blend, contract, grid, labels, masks, windows
 from panelworks.plans.base import query, read, rounded
 from panelworks.plans.scores import ARMS_SQL, arms
+from panelworks.sources.files import written
 
 #: A lexicon for the test texts: finding, kind, pattern.
 LEXICON = [
@@ -45,9 +46,13 @@ STATES_SQL = rf"""{LEX_SQL}
 , states as (select doc_id, finding as target, coalesce(state, 0) as state from documents cross join (select finding from lex) left join st using (doc_id, finding))"""
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _states(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """States of every document, or of those whose doc_id is in `of`: the others are not labelled."""
     lexicon = labels.read_lexicon(spark.createDataFrame(LEXICON, labels.LEXICON))
-    return labels.label_texts(read(spark, sf_dir, "documents"), "doc_id", "text", lexicon).withColumnRenamed("finding", "target")
+    documents = read(spark, sf_dir, "documents")
+    if of is not None:
+        documents = documents.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    return labels.label_texts(documents, "doc_id", "text", lexicon).withColumnRenamed("finding", "target")
 
 
 @query(f"with {STATES_SQL} select doc_id, target, state from states")
@@ -93,7 +98,8 @@ def _calibration_sql(folds: bool) -> str:
 @query(f"with {_calibration_sql(False)} select target, round(p_pos, 8) as p_pos, round(p_unknown, 8) as p_unknown, round(p_neg, 8) as p_neg from cal")
 def tri_state_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12, J06."""
-    return rounded(labels.calibrate(_states(spark, sf_dir), _gold(spark, sf_dir), "doc_id"), "p_pos", "p_unknown", "p_neg")
+    gold = _gold(spark, sf_dir).filter("y is not null")
+    return rounded(labels.calibrate(_states(spark, sf_dir, gold), gold, "doc_id"), "p_pos", "p_unknown", "p_neg")
 
 
 @query(f"""with {_calibration_sql(True)}
@@ -101,7 +107,7 @@ select doc_id, s.target, state, doc_id % 3 as fold, round(case when state = 1 th
 from states s join cal on cal.target = s.target and cal.fold = doc_id % 3""")
 def fold_safe_soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's labels from the table fitted on the other folds."""
-    states = _states(spark, sf_dir)
+    states = written(_states(spark, sf_dir), "states")  # texts are labelled once
     table = labels.calibrate(states, _gold(spark, sf_dir), "doc_id", folds=3)
     return rounded(labels.soften(states.withColumn("fold", F.col("doc_id") % 3), table, ["target", "fold"]), "soft")
 

@@ -232,3 +232,9 @@ def test_readings_under_the_cut_move_the_watermark(spark, tmp_path):
     spark.createDataFrame([(1, at(0), 7, "a", 30.0, "{}"), (2, at(60), 7, "a", 1.0, "{}")], streams.READINGS).coalesce(1).write.parquet(f"{tmp_path}/e")
     got = streams.replay(streams.spaced_triggers(streams.readings(spark, f"{tmp_path}/e/part-*.parquet"), "user_id", 20.0, 60.0), "test-mark").collect()
     assert [r.event_id for r in got] == [1]
+
+
+def test_letters_that_every_match_begins_with():
+    from panelworks.operators.labels import _literal
+
+    assert [_literal(p) for p in (r"\band the\b", "licen[cs]e", r"mail\d", "colou?r", "a|b", "(?:x)", r"\d", "ab*", "ab+")] == ["and the", "licen", "mail", "colo", "", "", "", "a", "ab"]
