@@ -10,25 +10,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a polygon whose crossings are sorted together.
+BAND = 1024
+
+
 def polygon_runs(polygons: DataFrame, keys: list[str], points: str) -> DataFrame:
     """(keys, row, x0, x1) of the cells whose centre is inside a closed polygon, by the even-odd rule.
 
-    points: array of structs (x, y), the last joined to the first. Every edge is exploded to the rows whose centre line it
-    crosses, its lower end included; a row's crossings, sorted, are taken in pairs. A row has as many crossings as edges at
-    most. Null polygons and those of under three points have no cells; the rings of one key are one polygon, so a ring
-    within another is a hole.
+    points: array of structs (x, y), the last joined to the first. Every edge crosses the centre lines of some rows, its lower
+    end included; a row's crossings, sorted, are taken in pairs. A polygon's edges are cut into bands of BAND rows, and the
+    crossings of a band are sorted within one row of the table, so no crossing is shuffled. Null polygons and those of under
+    three points have no cells; the rings of one key are one polygon, so a ring within another is a hole.
     """
     n = F.size(points)
     ends = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get(points, k).alias("a"), F.get(points, (k + 1) % n).alias("b")))
     edges = polygons.filter(n >= 3).select(*keys, F.explode(ends).alias("e")).select(
         *keys, *[F.col(f"e.{p}.{c}").cast("double").alias(f"_{p}{c}") for p in "ab" for c in "xy"])
     first, last = F.ceil(F.least("_ay", "_by") - 0.5), F.ceil(F.greatest("_ay", "_by") - 0.5) - 1
-    crossed = edges.filter(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
-    x = F.col("_ax") + (F.col("row") + 0.5 - F.col("_ay")) * (F.col("_bx") - F.col("_ax")) / (F.col("_by") - F.col("_ay"))
-    sorted_x = crossed.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(x)).alias("_x"))
-    cell = lambda k: F.ceil(F.get("_x", k) - 0.5)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)), lambda k: F.struct(cell(k).alias("x0"), cell(k + 1).alias("x1")))
-    return sorted_x.select(*keys, "row", F.explode(pairs).alias("r")).select(*keys, "row", "r.x0", "r.x1").filter("x0 < x1")
+    told = edges.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    edge = F.struct("_first", "_last", "_ax", "_ay", "_bx", "_by").alias("_e")
+    bands = told.select(*keys, edge, F.explode(F.sequence(F.floor(F.col("_first") / BAND), F.floor(F.col("_last") / BAND))).alias("_band"))
+    grouped = bands.groupBy(*keys, "_band").agg(F.collect_list("_e").alias("_edges"))
+    low, high = F.col("_band") * BAND, F.col("_band") * BAND + BAND - 1
+
+    def crossings(e: Column) -> Column:
+        x = lambda row: e["_ax"] + (row + 0.5 - e["_ay"]) * (e["_bx"] - e["_ax"]) / (e["_by"] - e["_ay"])
+        return F.transform(F.sequence(F.greatest(e["_first"], low), F.least(e["_last"], high)), lambda row: F.struct(row.alias("row"), x(row).alias("x")))
+
+    # a closed polygon crosses every row an even number of times, so the pairs of a band's sorted crossings are those of its rows
+    sorted_x = grouped.select(*keys, F.array_sort(F.flatten(F.transform("_edges", crossings))).alias("_x"))
+    cell = lambda k: F.ceil(F.get("_x", k)["x"] - 0.5)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)), lambda k: F.struct(F.get("_x", k)["row"].alias("row"), cell(k).alias("x0"), cell(k + 1).alias("x1")))
+    return sorted_x.select(*keys, F.explode(pairs).alias("r")).select(*keys, "r.row", "r.x0", "r.x1").filter("x0 < x1")
 
 
 def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -238,3 +238,15 @@ def test_letters_that_every_match_begins_with():
     from panelworks.operators.labels import _literal
 
     assert [_literal(p) for p in (r"\band the\b", "licen[cs]e", r"mail\d", "colou?r", "a|b", "(?:x)", r"\d", "ab*", "ab+")] == ["and the", "licen", "mail", "colo", "", "", "", "a", "ab"]
+
+
+@pytest.mark.parametrize("band", [1, 3, 1024])
+def test_polygons_in_bands_of_rows(spark, monkeypatch, band):
+    from panelworks.operators import raster
+
+    monkeypatch.setattr(raster, "BAND", band)
+    rings = [[(0.2, -3.0), (9.0, 4.1), (3.3, 12.0), (-4.0, 5.5)], [(2.0, 3.0), (4.0, 3.0), (3.0, 6.0)]]
+    df = spark.createDataFrame([(1, r) for r in rings], "k int, points array<struct<x:double,y:double>>")
+    got = sorted((r.row, x) for r in raster.polygon_runs(df, ["k"], "points").collect() for x in range(r.x0, r.x1))
+    inside = lambda px, py: sum((a[1] <= py) != (b[1] <= py) and a[0] + (py - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) <= px for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)) % 2
+    assert got == [(y, x) for y in range(-6, 15) for x in range(-8, 14) if inside(x + 0.5, y + 0.5)]
