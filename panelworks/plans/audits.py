@@ -99,6 +99,10 @@ def decoded_rows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "iou", "size", "surrogate")
 
 
+#: Tasks that write one folder's files.
+FILE_TASKS = 96
+
+
 @query("""
 with f as (select s_suppkey::varchar as key, md5('image ' || s_nationkey % 5 || chr(10)) as left_hash, md5('mask ' || floor(s_acctbal / 3000)::bigint || chr(10)) as right_hash, s_suppkey % 7 as k from supplier)
 select left_hash, right_hash, min(key) as key, count(*) as n from f where k <> 0 group by 1, 2""")
@@ -109,7 +113,9 @@ def binary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = {"image": F.concat(F.lit("image "), F.col("s_nationkey") % 5), "mask": F.concat(F.lit("mask "), F.floor(F.col("s_acctbal") / 3000))}
     for name, body in bodies.items():
         rows = suppliers if name == "image" else suppliers.filter("s_suppkey % 7 <> 0")
-        rows.select(F.col("s_suppkey").alias("key"), body.alias("value")).write.partitionBy("key").text(f"{folder}/{name}")
+        # a file costs milliseconds whatever it holds, so they are dealt to tasks by number, not by bytes
+        dealt = rows.select(F.col("s_suppkey").alias("key"), body.alias("value")).repartition(FILE_TASKS, "key")
+        dealt.write.partitionBy("key").text(f"{folder}/{name}")
     return files.read_binary_pairs(spark, f"{folder}/image", f"{folder}/mask", "key=([^/]+)/").select("left_hash", "right_hash", "key", "n")
 
 
