@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelworks.sources.files import written
+
 
 #: Rows of a polygon whose crossings are sorted together.
 BAND = 1024
@@ -64,16 +66,16 @@ def runs_without(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """What is left of the runs of a without those of b; further columns of a stay. A run of a meets as many of b as it has cells at most."""
     other = merged_runs(b, keys).select(*keys, F.struct(F.col("x0").alias("s"), F.col("x1").alias("e")).alias("_cut"))
     met = (F.col("_cut.s") < F.col("x1")) & (F.col("_cut.e") > F.col("x0"))
-    cuts = a.join(other, keys).filter(met).groupBy(*a.columns).agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
-    # runs of a that nothing of b meets are whole
-    whole = a.join(cuts.drop("_cuts"), a.columns, "left_anti")
+    # runs of a that nothing of b meets have no cuts, and are whole
+    other = other.withColumnsRenamed({k: f"_b_{k}" for k in keys})
+    on = [F.col(k) == F.col(f"_b_{k}") for k in keys]
+    cuts = a.join(other, [*on, met], "left").groupBy(*a.columns).agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("_cuts")),
         lambda k: F.struct(F.coalesce(F.get("_cuts", k - 1)["e"], F.col("x0")).alias("s"), F.coalesce(F.get("_cuts", k)["s"], F.col("x1")).alias("e")),
     )
     others = [c for c in a.columns if c not in ("x0", "x1")]
-    left = cuts.select(*others, F.explode(gaps).alias("g")).select(*others, F.col("g.s").alias("x0"), F.col("g.e").alias("x1")).filter("x0 < x1")
-    return left.unionByName(whole.select(*left.columns))
+    return cuts.select(*others, F.explode(gaps).alias("g")).select(*others, F.col("g.s").alias("x0"), F.col("g.e").alias("x1")).filter("x0 < x1")
 
 
 def _moved(runs: DataFrame, rows: int, grow: int = 0) -> DataFrame:
@@ -83,11 +85,15 @@ def _moved(runs: DataFrame, rows: int, grow: int = 0) -> DataFrame:
 def edge_runs(masks: DataFrame, layer: list[str]) -> DataFrame:
     """The cells of each mask with a neighbour above, below, left or right that is not of it: a row's runs without what is
     inside them and in the runs of the rows above and below. layer: what identifies a mask besides the row."""
+    own = merged_runs(masks, [*layer, "row"])
+    return runs_without(own, _inner_runs(own, layer), [*layer, "row"])
+
+
+def _inner_runs(own: DataFrame, layer: list[str]) -> DataFrame:
+    """The cells of each mask, as merged runs, whose four neighbours are of it too."""
     keys = [*layer, "row"]
-    own = merged_runs(masks, keys)
     inside = _moved(own, 0, -1).filter("x0 < x1")
-    inner = common_runs(common_runs(inside, _moved(own, 1), keys), _moved(own, -1), keys)
-    return runs_without(own, inner, keys)
+    return common_runs(common_runs(inside, _moved(own, 1), keys), _moved(own, -1), keys)
 
 
 def ring_runs(masks: DataFrame, image: list[str], inst: str, reach: int = 1) -> DataFrame:
@@ -102,18 +108,30 @@ def _cells(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
 
 
+#: Columns of a block in which runs meet the values of cells.
+BLOCK = 64
+
+
 def contour_features(masks: DataFrame, cells: DataFrame, image: list[str], inst: str, value: str, reach: int = 1) -> DataFrame:
     """(image, inst, area, edge, ring, inside, around, contrast) of each mask: cells of it, of its edge and of the ring
-    around it, the mean value of the cells (image, row, x, value) in it and in the ring, and their difference."""
+    around it, the mean value of the cells (image, row, x, value) in it and in the ring, and their difference.
+
+    Runs and rings are written once. Runs meet the cells with a value in blocks of BLOCK columns, so masks are not spelt out.
+    """
     keys = [*image, inst]
-    own, ring = merged_runs(masks, [*keys, "row"]), ring_runs(masks, image, inst, reach)
+    own = written(merged_runs(masks, [*keys, "row"]), "masks")
+    ring = written(ring_runs(own, image, inst, reach), "rings")
     size = lambda df, name: df.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
-    both = _cells(own.withColumn("_in", F.lit(True)).unionByName(ring.withColumn("_in", F.lit(False))), [*keys, "row", "_in"])
-    seen = both.join(cells.select(*image, "row", "x", F.col(value).alias("_v")), [*image, "row", "x"])
+    both = own.withColumn("_in", F.lit(True)).unionByName(ring.withColumn("_in", F.lit(False)))
+    blocks = both.withColumn("_block", F.explode(F.sequence(F.floor(F.col("x0") / BLOCK), F.floor((F.col("x1") - 1) / BLOCK))))
+    placed = cells.select(*image, "row", "x", F.col(value).alias("_v"), F.floor(F.col("x") / BLOCK).alias("_block"))
+    seen = blocks.join(placed, [*image, "row", "_block"]).filter((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
     means = seen.groupBy(*keys).agg(F.avg(F.when(F.col("_in"), F.col("_v"))).alias("inside"), F.avg(F.when(~F.col("_in"), F.col("_v"))).alias("around"))
-    out = size(own, "area").join(size(edge_runs(masks, keys), "edge"), keys, "left").join(size(ring, "ring"), keys, "left").join(means, keys, "left")
+    inner = size(_inner_runs(own, keys), "_inner")  # the other cells of a mask are its edge
+    out = size(own, "area").join(inner, keys, "left").join(size(ring, "ring"), keys, "left").join(means, keys, "left")
     zero = F.lit(0).cast("long")
-    return out.withColumns({"edge": F.coalesce("edge", zero), "ring": F.coalesce("ring", zero), "contrast": F.col("around") - F.col("inside")})
+    told = out.withColumns({"edge": F.col("area") - F.coalesce("_inner", zero), "ring": F.coalesce("ring", zero), "contrast": F.col("around") - F.col("inside")})
+    return told.select(*keys, "area", "edge", "ring", "inside", "around", "contrast")
 
 
 def touching_runs(masks: DataFrame, image: list[str], inst: str, reach: int) -> DataFrame:

@@ -250,3 +250,23 @@ def test_polygons_in_bands_of_rows(spark, monkeypatch, band):
     got = sorted((r.row, x) for r in raster.polygon_runs(df, ["k"], "points").collect() for x in range(r.x0, r.x1))
     inside = lambda px, py: sum((a[1] <= py) != (b[1] <= py) and a[0] + (py - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) <= px for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)) % 2
     assert got == [(y, x) for y in range(-6, 15) for x in range(-8, 14) if inside(x + 0.5, y + 0.5)]
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_contours_meet_values_in_blocks(spark, monkeypatch, block):
+    from panelworks.operators import raster
+
+    monkeypatch.setattr(raster, "BLOCK", block)
+    runs = [("m", 1, 0, -3, 6), ("m", 1, 1, -2, 9), ("m", 1, 2, 0, 4), ("m", 2, 1, 11, 13)]
+    values = [("m", r, x, float(10 * r + x * x)) for r in range(-1, 4) for x in range(-6, 16) if (r + x) % 3]
+    got = raster.contour_features(spark.createDataFrame(runs, "image string, inst int, row long, x0 long, x1 long"), spark.createDataFrame(values, "image string, row long, x long, v double"), ["image"], "inst", "v").collect()
+    held = {i: {(r, x) for _, k, r, a, b in runs if k == i for x in range(a, b)} for i in (1, 2)}
+    known = {(r, x): v for _, r, x, v in values}
+    assert len(got) == 2
+    for g in got:
+        own = held[g.inst]
+        ring = {(r + a, x + b) for r, x in own for a in (-1, 0, 1) for b in (-1, 0, 1)} - held[1] - held[2]
+        edge = {(r, x) for r, x in own if not {(r - 1, x), (r + 1, x), (r, x - 1), (r, x + 1)} <= own}
+        mean = lambda c: np.mean([known[k] for k in c if k in known])
+        assert (g.area, g.edge, g.ring) == (len(own), len(edge), len(ring))
+        assert abs(g.inside - mean(own)) < 1e-9 and abs(g.around - mean(ring)) < 1e-9 and abs(g.contrast - g.around + g.inside) < 1e-12
