@@ -26,9 +26,9 @@ PARTS = 64
 
 def with_places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with the columns of places() for its rows' values."""
-    places = places(df, keys, value).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    told = places(df, keys, value).withColumnsRenamed({c: f"_k_{c}" for c in keys})
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col(value).eqNullSafe(F.col("_v"))]
-    return df.join(places, on).drop("_v", *[f"_k_{c}" for c in keys])
+    return df.join(told, on).drop("_v", *[f"_k_{c}" for c in keys])
 
 
 def score_ranks(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
